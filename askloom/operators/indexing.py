@@ -6,12 +6,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from askloom.functions.arrays import rows_of
 from askloom.functions.text import segment_terms
 
+Embedder = Callable[[DataFrame, str], DataFrame]
+"""Adds a ``vector`` column computed from the named text column."""
+
 # ---- fixed values ----
 EMBED_DIM = 512
 NORM_FLOOR = 1e-12
@@ -24,22 +29,35 @@ def term_slots(text: Column, dim: int = EMBED_DIM) -> Column:
         F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("bigint") % dim).cast("int"))
 
 
-def hashed_embedder(dim: int = EMBED_DIM, element: str = "float") -> Callable[[Column], Column]:
-    """Default embedder for use without a model: term counts over ``dim`` hashed positions, unit length."""
-    @F.pandas_udf(f"array<{element}>")
-    def count_slots(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for slots in batches:
-            yield pd.Series([unit(np.bincount(np.asarray(s, dtype=np.int64), minlength=dim).astype(np.float64))
-                             for s in slots])
+def hashed_embedder(dim: int = EMBED_DIM, element: str = "float") -> Embedder:
+    """Default embedder for use without a model: term counts over ``dim`` hashed positions, unit length.
+
+    Terms and positions are computed in the JVM; one Arrow pass turns a batch of positions into vectors.
+    """
+    def add(df: DataFrame, text: str) -> DataFrame:
+        slots = df.withColumn("_slots", term_slots(F.col(text), dim))
+        schema = T.StructType([*df.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType() if element == "float" else T.DoubleType()))])
+        names = df.columns
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lists = batch.column(batch.schema.get_field_index("_slots"))
+                rows = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))
+                cells = np.bincount(rows * dim + np.asarray(lists.flatten()), minlength=len(lists) * dim)
+                vectors = _vector_lists(cells.reshape(-1, dim).astype(np.float64), element)
+                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(n)) for n in names] + [vectors],
+                                                 names=[*names, "vector"])
+        return slots.mapInArrow(run, schema)
+    return add
 
-    def unit(v: np.ndarray) -> np.ndarray:
-        return (v / np.sqrt(max(float(v @ v), NORM_FLOOR))).astype(kind)
 
-    kind = np.float32 if element == "float" else np.float64
-    return lambda text: count_slots(term_slots(text, dim))
+def _vector_lists(m: np.ndarray, element: str) -> pa.Array:
+    unit = m / np.sqrt(np.maximum((m * m).sum(axis=1, keepdims=True), NORM_FLOOR))
+    flat = pa.array(unit.astype(np.float32 if element == "float" else np.float64).ravel())
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), flat)
 
 
-def model_embedder(load: Callable[[], Callable[[list[str]], np.ndarray]], batch: int = 32) -> Callable[[Column], Column]:
+def model_embedder(load: Callable[[], Callable[[list[str]], np.ndarray]], batch: int = 32) -> Embedder:
     """Hook for a real model: ``load`` runs once per task, its result maps a list of texts to vectors."""
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -50,12 +68,12 @@ def model_embedder(load: Callable[[], Callable[[list[str]], np.ndarray]], batch:
             full = np.concatenate(vectors) if vectors else np.zeros((0, 1))
             norms = np.sqrt(np.maximum((full * full).sum(axis=1, keepdims=True), NORM_FLOOR))
             yield pd.Series(list((full / norms).astype(np.float32)))
-    return run
+    return lambda df, text: df.withColumn("vector", run(F.col(text)))
 
 
-def embed(chunks: DataFrame, embedder: Callable[[Column], Column], text: str = "content") -> DataFrame:
+def embed(chunks: DataFrame, embedder: Embedder, text: str = "content") -> DataFrame:
     """Vectors of the searchable chunks; parents carry none."""
-    return chunks.filter(F.col("kind") == "child").withColumn("vector", embedder(F.col(text)))
+    return embedder(chunks.filter(F.col("kind") == "child"), text)
 
 
 def l2_normalize(vector: Column) -> Column:

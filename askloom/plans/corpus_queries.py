@@ -189,7 +189,7 @@ def _(spark, sf):
 # ---------------------------------------------------------------- tokens and splitting
 @query("c1_count_tokens", f"SELECT doc_id, CAST({t.sql_tokens('text')} AS INTEGER) AS tokens FROM documents")
 def _(spark, sf):
-    return t.spread(t.read(spark, sf, "documents").select("doc_id", "text"), "doc_id").select("doc_id", tx.count_tokens(F.col("text")).alias("tokens"))
+    return t.spread(t.read(spark, sf, "documents").select("doc_id", "text")).select("doc_id", tx.count_tokens(F.col("text")).alias("tokens"))
 
 
 _WORD = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
@@ -220,7 +220,7 @@ def _(spark, sf):
 SELECT doc_id, CAST(n - 1 AS INTEGER) AS pos, part, CAST({t.sql_tokens('part')} AS INTEGER) AS tokens
 FROM (SELECT doc_id, unnest(ps) AS part, generate_subscripts(ps, 1) AS n FROM (SELECT doc_id, {t.sql_split('text', t.SEPARATORS, 64)} AS ps FROM documents))""")
 def _(spark, sf):
-    docs = t.spread(t.read(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    docs = t.spread(t.read(spark, sf, "documents").select("doc_id", "text"))
     return rows_of(docs, tx.split_to_budget(F.col("text"), 64, t.SEPARATORS), "doc_id").select(
         "doc_id", "pos", F.col("item.text").alias("part"), F.col("item.tokens").alias("tokens"))
 
@@ -230,7 +230,7 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY b) - 1 AS IN
 FROM (SELECT doc_id, text, w, unnest(range(1, length(text) + 1, w)) AS b
       FROM (SELECT doc_id, text, greatest(CAST(floor(length(text)::DOUBLE / greatest({t.sql_tokens('text')}, 1) * 320) AS BIGINT), 20) AS w FROM documents))""")
 def _(spark, sf):
-    docs = t.spread(t.read(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    docs = t.spread(t.read(spark, sf, "documents").select("doc_id", "text"))
     return rows_of(docs, tx.hard_cut(F.col("text"), tx.count_tokens(F.col("text")), 320), "doc_id", item="part")
 
 
@@ -243,7 +243,7 @@ t.cte("line_packed", t.sql_packed("line_pack"), "line_pack")
 
 @query("c7_pack_pieces", "SELECT grp AS doc_id, CAST(c - 1 AS INTEGER) AS pos, content, CAST(tokens AS INTEGER) AS tokens FROM line_packed", ("line_packed",))
 def _(spark, sf):
-    docs = t.spread(t.read(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    docs = t.spread(t.read(spark, sf, "documents").select("doc_id", "text"))
     pieces = F.transform(tx.counted(F.split("text", "\n", -1)), lambda p: F.struct(
         p["text"].alias("text"), p["tokens"].alias("tokens"), F.lit(None).cast("string").alias("section"), F.lit(1).alias("page")))
     return rows_of(docs, chunking.pack_pieces(pieces, sentence_ends=t.SENTENCE_ENDS), "doc_id").select(
@@ -255,7 +255,7 @@ _TAIL = t.sql_tail("text")
 
 @query("c8_tail_sentences", f"SELECT doc_id, {_TAIL[0]} AS tail, CAST({_TAIL[1]} AS INTEGER) AS tokens FROM documents")
 def _(spark, sf):
-    docs = t.spread(t.read(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    docs = t.spread(t.read(spark, sf, "documents").select("doc_id", "text"))
     return docs.select("doc_id", tx.tail_sentences(F.col("text"), 48, t.SENTENCE_ENDS).alias("s")).select(
         "doc_id", F.col("s.text").alias("tail"), F.col("s.tokens").alias("tokens"))
 
@@ -343,7 +343,7 @@ def _(spark, sf):
 @query("i3_segment_terms", f"""
 SELECT doc_id, CAST(n - 1 AS INTEGER) AS pos, term FROM (SELECT doc_id, unnest(ts) AS term, generate_subscripts(ts, 1) AS n FROM (SELECT doc_id, {t.sql_terms('text')} AS ts FROM documents))""")
 def _(spark, sf):
-    docs = t.spread(t.read(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    docs = t.spread(t.read(spark, sf, "documents").select("doc_id", "text"))
     return rows_of(docs, tx.segment_terms(F.col("text")), "doc_id", item="term")
 
 

@@ -79,7 +79,7 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents").select("doc_id", "text", "lang", "source")
     flags = read(spark, sf, "labels").select("doc_id", "toxic")
     body = F.regexp_replace(F.regexp_replace("text", r"(?m)^(.{1,60})$", "- $1"), "\n", "\n\n")
-    return spread(docs.join(flags, "doc_id", "left"), "doc_id").select(
+    return spread(docs.join(flags, "doc_id", "left")).select(
         "doc_id", F.lit(1).cast("bigint").alias("kb_id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file_name"),
         F.when(F.col("toxic") == 1, "FAILED").otherwise("READY").alias("status"), "lang", "source",
         F.concat(F.lit("# "), "source", F.lit("\n\n## "), "lang", F.lit("\n\n"), body).alias("text"))
@@ -124,7 +124,7 @@ def elements(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def page_elements(spark: SparkSession, sf: str) -> DataFrame:
-    return parse_html(spread(read(spark, sf, "pages").select("page_id", "html"), "page_id"))
+    return parse_html(spread(read(spark, sf, "pages").select("page_id", "html")))
 
 
 _ENTITIES = "replace(replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')"
@@ -155,7 +155,7 @@ WHERE tag <> '' AND coalesce(text, '') <> ''""")
 def page_lines(spark: SparkSession, sf: str) -> DataFrame:
     """The documents as printed pages of 30 lines: running header, body, one contents entry, page number; short
     lines are set larger."""
-    docs = spread(read(spark, sf, "documents").select("doc_id", "text", "source"), "doc_id")
+    docs = spread(read(spark, sf, "documents").select("doc_id", "text", "source"))
     lines = F.split("text", "\n", -1)
     pages = F.ceil(F.size(lines) / PAGE_LINES).cast("int")
     body = rows_of(docs.withColumn("page_count", pages), lines, "doc_id", "page_count", pos="n", item="text").select(
@@ -360,8 +360,7 @@ def searchable(spark: SparkSession, sf: str, *strategies: str) -> DataFrame:
 def recall(spark: SparkSession, sf: str, chunk_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Vector and keyword recall of all questions over ``chunk_rows``."""
     asked = questions(spark, sf)
-    vectors = retrieval.vector_topk(asked.withColumn("vector", EMBEDDER(F.col("question"))),
-                                    chunk_rows.withColumn("vector", EMBEDDER(F.col("content"))))
+    vectors = retrieval.vector_topk(EMBEDDER(asked, "question"), EMBEDDER(chunk_rows.select("kb_id", "chunk_id", "content"), "content"))
     words = retrieval.keyword_topk(retrieval.query_terms(asked), indexing.term_counts(chunk_rows, "kb_id", "chunk_id"))
     return vectors, words
 

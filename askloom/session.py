@@ -21,6 +21,7 @@ def build_session(app_name: str = "askloom", master: str | None = None, shuffle_
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.unionOutputPartitioning": "false",
     }
     if master:
         builder = builder.master(master)
@@ -32,6 +33,16 @@ def build_session(app_name: str = "askloom", master: str | None = None, shuffle_
     return builder.getOrCreate()
 
 
+def prepare(spark: SparkSession) -> None:
+    """Settings the operators rely on in a session somebody else built.
+
+    Spark 4.1 may take a union of equally partitioned inputs for partitioned itself; together with a reused
+    exchange a later join then doubles rows. The union's claim is switched off; timestamps are read as UTC.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables, as the cluster names it.
 

@@ -33,11 +33,11 @@ def scan_text_files(spark: SparkSession, path: str) -> DataFrame:
                         F.col("length").alias("size_bytes"), F.decode("content", "UTF-8").alias("text"))
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give a scan of fewer splits than cores one shuffle by ``key``, so that heavy text work uses every core.
-    A scan of many splits is returned as it is."""
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan of fewer splits than cores one shuffle, so that heavy text work uses every core. A scan of many
+    splits is returned as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def file_name_parts(files: DataFrame, name: str = "file_name") -> DataFrame:
