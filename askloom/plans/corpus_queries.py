@@ -250,10 +250,7 @@ def _(spark, sf):
         "doc_id", "pos", F.col("item.text").alias("content"), F.col("item.tokens").alias("tokens"))
 
 
-_TAIL = t.sql_tail("text")
-
-
-@query("c8_tail_sentences", f"SELECT doc_id, {_TAIL[0]} AS tail, CAST({_TAIL[1]} AS INTEGER) AS tokens FROM documents")
+@query("c8_tail_sentences", f"SELECT doc_id, tail, CAST(tail_n AS INTEGER) AS tokens FROM ({t.sql_tail('SELECT doc_id, text FROM documents', 'text')})")
 def _(spark, sf):
     docs = t.spread(t.read(spark, sf, "documents").select("doc_id", "text"))
     return docs.select("doc_id", tx.tail_sentences(F.col("text"), 48, t.SENTENCE_ENDS).alias("s")).select(

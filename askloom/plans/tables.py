@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from askloom.operators import chunking, indexing, retrieval
 from askloom.operators.elements import parse_html, parse_markdown
 from askloom.plans.registry import cte
 from askloom.schemas import GRADES_JSON
+from askloom.session import materialize
 from askloom.sources.corpus import spread
 
 # Latin-script corpus: sentence and clause marks join the default separators.
@@ -62,14 +65,17 @@ def sql_split(t: str, seps: tuple[str, ...], budget: int = 320) -> str:
     return f"flatten(list_transform({expr}, lambda t: CASE WHEN {sql_tokens('t')} <= {budget} THEN [t] ELSE {cut} END))"
 
 
-def sql_tail(text: str, budget: int = 48) -> tuple[str, str]:
-    """(text, tokens) of the last whole sentences within budget."""
-    sents = (f"list_filter(list_transform(regexp_extract_all({text}, '[^。！？!?.]*[。！？!?.]?'), lambda s: {sql_trim('s')}), "
-             "lambda s: s <> '')")
-    toks = f"list_transform({sents}, lambda s: {sql_tokens('s')})"
-    first = (f"coalesce(list_min(list_filter(range(1, len({sents}) + 1), lambda i: list_sum(({toks})[i:]) <= {budget})), "
-             f"len({sents}) + 1)")
-    return (f"array_to_string(({sents})[{first}:], '')", f"coalesce(list_sum(({toks})[{first}:]), 0)")
+def sql_tail(source: str, text: str, when: str = "TRUE", budget: int = 48) -> str:
+    """``source`` with the columns tail and tail_n: the last whole sentences of ``text`` within budget and their tokens.
+
+    A sentence counts three tokens or more, so only the last 17 can fit.
+    """
+    return f"""
+SELECT * EXCLUDE (sents, toks, first), array_to_string(sents[first:], '') AS tail, coalesce(list_sum(toks[first:]), 0) AS tail_n
+FROM (SELECT *, coalesce(list_min(list_filter(range(1, len(toks) + 1), lambda i: list_sum(toks[i:]) <= {budget})), len(toks) + 1) AS first
+      FROM (SELECT *, list_transform(sents, lambda s: {sql_tokens('s')}) AS toks
+            FROM (SELECT *, CASE WHEN {when} THEN list_filter(list_transform(regexp_extract_all({text}, '[^。！？!?.]*[.。！？!?]?'),
+                                lambda s: {sql_trim('s')}), lambda s: s <> '')[-17:] ELSE [] END AS sents FROM ({source}))))"""
 
 
 # ---------------------------------------------------------------- corpus and elements
@@ -219,18 +225,16 @@ WHERE content <> ''""", "fixed_raw")
 
 def sql_pack(pieces: str) -> str:
     """Recursive packing of ``pieces`` (grp, k, text, tokens, section, page): rows (grp, k, emitted text, tokens, section, page)."""
-    tail_text, tail_tokens = sql_tail("cur")
+    joined = f"""SELECT s.grp, p.k, p.text, p.tokens, p.section AS p_section, p.page AS p_page, s.cur, s.n, s.section, s.page, s.last_k,
+             s.n > 0 AND s.n + p.tokens > 368 AS over FROM @SELF@ s JOIN {pieces} p ON p.grp = s.grp AND p.k = s.k + 1"""
     return f"""
 SELECT grp, 0::BIGINT AS k, '' AS cur, 0::BIGINT AS n, NULL::VARCHAR AS section, NULL::INTEGER AS page, NULL::VARCHAR AS done,
        0::BIGINT AS done_n, NULL::VARCHAR AS done_section, NULL::INTEGER AS done_page, max(k) AS last_k FROM {pieces} GROUP BY grp
 UNION ALL
-SELECT grp, k, base || text || chr(10), base_n + tokens, CASE WHEN base_n = 0 OR over THEN p_section ELSE section END,
-       CASE WHEN base_n = 0 OR over THEN p_page ELSE page END, CASE WHEN over THEN cur END, n, section, page, last_k
-FROM (SELECT s.grp, p.k, p.text, p.tokens, p.section AS p_section, p.page AS p_page, s.cur, s.n, s.section, s.page, s.last_k,
-             s.n > 0 AND s.n + p.tokens > 368 AS over,
-             CASE WHEN s.n > 0 AND s.n + p.tokens > 368 THEN {tail_text} ELSE cur END AS base,
-             CASE WHEN s.n > 0 AND s.n + p.tokens > 368 THEN {tail_tokens} ELSE n END AS base_n
-      FROM @SELF@ s JOIN {pieces} p ON p.grp = s.grp AND p.k = s.k + 1)"""
+SELECT grp, k, CASE WHEN over THEN tail ELSE cur END || text || chr(10), CAST(CASE WHEN over THEN tail_n ELSE n END + tokens AS BIGINT),
+       CASE WHEN n = 0 OR over THEN p_section ELSE section END, CASE WHEN n = 0 OR over THEN p_page ELSE page END,
+       CASE WHEN over THEN cur END, n, section, page, last_k
+FROM ({sql_tail(joined, 'cur', 'over')})"""
 
 
 def sql_packed(name: str) -> str:
@@ -324,7 +328,19 @@ def chunks(spark: SparkSession, sf: str, *strategies: str) -> DataFrame:
     return out
 
 
+_STORES: dict[tuple, DataFrame] = {}
+
+
 def store(spark: SparkSession, sf: str, *strategies: str) -> DataFrame:
+    """The chunk store: written to the shared folder on first use in a session and read from there by every query,
+    as the product reads its chunk table."""
+    key = (spark.sparkContext.applicationId, sf, strategies or ("STRUCTURE_AWARE",))
+    if key not in _STORES:
+        _STORES[key] = materialize(build_store(spark, sf, *strategies), "store")
+    return _STORES[key]
+
+
+def build_store(spark: SparkSession, sf: str, *strategies: str) -> DataFrame:
     """Chunks with ids, parent ids and their document's fields."""
     rows = chunks(spark, sf, *(strategies or ("STRUCTURE_AWARE",)))
     docs = corpus(spark, sf).select("doc_id", "kb_id", "file_name", "status", "lang")
@@ -357,12 +373,12 @@ def searchable(spark: SparkSession, sf: str, *strategies: str) -> DataFrame:
     return store(spark, sf, *strategies).filter((F.col("kind") == "child") & (F.col("status") == "READY"))
 
 
-def recall(spark: SparkSession, sf: str, chunk_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Vector and keyword recall of all questions over ``chunk_rows``."""
-    asked = questions(spark, sf)
-    vectors = retrieval.vector_topk(EMBEDDER(asked, "question"), EMBEDDER(chunk_rows.select("kb_id", "chunk_id", "content"), "content"))
-    words = retrieval.keyword_topk(retrieval.query_terms(asked), indexing.term_counts(chunk_rows, "kb_id", "chunk_id"))
-    return vectors, words
+def vector_recall(asked: DataFrame, chunk_rows: DataFrame) -> DataFrame:
+    return retrieval.vector_topk(EMBEDDER(asked, "question"), EMBEDDER(chunk_rows.select("kb_id", "chunk_id", "content"), "content"))
+
+
+def keyword_recall(asked: DataFrame, chunk_rows: DataFrame) -> DataFrame:
+    return retrieval.keyword_topk(retrieval.query_terms(asked), indexing.term_counts(chunk_rows, "kb_id", "chunk_id"))
 
 
 def sql_recall(prefix: str, source: str) -> None:
@@ -411,22 +427,40 @@ sql_recall("f", "full_ready")
 
 
 class Funnel:
-    """All stages of the default retrieval for the question table, built once for the queries that look at them."""
+    """The stages of the default retrieval for the whole question table. A stage that several later ones read is
+    written once; it holds at most 50 rows per question."""
 
     def __init__(self, spark: SparkSession, sf: str):
+        self.spark, self.sf = spark, sf
         self.questions = questions(spark, sf)
         self.store = store(spark, sf)
-        self.chunks = self.store.filter((F.col("kind") == "child") & (F.col("status") == "READY"))
-        self.vector, self.keyword = recall(spark, sf, self.chunks)
-        self.fused = retrieval.rrf_fuse(self.vector, self.keyword)
-        self.scored = retrieval.score_pairs(self.fused, self.questions, self.chunks, retrieval.coverage_scorer())
-        self.reranked = retrieval.rerank(self.scored)
+        self.chunks = searchable(spark, sf)
+
+    @cached_property
+    def vector(self) -> DataFrame:
+        return materialize(vector_recall(self.questions, self.chunks), "vector")
+
+    @cached_property
+    def keyword(self) -> DataFrame:
+        return materialize(keyword_recall(self.questions, self.chunks), "keyword")
+
+    @cached_property
+    def fused(self) -> DataFrame:
+        return retrieval.rrf_fuse(self.vector, self.keyword)
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        return materialize(retrieval.score_pairs(self.fused, self.questions, self.chunks, retrieval.coverage_scorer()), "scored")
+
+    @cached_property
+    def reranked(self) -> DataFrame:
+        return retrieval.rerank(self.scored)
 
     @property
     def parents(self) -> DataFrame:
         return self.store.filter(F.col("kind") == "parent").select(F.col("chunk_id").alias("parent_id"), F.col("token_count").alias("parent_tokens"))
 
-    @property
+    @cached_property
     def context(self) -> DataFrame:
         return retrieval.assemble_context(self.reranked, self.chunks, self.parents)
 

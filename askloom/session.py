@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,6 +57,15 @@ def shared_dir(spark: SparkSession) -> str:
     return os.path.abspath("spark-checkpoints")
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back: later jobs read only the columns they
+    need and never recompute it, also after losing executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/askloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of ``df`` in the shared folder, for results that several jobs read again."""
     spark = df.sparkSession
