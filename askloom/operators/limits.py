@@ -45,7 +45,7 @@ def limit_anchored(events: DataFrame, key: str, n: int = ANCHORED_LIMIT, window_
     So a key with any share of the rows is spread over its segments.
     """
     width = window_seconds * 1_000_000
-    timed = events.withColumn("_us", F.unix_micros(ts)).withColumn(
+    timed = events.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn(
         "_seg", F.floor(F.col("_us") / F.lit(width * SEGMENT_WINDOWS)).cast("bigint"))
     key_type = events.schema[key].dataType.simpleString()
 
@@ -103,4 +103,4 @@ def limit_anchored(events: DataFrame, key: str, n: int = ANCHORED_LIMIT, window_
     numbered = slim.groupBy(key, "_seg").cogroup(opened.groupBy(key, "_seg")).applyInPandas(
         number, "_id bigint, _anchor bigint, hit_no bigint")
     return (events.join(numbered, F.col(event_id) == F.col("_id"))
-            .withColumn("anchor", F.timestamp_micros("_anchor")).withColumn("allowed", F.col("hit_no") <= n).drop("_id", "_anchor"))
+            .withColumn("anchor", F.timestamp_micros("_anchor").cast(events.schema[ts].dataType)).withColumn("allowed", F.col("hit_no") <= n).drop("_id", "_anchor"))

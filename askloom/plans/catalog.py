@@ -3,3 +3,4 @@
 from askloom.plans import corpus_queries  # noqa: F401
 from askloom.plans import retrieval_queries  # noqa: F401
 from askloom.plans import evaluation_queries, library_queries  # noqa: F401
+from askloom.plans import streaming_queries  # noqa: F401

@@ -84,11 +84,15 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
     toxic failed its ingest. One knowledge base holds them all."""
     docs = read(spark, sf, "documents").select("doc_id", "text", "lang", "source")
     flags = read(spark, sf, "labels").select("doc_id", "toxic")
-    body = F.regexp_replace(F.regexp_replace("text", r"(?m)^(.{1,60})$", "- $1"), "\n", "\n\n")
-    return spread(docs.join(flags, "doc_id", "left")).select(
+    return as_markdown(spread(docs.join(flags, "doc_id", "left"))).select(
         "doc_id", F.lit(1).cast("bigint").alias("kb_id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file_name"),
         F.when(F.col("toxic") == 1, "FAILED").otherwise("READY").alias("status"), "lang", "source",
-        F.concat(F.lit("# "), "source", F.lit("\n\n## "), "lang", F.lit("\n\n"), body).alias("text"))
+        "text")
+
+
+def as_markdown(docs: DataFrame) -> DataFrame:
+    body = F.regexp_replace(F.regexp_replace("text", r"(?m)^(.{1,60})$", "- $1"), "\n", "\n\n")
+    return docs.withColumn("text", F.concat(F.lit("# "), "source", F.lit("\n\n## "), "lang", F.lit("\n\n"), body))
 
 
 cte("corpus", r"""
