@@ -38,12 +38,25 @@ def running_rank(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequ
             .withColumn(rank, F.col("_before") + F.col("_n")).drop("_bucket", "_n", "_before"))
 
 
-def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread: Column, salts: int = 16,
-                how: str = "inner") -> DataFrame:
-    """Equi-join in which a hot key of ``big`` is cut into ``salts`` shares by a hash of ``spread``.
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of ``df``; very large when unknown."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
-    ``small`` is repeated once per share. Spark still broadcasts it by itself when it is small enough.
+
+def broadcast_limit(df: DataFrame) -> int:
+    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    return int(limit.rstrip("b"))
+
+
+def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread: Column, growth: int = 1, salts: int = 16) -> DataFrame:
+    """Inner equi-join with hot keys in ``big``.
+
+    ``small`` is broadcast when its estimated size times ``growth`` (rows an explode in it adds, which the estimate
+    does not know) is below the session's broadcast threshold. Otherwise both sides are shuffled: a key of ``big``
+    is cut into ``salts`` shares by a hash of ``spread`` and ``small`` is repeated once per share.
     """
+    if estimated_bytes(small) * growth <= broadcast_limit(big):
+        return big.join(F.broadcast(small), list(on))
     left = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
+    return left.join(right, [*on, "_salt"]).drop("_salt")

@@ -80,12 +80,12 @@ def snippet(c: Column, n: int) -> Column:
 
 
 def shingles(c: Column, n: int = SHINGLE) -> Column:
-    """Distinct character n-grams of the text without its whitespace; empty when shorter than ``n``."""
-    def grams(s: Column) -> Column:
-        return F.when(F.length(s) >= n, F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(s) - (n - 1), F.lit(1))),
-            lambda i: F.substring(s, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
-    return let(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", ""), grams)
+    """Distinct character n-grams of the text without its whitespace; empty when shorter than ``n``.
+
+    One pass of a look-ahead match finds them all; cutting by position would scan the text once per gram.
+    """
+    flat = F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", "")
+    return F.array_distinct(F.regexp_extract_all(flat, F.lit(rf"(?s)(?=([^\x{{DC00}}-\x{{DFFF}}].{{{n - 1}}}))"), F.lit(1)))
 
 
 def coverage(a: Column, b: Column) -> Column:
@@ -118,13 +118,17 @@ def split_to_budget(text: Column, budget: int, separators: Sequence[str] = SEPAR
         counted(hard_cut(t["text"], t["tokens"], budget)))))
 
 
+def windows(text: Column, step: Column, width: Column) -> Column:
+    """Cuts of ``width`` characters that start every ``step`` characters, found in one pass over the text."""
+    pattern = F.concat(F.lit("(?s)(?=(.{1,"), width.cast("string"), F.lit("})).{1,"), step.cast("string"), F.lit("}"))
+    return F.regexp_extract_all(text, pattern, F.lit(1))
+
+
 def hard_cut(text: Column, tokens: Column, budget: int) -> Column:
     """Cuts of one width in characters, the width estimated from characters per token."""
     width = F.greatest((F.length(text).cast("double") / F.greatest(tokens, F.lit(1)) * budget).cast("int"),
                        F.lit(MIN_HARD_CUT))
-    return let(width, lambda w: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), w),
-        lambda start: F.substring(text, start, w)))
+    return let(width, lambda w: windows(text, w, w))
 
 
 def tail_sentences(text: Column, budget: int, sentence_ends: str = SENTENCE_ENDS) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from askloom.functions.arrays import rows_of
 from askloom.functions.text import (
     SENTENCE_ENDS, SEPARATORS, count_tokens, is_blank, let, split_to_budget, tail_sentences, trim_controls,
+    windows,
 )
 
 # ---- fixed values: budgets of the three strategies ----
@@ -143,15 +144,15 @@ def fixed_chunks(docs: DataFrame, target: int = TARGET_TOKENS, overlap: float =
         return F.aggregate(els, acc0, step, lambda a: F.concat(
             a["out"], F.array(F.struct(a["len"].alias("stop"), a["page"].alias("page")))))
 
-    def windows(t: Column, n: Column, els: Column) -> Column:
+    def cut_up(t: Column, n: Column, els: Column) -> Column:
         wide = (F.lit(float(target)) * (F.length(t).cast("double") / n)).cast("int")
 
         def cuts(w: Column, ends: Column) -> Column:
             step = F.greatest((w * F.lit(1 - overlap)).cast("int"), F.lit(1))
             width = F.greatest(w, F.lit(MIN_WINDOW_CHARS))
             last = F.greatest(F.ceil((F.length(t) - width) / step).cast("int"), F.lit(0))
-            raw = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(
-                trim_controls(F.substring(t, i * step + 1, width)).alias("text"),
+            raw = F.transform(F.slice(windows(t, step, width), 1, last + 1), lambda cut, i: F.struct(
+                trim_controls(cut).alias("text"),
                 F.get(F.filter(ends, lambda e: i * step < e["stop"]), F.lit(0))["page"].alias("page")))
             return F.transform(F.filter(raw, lambda c: F.length(c["text"]) > 0), lambda c: _child(
                 F.lit(None).cast("int"),
@@ -160,7 +161,7 @@ def fixed_chunks(docs: DataFrame, target: int = TARGET_TOKENS, overlap: float =
         return let(wide, lambda w: let(page_ends(els), lambda ends: cuts(w, ends)))
 
     chunks = let(F.col("elements"), lambda els: let(text, lambda t: F.when(is_blank(t), _empty(_CHUNK)).otherwise(
-        let(count_tokens(t), lambda n: windows(t, n, els)))))
+        let(count_tokens(t), lambda n: cut_up(t, n, els)))))
     return _explode_chunks(docs, chunks, "FIXED", key)
 
 

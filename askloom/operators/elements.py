@@ -11,10 +11,10 @@ from askloom.schemas import ELEMENT_TYPES, ELEMENTS
 
 # ---- fixed values: block marks of the two document formats ----
 FENCE = r"(?m)^ {0,3}(?:```|~~~)[^\n]*$"
-QUOTE = r"(?m)^(?: {0,3}> ?)+"
+QUOTE = r"(?m)^(?: {0,3}> ?)++"
 HEADING_LINE = r"(?m)^( {0,3}#{1,6}(?:[ \t][^\n]*)?)$"
 LIST_ITEM = r" {0,3}(?:[-*+]|\d{1,9}[.)])[ \t]"
-TABLE_HEAD = r"\A[^\n]*\|[^\n]*\n[ \t]*\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*(?:\n|\z)"
+TABLE_HEAD = r"\A[^\n]*\|[^\n]*\n[ \t]*\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*+\|?[ \t]*(?:\n|\z)"
 HTML_DROP = r"(?is)<(script|style|nav|head|footer)\b.*?</\1>|<!--.*?-->"
 HTML_OPEN = r"(?i)<(h[1-6]|p|ul|ol|table|pre)\b[^>]*>"
 HTML_CLOSE = r"(?i)</(h[1-6]|p|ul|ol|table|pre)>"
@@ -39,10 +39,10 @@ def _block(kind: str, text: Column, level: Column | None = None) -> Column:
 
 def _markdown_blocks(part: Column) -> Column:
     """Blocks of a text without fences. Headings stand alone, blank lines end a block, a list item opens a list."""
-    loose = F.regexp_replace(part, rf"(?m)(^{LIST_ITEM}[^\n]*)\n((?:[ \t]*\n)+)(?={LIST_ITEM})", f"$1{_KEEP}$2{_KEEP}")
+    loose = F.regexp_replace(part, rf"(?m)(^{LIST_ITEM}[^\n]*)\n([ \t\n]*\n)(?={LIST_ITEM})", f"$1{_KEEP}$2{_KEEP}")
     loose = F.regexp_replace(loose, rf"{_KEEP}[ \t\n]*{_KEEP}", f"{_KEEP}{_KEEP}")
     marked = F.regexp_replace(loose, HEADING_LINE, f"{_CUT}$1{_CUT}")
-    runs = F.filter(F.split(marked, rf"{_CUT}|\n(?:[ \t]*\n)+", -1), lambda r: ~is_blank(r))
+    runs = F.filter(F.split(marked, rf"{_CUT}|\n[ \t\n]*\n", -1), lambda r: ~is_blank(r))
 
     def classify(run: Column) -> Column:
         return let(F.regexp_replace(run, r"\A\n+", ""), shape)

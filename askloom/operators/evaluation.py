@@ -26,6 +26,8 @@ CONFIGS = (
 )
 # ---- end of fixed values ----
 
+GRAM_GROWTH = 256  # bytes of shingle rows per stored byte of text
+
 
 def ablation_configs(spark: SparkSession) -> DataFrame:
     """The six configurations: name, strategy, use_fts, use_rerank, parent_credit."""
@@ -65,7 +67,7 @@ def shingle_coverage(left: DataFrame, right: DataFrame, left_id: str, right_id:
     r = right.select(right_id, shingles(F.col(text), n).alias("grams"))
     l_rows = rows_of(l.withColumn("l_size", F.size("grams")), "grams", left_id, "l_size", item="gram").drop("pos")
     r_rows = rows_of(r.withColumn("r_size", F.size("grams")), "grams", right_id, "r_size", item="gram").drop("pos")
-    shared = (salted_join(r_rows, l_rows, ["gram"], F.col(right_id), salts)
+    shared = (salted_join(r_rows, l_rows, ["gram"], F.col(right_id), GRAM_GROWTH, salts)
               .groupBy(left_id, right_id, "l_size", "r_size").agg(F.count(F.lit(1)).alias("shared")))
     cover = F.col("shared") / F.least("l_size", "r_size")
     return shared.withColumn("coverage", cover).filter(F.col("coverage") >= minimum).select(left_id, right_id, "shared", "coverage")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,62 +48,87 @@ def limit_anchored(events: DataFrame, key: str, n: int = ANCHORED_LIMIT, window_
     So a key with any share of the rows is spread over its segments.
     """
     width = window_seconds * 1_000_000
-    timed = events.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn(
-        "_seg", F.floor(F.col("_us") / F.lit(width * SEGMENT_WINDOWS)).cast("bigint"))
-    key_type = events.schema[key].dataType.simpleString()
-
-    def summarize(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        us = np.sort(pdf["_us"].to_numpy())
-        starts = np.unique(us)
-        following = np.searchsorted(starts, starts + width)
-        last = np.arange(len(starts))
-        for _ in range(SEGMENT_WINDOWS):
-            step = np.where(following[last] < len(starts), np.minimum(following[last], len(starts) - 1), last)
-            if np.array_equal(step, last):
-                break
-            last = step
-        entries = np.searchsorted(starts, keys[1] * width * SEGMENT_WINDOWS + width) + 1
-        entry, end = starts[:entries], starts[last[:entries]]
-        turn = np.flatnonzero(np.append(end[1:] != end[:-1], True))
-        return pd.DataFrame({key: [keys[0]], "_seg": [keys[1]], "hits": [len(us)], "last_us": [us[-1]],
-                             "entry": [entry[turn]], "end": [end[turn]],
-                             "tail": [len(us) - np.searchsorted(us, end[turn])]})
-
-    def chain(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        anchor, count, rows = None, 0, []
-        for s in pdf.sort_values("_seg").itertuples(index=False):
-            seg, hits, last_us, entry, end, tail = s[1:]
-            rows.append((keys[0], seg, anchor, count))
-            free = -(2 ** 62) if anchor is None else anchor + width
-            if last_us < free:
-                count += hits
+    span = width * SEGMENT_WINDOWS
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    hits = events.select(F.col(key).alias("key"), F.floor(us / F.lit(span)).cast("bigint").alias("seg"), us.alias("us"),
+                         F.col(event_id).alias("id"))
+    kind = hits.schema["key"].dataType.simpleString()
+
+    def summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (k, seg), rows in _groups(batches, "us"):
+            us = rows["us"]
+            starts = np.unique(us)
+            after = np.searchsorted(starts, starts + width)
+            last = np.arange(len(starts))
+            for _ in range(SEGMENT_WINDOWS):
+                step = np.where(after[last] < len(starts), np.minimum(after[last], len(starts) - 1), last)
+                if np.array_equal(step, last):
+                    break
+                last = step
+            n = int(np.searchsorted(starts, seg * span + width)) + 1
+            entry, end = starts[:n], starts[last[:n]]
+            turn = np.flatnonzero(np.append(end[1:] != end[:-1], True))
+            tail = len(us) - np.searchsorted(us, end[turn])
+            yield pa.RecordBatch.from_pydict({"key": [k], "seg": [seg], "hits": [len(us)], "last_us": [int(us[-1])],
+                                              "entry": [entry[turn]], "end": [end[turn]], "tail": [tail]})
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, anchor, count = object(), None, 0
+        for batch in batches:
+            opened: list[int | None] = []
+            counts: list[int] = []
+            for s in batch.to_pylist():
+                if s["key"] != current:
+                    current, anchor, count = s["key"], None, 0
+                opened.append(anchor)
+                counts.append(count)
+                if anchor is not None and s["last_us"] < anchor + width:
+                    count += s["hits"]
+                    continue
+                i = 0 if anchor is None else bisect_left(s["entry"], anchor + width)
+                anchor, count = s["end"][i], s["tail"][i]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("seg"), pa.array(opened, pa.int64()),
+                                              pa.array(counts, pa.int64())], names=["key", "seg", "opened", "before"])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _groups(batches, "us", "id", "opened", "before"):
+            us, count = rows["us"], int(rows["before"][0])
+            anchor = None if np.isnan(rows["opened"][0]) else int(rows["opened"][0])
+            anchors, numbers = np.empty(len(us), dtype=np.int64), np.empty(len(us), dtype=np.int64)
+            i = 0
+            while i < len(us):
+                if anchor is None or us[i] >= anchor + width:
+                    anchor, count = int(us[i]), 0
+                j = int(np.searchsorted(us, anchor + width))
+                anchors[i:j], numbers[i:j] = anchor, np.arange(count + 1, count + 1 + j - i)
+                i, count = j, count + j - i
+            yield pa.RecordBatch.from_pydict({"id": rows["id"], "anchor_us": anchors, "hit_no": numbers})
+
+    summary = (hits.select("key", "seg", "us").repartition("key", "seg").sortWithinPartitions("key", "seg", "us").mapInArrow(
+        summarize, f"key {kind}, seg bigint, hits bigint, last_us bigint, entry array<bigint>, end array<bigint>, tail array<bigint>"))
+    opened = (summary.repartition("key").sortWithinPartitions("key", "seg")
+              .mapInArrow(chain, f"key {kind}, seg bigint, opened bigint, before bigint"))
+    numbered = (hits.join(opened, ["key", "seg"]).select("key", "seg", "us", "id", F.col("opened").cast("double").alias("opened"), "before")
+                .repartition("key", "seg").sortWithinPartitions("key", "seg", "us", "id").mapInArrow(number, "id bigint, anchor_us bigint, hit_no bigint"))
+    return (events.join(numbered, F.col(event_id) == F.col("id"))
+            .withColumn("anchor", F.timestamp_micros("anchor_us").cast(events.schema[ts].dataType))
+            .withColumn("allowed", F.col("hit_no") <= n).drop("id", "anchor_us"))
+
+
+def _groups(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[tuple, dict[str, np.ndarray]]]:
+    """Runs of equal (key, seg) in sorted batches, joined over batch borders: ((key, seg), arrays of ``columns``)."""
+    open_key, parts = None, []
+    for batch in batches:
+        keys, segs = batch.column("key").to_pylist(), batch.column("seg").to_pylist()
+        values = {c: np.asarray(batch.column(c)) for c in columns}
+        cuts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1] or segs[i] != segs[i - 1]], len(keys)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
                 continue
-            i = int(np.searchsorted(entry, free))
-            anchor, count = int(end[i]), int(tail[i])
-        return pd.DataFrame(rows, columns=[key, "_seg", "_open", "_count"]).astype({"_open": "Int64"})
-
-    def number(keys: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty:
-            return pd.DataFrame({"_id": [], "_anchor": [], "hit_no": []})
-        rows = left.sort_values(["_us", event_id], kind="stable")
-        us = rows["_us"].to_numpy()
-        open_at, count = right["_open"].iloc[0], int(right["_count"].iloc[0])
-        anchors, numbers = np.empty(len(us), dtype=np.int64), np.empty(len(us), dtype=np.int64)
-        i = 0
-        while i < len(us):
-            anchor = int(open_at) if not pd.isna(open_at) and us[i] < open_at + width else int(us[i])
-            if pd.isna(open_at) or anchor != open_at:
-                count = 0
-            j = int(np.searchsorted(us, anchor + width))
-            anchors[i:j], numbers[i:j] = anchor, np.arange(count + 1, count + 1 + j - i)
-            i, open_at, count = j, anchor, count + j - i
-        return pd.DataFrame({"_id": rows[event_id].to_numpy(), "_anchor": anchors, "hit_no": numbers})
-
-    slim = timed.select(key, "_seg", "_us", event_id)
-    summary = slim.select(key, "_seg", "_us").groupBy(key, "_seg").applyInPandas(
-        summarize, f"`{key}` {key_type}, _seg bigint, hits bigint, last_us bigint, entry array<bigint>, end array<bigint>, tail array<bigint>")
-    opened = summary.groupBy(key).applyInPandas(chain, f"`{key}` {key_type}, _seg bigint, _open bigint, _count bigint")
-    numbered = slim.groupBy(key, "_seg").cogroup(opened.groupBy(key, "_seg")).applyInPandas(
-        number, "_id bigint, _anchor bigint, hit_no bigint")
-    return (events.join(numbered, F.col(event_id) == F.col("_id"))
-            .withColumn("anchor", F.timestamp_micros("_anchor").cast(events.schema[ts].dataType)).withColumn("allowed", F.col("hit_no") <= n).drop("_id", "_anchor"))
+            if (keys[a], segs[a]) != open_key:
+                if parts:
+                    yield open_key, {c: np.concatenate([p[c] for p in parts]) for c in columns}
+                open_key, parts = (keys[a], segs[a]), []
+            parts.append({c: v[a:b] for c, v in values.items()})
+    if parts:
+        yield open_key, {c: np.concatenate([p[c] for p in parts]) for c in columns}

@@ -39,6 +39,7 @@ SCORE_DIGITS = 6
 BROADCAST_QUESTIONS = 4096
 CELL_CHUNKS = 32768
 CELL_QUESTIONS = 1024
+TERM_GROWTH = 32  # bytes of term rows per stored byte of question text
 
 
 def searchable(chunks: DataFrame, documents: DataFrame, strategy: str | None = None) -> DataFrame:
@@ -163,7 +164,7 @@ def keyword_topk(terms: DataFrame, postings: DataFrame, k: int = RECALL_K, weigh
     terms (q_id, kb_id, term), postings (kb_id, chunk_id, term, tf) -> (q_id, chunk_id, score, rank). Frequent terms
     are salted by chunk; all postings of a chunk share a salt, so partial sums shrink before the shuffle.
     """
-    matched = salted_join(postings.select("kb_id", "chunk_id", "term", "tf"), terms, ["kb_id", "term"], F.col("chunk_id"), salts)
+    matched = salted_join(postings.select("kb_id", "chunk_id", "term", "tf"), terms, ["kb_id", "term"], F.col("chunk_id"), TERM_GROWTH, salts)
     scores = matched.groupBy("q_id", "chunk_id").agg((F.sum("tf") * F.lit(weight)).alias("score"))
     return top_n(scores.withColumn("score", F.round("score", SCORE_DIGITS)), ["q_id"], [F.desc("score"), F.asc("chunk_id")], k)
 
@@ -176,7 +177,7 @@ def bm25_topk(terms: DataFrame, postings: DataFrame, k: int = RECALL_K, k1: floa
     df = postings.groupBy("kb_id", "term").agg(F.count(F.lit(1)).alias("df"))
     rated = terms.join(df, ["kb_id", "term"]).join(stats, "kb_id").withColumn(
         "idf", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    matched = salted_join(postings.join(lengths, ["kb_id", "chunk_id"]), rated, ["kb_id", "term"], F.col("chunk_id"), salts)
+    matched = salted_join(postings.join(lengths, ["kb_id", "chunk_id"]), rated, ["kb_id", "term"], F.col("chunk_id"), TERM_GROWTH, salts)
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     scores = matched.groupBy("q_id", "chunk_id").agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
     return top_n(scores, ["q_id"], [F.desc("score"), F.asc("chunk_id")], k)
