@@ -9,6 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+TERM_GROWTH = 32
+"""Bytes of term rows per stored byte of text, for size checks below an explode."""
+
+
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
     """First ``n`` rows per key. The filter on the rank lets Spark cut each input partition to ``n`` rows
     per key before the shuffle, so a hot key costs no more than ``n`` rows per task."""

@@ -88,9 +88,9 @@ def hits(candidates: DataFrame, golds: DataFrame, credit_scope: str = "all", min
     parents = golds.filter(F.col("parent_id").isNotNull()).select(*parent_keys).distinct()
     credited = candidates.filter((F.col("strategy") == "STRUCTURE_AWARE") & F.col("parent_credit")).join(
         parents, parent_keys, "left_semi").select(*out)
-    texts = golds.select("q_id", shingles(F.col("content")).alias("gold_grams"))
-    covered = (candidates.filter(F.col("strategy") != "STRUCTURE_AWARE")
-               .select(*out, shingles(F.col("content")).alias("grams")).join(texts, "q_id")
+    texts = golds.select("q_id", F.col("chunk_id").alias("gold_id"), shingles(F.col("content")).alias("gold_grams"))
+    flat = candidates.filter(F.col("strategy") != "STRUCTURE_AWARE").select(*out, shingles(F.col("content")).alias("grams"))
+    covered = (salted_join(texts, flat, ["q_id"], F.col("gold_id"), GRAM_GROWTH)
                .filter(coverage(F.col("grams"), F.col("gold_grams")) >= minimum).select(*out))
     return same.unionByName(credited).unionByName(covered).distinct()
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from askloom.functions.arrays import rows_of
+from askloom.functions.ranking import TERM_GROWTH, broadcast_limit, estimated_bytes
 from askloom.functions.text import segment_terms
 
 Embedder = Callable[[DataFrame, str], DataFrame]
@@ -91,19 +92,33 @@ def mean_pool_normalize(hidden: DataFrame, key: str, vector: str = "hidden", mas
     return pooled.select(key, l2_normalize(F.col("cells.x")).alias("vector"))
 
 
+def _children(chunks: DataFrame) -> DataFrame:
+    return chunks.filter(F.col("kind") == "child") if "kind" in chunks.columns else chunks
+
+
+def term_rows(chunks: DataFrame, *keys: str, text: str = "content") -> DataFrame:
+    """(keys, pos, term): one row per term occurrence of the searchable chunks."""
+    return rows_of(_children(chunks).select(*keys, text), segment_terms(F.col(text)), *keys, item="term")
+
+
 def build_postings(chunks: DataFrame, *keys: str, text: str = "content") -> DataFrame:
-    """(keys, term, tf, positions) of the searchable chunks, positions from 1. A chunk is small, so the
-    positions of a term in it are few."""
-    children = chunks.filter(F.col("kind") == "child") if "kind" in chunks.columns else chunks
-    terms = rows_of(children, segment_terms(F.col(text)), *keys, item="term")
-    return terms.groupBy(*keys, "term").agg(
+    """(keys, term, tf, positions) of the searchable chunks, positions from 1. A group is one term in one chunk."""
+    return term_rows(chunks, *keys, text=text).groupBy(*keys, "term").agg(
         F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list(F.col("pos") + 1)).alias("positions"))
 
 
 def term_counts(chunks: DataFrame, *keys: str, text: str = "content") -> DataFrame:
-    """Postings without positions, all that ranking by matched occurrences needs."""
-    children = chunks.filter(F.col("kind") == "child") if "kind" in chunks.columns else chunks
-    return rows_of(children, segment_terms(F.col(text)), *keys, item="term").groupBy(*keys, "term").agg(
+    """Postings without positions; counts are added up per task before the shuffle."""
+    return term_rows(chunks, *keys, text=text).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def asked_term_counts(chunks: DataFrame, terms: DataFrame, *keys: str, text: str = "content") -> DataFrame:
+    """Postings of the asked terms (kb_id, term) only, for a recall without a stored index: all other terms are
+    dropped before anything is shuffled. ``keys`` must hold ``kb_id``."""
+    asked = terms.select("kb_id", "term").distinct()
+    if estimated_bytes(asked) * TERM_GROWTH <= broadcast_limit(asked):
+        asked = F.broadcast(asked)
+    return term_rows(chunks, *keys, text=text).join(asked, ["kb_id", "term"], "left_semi").groupBy(*keys, "term").agg(
         F.count(F.lit(1)).alias("tf"))
 
 

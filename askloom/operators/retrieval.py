@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from askloom.functions.arrays import rows_of
-from askloom.functions.ranking import salted_join, top_n
+from askloom.functions.ranking import TERM_GROWTH, salted_join, top_n
 from askloom.functions.text import segment_terms, snippet
 
 # ---- fixed values: funnel sizes, weights, thresholds, prompt wording ----
@@ -39,7 +39,6 @@ SCORE_DIGITS = 6
 BROADCAST_QUESTIONS = 4096
 CELL_CHUNKS = 32768
 CELL_QUESTIONS = 1024
-TERM_GROWTH = 32  # bytes of term rows per stored byte of question text
 
 
 def searchable(chunks: DataFrame, documents: DataFrame, strategy: str | None = None) -> DataFrame:

@@ -88,7 +88,7 @@ class Grid:
         counts = self.golds.groupBy("q_id").agg(F.count(F.lit(1)).alias("n"))
         kind = F.when(F.col("n").isNull(), "NO_ANSWER").when(F.col("n") == 1, "FACT").when(F.col("n") == 2, "MULTI_HOP").otherwise("TABLE")
         self.questions = asked.join(counts, "q_id", "left").withColumn("type", kind).drop("n")
-        vector, keyword = ablation.grid_recall(asked, rows, t.EMBEDDER)
+        vector, keyword = ablation.grid_recall(asked, t.vectors(spark, sf, *STRATEGIES), t.postings(spark, sf, *STRATEGIES), t.EMBEDDER)
         self.candidates = materialize(ablation.grid_candidates(
             materialize(vector, "grid-vector"), materialize(keyword, "grid-keyword"), asked, rows, retrieval.coverage_scorer(), materialize), "candidates")
         self.texts = rows.select("chunk_id", "parent_id", "content")

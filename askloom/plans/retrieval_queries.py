@@ -55,6 +55,12 @@ def _(spark, sf):
     return t.Funnel(spark, sf).keyword
 
 
+@query("r5_keyword_topk_no_index", "SELECT q_id, chunk_id, score, rank FROM r_kw", ("r_kw",))
+def _(spark, sf):
+    terms = retrieval.query_terms(t.questions(spark, sf))
+    return retrieval.keyword_topk(terms, indexing.asked_term_counts(t.searchable(spark, sf), terms, "kb_id", "chunk_id"))
+
+
 @query("r5_keyword_topk_bm25", """
 SELECT q_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, chunk_id) AS rank FROM (
@@ -65,8 +71,7 @@ SELECT q_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM (
     CROSS JOIN (SELECT count(*)::DOUBLE AS n, avg(len) AS avg_len FROM (SELECT chunk_id, sum(tf)::DOUBLE AS len FROM r_terms GROUP BY ALL)) s
     GROUP BY ALL)) WHERE rank <= 50""", ("r_terms", "q_terms_tf"))
 def _(spark, sf):
-    rows = t.searchable(spark, sf)
-    return retrieval.bm25_topk(retrieval.query_terms(t.questions(spark, sf)), indexing.term_counts(rows, "kb_id", "chunk_id"))
+    return retrieval.bm25_topk(retrieval.query_terms(t.questions(spark, sf)), t.postings(spark, sf).drop("strategy"))
 
 
 _FUSED = "q_id, chunk_id, round(vector_score, 6) AS vector_score, vector_rank, round(fts_score, 6) AS fts_score, fts_rank, round(rrf_score, 6) AS rrf_score, rrf_rank"

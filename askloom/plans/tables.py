@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -332,16 +333,34 @@ def chunks(spark: SparkSession, sf: str, *strategies: str) -> DataFrame:
     return out
 
 
-_STORES: dict[tuple, DataFrame] = {}
+_WRITTEN: dict[tuple, DataFrame] = {}
+
+
+def written(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table of the product, written to the shared folder on its first use in a session and read from there by
+    every query after that."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = materialize(build(), name)
+    return _WRITTEN[key]
 
 
 def store(spark: SparkSession, sf: str, *strategies: str) -> DataFrame:
-    """The chunk store: written to the shared folder on first use in a session and read from there by every query,
-    as the product reads its chunk table."""
-    key = (spark.sparkContext.applicationId, sf, strategies or ("STRUCTURE_AWARE",))
-    if key not in _STORES:
-        _STORES[key] = materialize(build_store(spark, sf, *strategies), "store")
-    return _STORES[key]
+    """The chunk table of the given strategies, structure-aware by default."""
+    names = strategies or ("STRUCTURE_AWARE",)
+    return written(spark, sf, "store-" + "-".join(names), lambda: build_store(spark, sf, *names))
+
+
+def vectors(spark: SparkSession, sf: str, *strategies: str) -> DataFrame:
+    """The vector index of the searchable chunks (kb_id, strategy, chunk_id, vector)."""
+    rows = searchable(spark, sf, *strategies).select("kb_id", "strategy", "chunk_id", "content")
+    return written(spark, sf, "vectors-" + "-".join(strategies), lambda: EMBEDDER(rows, "content").drop("content"))
+
+
+def postings(spark: SparkSession, sf: str, *strategies: str) -> DataFrame:
+    """The term index of the searchable chunks (kb_id, strategy, chunk_id, term, tf)."""
+    rows = searchable(spark, sf, *strategies)
+    return written(spark, sf, "postings-" + "-".join(strategies), lambda: indexing.term_counts(rows, "kb_id", "strategy", "chunk_id"))
 
 
 def build_store(spark: SparkSession, sf: str, *strategies: str) -> DataFrame:
@@ -377,14 +396,6 @@ def searchable(spark: SparkSession, sf: str, *strategies: str) -> DataFrame:
     return store(spark, sf, *strategies).filter((F.col("kind") == "child") & (F.col("status") == "READY"))
 
 
-def vector_recall(asked: DataFrame, chunk_rows: DataFrame) -> DataFrame:
-    return retrieval.vector_topk(EMBEDDER(asked, "question"), EMBEDDER(chunk_rows.select("kb_id", "chunk_id", "content"), "content"))
-
-
-def keyword_recall(asked: DataFrame, chunk_rows: DataFrame) -> DataFrame:
-    return retrieval.keyword_topk(retrieval.query_terms(asked), indexing.term_counts(chunk_rows, "kb_id", "chunk_id"))
-
-
 def sql_recall(prefix: str, source: str) -> None:
     """Named tables <prefix>_vec, <prefix>_kw, <prefix>_fused, <prefix>_scored, <prefix>_top over ``source``."""
     slot = "('0x' || substr(md5(term), 1, 8))::BIGINT % 512"
@@ -442,11 +453,11 @@ class Funnel:
 
     @cached_property
     def vector(self) -> DataFrame:
-        return materialize(vector_recall(self.questions, self.chunks), "vector")
+        return materialize(retrieval.vector_topk(EMBEDDER(self.questions, "question"), vectors(self.spark, self.sf)), "vector")
 
     @cached_property
     def keyword(self) -> DataFrame:
-        return materialize(keyword_recall(self.questions, self.chunks), "keyword")
+        return materialize(retrieval.keyword_topk(retrieval.query_terms(self.questions), postings(self.spark, self.sf)), "keyword")
 
     @cached_property
     def fused(self) -> DataFrame:
