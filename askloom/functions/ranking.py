@@ -25,23 +25,6 @@ def nth_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
     return top_n(df.select(*keys, *keep), keys, order, n, "_rank").filter(F.col("_rank") == n).drop("_rank")
 
 
-def running_rank(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column],
-                 rank: str = "rank") -> DataFrame:
-    """Row number per key with the key's rows split by ``bucket``, an expression that rises with the order.
-
-    Counts per (key, bucket) are summed up first; rows are then numbered inside their bucket only, so no
-    task ever holds all rows of a hot key.
-    """
-    parts = df.withColumn("_bucket", bucket)
-    w_keys = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (parts.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
-               .withColumn("_before", F.coalesce(F.sum("_rows").over(w_keys), F.lit(0)))
-               .drop("_rows"))
-    inner = F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy(*order))
-    return (parts.withColumn("_n", inner).join(offsets, [*keys, "_bucket"])
-            .withColumn(rank, F.col("_before") + F.col("_n")).drop("_bucket", "_n", "_before"))
-
-
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df``; very large when unknown."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
