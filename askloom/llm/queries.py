@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from askloom.llm import ngram_join
+from askloom.llm import decontamination, ngram_join, paragraph_dedup
 from askloom.llm.common import read
 from askloom.llm.registry import query
 
@@ -25,3 +25,34 @@ FROM sets s LEFT JOIN reach r USING (doc_id) GROUP BY s.doc_id, s.s"""
 @query("op4_ngram_jaccard_join", _OP4_SQL)
 def _(spark, sf):
     return ngram_join.ngram_components(read(spark, sf, "documents"))
+
+
+@query("op6_paragraph_dedup")
+def _(spark, sf):
+    return paragraph_dedup.duplicate_paragraphs(read(spark, sf, "documents"))
+
+
+_OP8_SQL = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents),
+i AS MATERIALIZED (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM benchmark),
+dp AS (SELECT doc_id, w, unnest(range(0, len(w) - 4)) AS p FROM d WHERE len(w) >= 5),
+dt AS MATERIALIZED (SELECT doc_id, p, array_to_string(w[p + 1:p + 5], ' ') AS t FROM dp),
+ip AS (SELECT item_id, w, unnest(range(0, len(w) - 4)) AS p FROM i WHERE len(w) >= 5),
+it AS MATERIALIZED (SELECT item_id, len(w) AS n, p, array_to_string(w[p + 1:p + 5], ' ') AS t FROM ip),
+laid AS MATERIALIZED (
+  SELECT DISTINCT doc_id, item_id, n, greatest(0, least(dt.p - it.p, len(d.w) - n)) AS start
+  FROM dt JOIN it USING (t) JOIN d USING (doc_id)),
+wc AS (SELECT l.doc_id, l.item_id, l.start, l.n, dt.t, count(*) AS c FROM laid l JOIN dt ON dt.doc_id = l.doc_id AND dt.p BETWEEN l.start AND l.start + l.n - 5
+       GROUP BY ALL),
+ic AS (SELECT item_id, t, count(*) AS c FROM it GROUP BY ALL),
+met AS (SELECT wc.doc_id, wc.item_id, wc.start, wc.n, sum(least(wc.c, ic.c)) AS common FROM wc JOIN ic USING (item_id, t) GROUP BY ALL),
+scored AS (
+  SELECT m.doc_id, m.item_id, m.start, m.n, common::DOUBLE / ((SELECT sum(c) FROM ic WHERE ic.item_id = m.item_id)
+         + (SELECT sum(c) FROM wc WHERE wc.doc_id = m.doc_id AND wc.item_id = m.item_id AND wc.start = m.start) - common) AS similarity FROM met m)
+SELECT doc_id, item_id, similarity, start AS start_word, n AS n_words FROM scored WHERE similarity >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1"""
+
+
+@query("op8_benchmark_decontamination", _OP8_SQL)
+def _(spark, sf):
+    return decontamination.leaks(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
