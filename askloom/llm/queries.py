@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from askloom.llm import decontamination, ngram_join, paragraph_dedup
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from askloom.llm import decontamination, language_id, ngram_join, paragraph_dedup, pieces, secrets, warc
 from askloom.llm.common import read
 from askloom.llm.registry import query
 
@@ -56,3 +59,51 @@ QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC
 @query("op8_benchmark_decontamination", _OP8_SQL)
 def _(spark, sf):
     return decontamination.leaks(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+
+
+def span_digest(found: DataFrame, spans_col: str, base: tuple[str, ...]) -> DataFrame:
+    """doc_id, one count per base kind, base_sha256 and spans from an array of (kind, start, end) in its listed order."""
+    spans = F.col(spans_col)
+    text = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+    of_base = F.filter(spans, lambda s: s["kind"].isin(*base))
+    base_text = F.transform(of_base, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+    counts = [F.size(F.filter(spans["kind"], F.lit(k).eqNullSafe)).cast("long").alias(f"n_{k}") for k in base]
+    return found.select("doc_id", *counts, F.sha2(F.array_join(base_text, ","), 256).alias("base_sha256"), F.array_join(text, ",").alias("spans"))
+
+
+@query("op2_secret_scan")
+def _(spark, sf):
+    return span_digest(secrets.find_secrets(read(spark, sf, "documents")), "secrets", ("assign", "access", "hex"))
+
+
+_OP5_SQL = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS hex FROM p),
+bits AS (SELECT page_id, list_reduce(list_transform(range(1, 41), lambda i: lpad(bin(instr('0123456789abcdef', substr(hex, i, 1)) - 1), 4, '0')),
+         lambda a, b: concat(a, b)) AS b FROM d),
+coded AS (SELECT page_id, list_reduce(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+          1 + list_reduce(list_transform(range(1, 6), lambda j: CAST(substr(b, i * 5 + j, 1) AS INTEGER)), lambda x, y: x * 2 + y), 1)),
+          lambda x, y: concat(x, y)) AS payload_digest FROM bits)
+SELECT d.page_id, d.payload_bytes, c.payload_digest,
+       CASE WHEN d.page_id = min(d.page_id) OVER (PARTITION BY d.hex) THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN d.page_id <> min(d.page_id) OVER (PARTITION BY d.hex) THEN min(d.page_id) OVER (PARTITION BY d.hex) END AS refers_to
+FROM d JOIN coded c USING (page_id)"""
+
+
+@query("op5_warc_normaliser", _OP5_SQL)
+def _(spark, sf):
+    archives = warc.write_archives(warc.with_record_types(read(spark, sf, "pages")))
+    return warc.read_records(warc.normalise_archives(archives)).drop("url")
+
+
+@query("op9_sentencepiece")
+def _(spark, sf):
+    return pieces.encode_and_check(read(spark, sf, "documents"))
+
+
+@query("op10_language_id")
+def _(spark, sf):
+    docs = read(spark, sf, "documents")
+    kept_out = F.coalesce(language_id.held_out(), F.lit(False))
+    field = language_id.fit_documents(docs.filter(~kept_out))
+    return language_id.identify(docs.select("doc_id", "text"), field).select("doc_id", kept_out.alias("held_out"), "lang_pred", "score")
