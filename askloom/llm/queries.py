@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from askloom.llm import decontamination, language_id, ngram_join, paragraph_dedup, pieces, secrets, warc
+from askloom.llm import ann, decontamination, language_id, ngram_join, paragraph_dedup, pieces, pii, secrets, warc
 from askloom.llm.common import read
 from askloom.llm.registry import query
 
@@ -107,3 +107,14 @@ def _(spark, sf):
     kept_out = F.coalesce(language_id.held_out(), F.lit(False))
     field = language_id.fit_documents(docs.filter(~kept_out))
     return language_id.identify(docs.select("doc_id", "text"), field).select("doc_id", kept_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op7_pii")
+def _(spark, sf):
+    return span_digest(pii.find_pii(read(spark, sf, "documents")), "pii", pii.BASE_KINDS)
+
+
+@query("op3_ann_search")
+def _(spark, sf):
+    vectors = read(spark, sf, "embeddings")
+    return ann.search(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
