@@ -149,15 +149,16 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
     """(query_id, rank, vec_id, score): the ``nearest`` vectors found for each query, best cosine first, ties to the smaller id.
 
     A query is not its own neighbour. Vectors that are null, empty, zero or hold a null or non-finite component take no part on either side,
-    nor do rows with a null id and vectors of another length than the most frequent (the shorter of equally frequent). Rows that repeat an id are one neighbour, with the
-    best of their scores, and as queries one query. Scores are computed in double precision from the original vectors. Too few candidates
+    nor do rows with a null id and vectors of another length than the most frequent (the shorter of equally frequent). Of rows that repeat an id the
+    smallest vector takes part. Scores are computed in double precision from the original vectors. Too few candidates
     give fewer rows, none give none.
     """
     def taking_part(df: DataFrame) -> DataFrame:
-        return df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).filter(F.col("id").isNotNull() & valid(F.col("vector")))
+        good = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).filter(F.col("id").isNotNull() & valid(F.col("vector")))
+        return good.groupBy("id").agg(F.min("vector").alias("vector"))
 
     spark = vectors.sparkSession
-    base = taking_part(vectors)
+    base = store(taking_part(vectors), "ann-vectors")
     sizes = base.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").first()
     if sizes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -227,8 +228,7 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
             order = np.lexsort((v_id[at], -exact, row))
             row, at, exact = row[order], at[order], exact[order]
             begin = np.searchsorted(row, row)
-            # a vector that is posted twice under one id counts once later, so equal ids may not use up the places
-            kept = np.arange(len(row)) - begin < 2 * nearest
+            kept = np.arange(len(row)) - begin < nearest
             out.append(pa.table([q_id[start + row[kept]], v_id[at[kept]], exact[kept]], schema=schema))
         return pa.concat_tables(out)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from askloom.llm import ann, decontamination, language_id, ngram_join, paragraph_dedup, pieces, pii, secrets, warc
+from askloom.llm import ann, decontamination, html_text, language_id, ngram_join, paragraph_dedup, pieces, pii, secrets, warc
 from askloom.llm.common import read
 from askloom.llm.registry import query
 
@@ -118,3 +118,9 @@ def _(spark, sf):
 def _(spark, sf):
     vectors = read(spark, sf, "embeddings")
     return ann.search(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
+@query("op1_html_text")
+def _(spark, sf):
+    return html_text.extract(read(spark, sf, "pages").select("page_id", "url", "html")).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
