@@ -43,6 +43,26 @@ def largest_difference(size: np.ndarray) -> np.ndarray:
     return 2 * size * (100 - PERCENT) // (100 + PERCENT)
 
 
+def block_numbers(cls: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(blocks, largest difference) of the classes ``cls``."""
+    differ = largest_difference(starts[np.minimum(cls + 1, len(starts) - 1)] - 1)
+    return differ + 1 + np.ceil(SPARE * (differ + 1)).astype(np.int64), differ
+
+
+def least_common(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Fewest blocks with elements that each set has in common with a linked one that is no larger; at least 1."""
+    sizes = np.diff(offsets)
+    if not len(tokens):
+        return np.ones(len(sizes), np.int64)
+    starts = class_starts(int(sizes.max()))
+    blocks, differ = block_numbers(np.maximum(np.searchsorted(starts, sizes, "right") - 1, 0), starts)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    place = (tokens >> np.uint64(32)) * blocks[owner].astype(np.uint64) >> np.uint64(32)
+    cut = np.ones(len(owner), bool)
+    cut[1:] = (owner[1:] != owner[:-1]) | (place[1:] != place[:-1])
+    return np.maximum(1, np.bincount(owner[cut], minlength=len(sizes)) - differ)
+
+
 def block_postings(tokens: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(key, number of the set) for the blocks of all sets."""
     sizes = np.diff(offsets)
@@ -56,8 +76,7 @@ def block_postings(tokens: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     with np.errstate(over="ignore"):
         for step in range(int((highest - own)[sizes > 0].max()) + 1):
             cls = own + step
-            differ = largest_difference(starts[np.minimum(cls + 1, len(starts) - 1)] - 1)
-            blocks = differ + 1 + np.ceil(SPARE * (differ + 1)).astype(np.int64)
+            blocks, differ = block_numbers(cls, starts)
             # sets that differ in nothing are equal and need no list
             use = (sizes > 0) & (cls <= highest) & (differ > 0)
             if not use.any():
@@ -86,8 +105,8 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start, texts in slices(batch.column(1)):
             tokens, offsets = shingle_sets(texts)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array(np.diff(offsets)),
-                                              pa.array(set_ids(tokens, offsets))], ["doc_id", "n_shingles", "set_id"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array(np.diff(offsets)), pa.array(set_ids(tokens, offsets)),
+                                              pa.array(least_common(tokens, offsets))], ["doc_id", "n_shingles", "set_id", "need"])
 
 
 def _posting_task(buckets: int):
@@ -137,14 +156,14 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     empty table gives no rows.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    described = store(base.mapInArrow(_describe, "doc_id long, n_shingles long, set_id long"), "ngram-described")
+    described = store(base.mapInArrow(_describe, "doc_id long, n_shingles long, set_id long, need long"), "ngram-described")
     filled = described.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    sets = filled.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size"))
+    sets = filled.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size"), F.max("need").alias("need"))
     postings = base.filter("doc_id IS NOT NULL").select("text").mapInArrow(_posting_task(setindex.bucket_count(base)), setindex.POSTINGS)
     lists = setindex.shared_lists(postings, "ngram")
 
     def contents(ids: DataFrame) -> DataFrame:
-        wanted = sets.join(ids, "set_id").select(F.col("rep").alias("doc_id"), "set_id")
+        wanted = store(sets.join(ids, "set_id").select(F.col("rep").alias("doc_id"), "set_id"), "ngram-wanted")
         texts = base.join(wanted, "doc_id").mapInArrow(_of_the_set, "set_id long, content string")
         return texts.groupBy("set_id").agg(F.min("content").alias("content"))
 

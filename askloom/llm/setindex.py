@@ -23,6 +23,8 @@ PAIRS_PER_TASK_GROUP = 64
 """Comparisons with one leader that are dealt out together."""
 POSTINGS = "bucket int, keys binary, sets binary, numbers binary, shared boolean"
 LISTS = "key long, set_id long"
+FIRST_LEADERS, GROWTH = 16, 16
+_SIDE = {"set_id": "id", "comp": "comp", "size": "size", "need": "need"}
 LOCAL_BITS = 40
 
 
@@ -118,38 +120,44 @@ def resolve(lists: DataFrame, sets: DataFrame, contents: Callable[[DataFrame], D
             compare: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], percent: int, name: str) -> DataFrame:
     """(set_id, component) of all sets with a link: two sets that share a list, compared by ``compare``.
 
-    ``sets``: set_id, size. ``contents(ids)`` gives (set_id, content) for the ids of the lists. ``compare`` turns batches of
+    ``sets``: set_id, size and need, the least number of lists that the set shares with a linked one that is no larger. ``contents(ids)`` gives (set_id, content) for the ids of the lists. ``compare`` turns batches of
     (a, b, content_a, content_b) into (a, b, similarity, linked), similarity a Jaccard similarity.
 
     Each list elects leaders, first one, then ever more of them, and its members are compared with the leaders only. A list whose
-    members are all in one component is finished: its other pairs can't change any answer. A member's answers about a leader
+    members are all in one component is finished: its other pairs can't change any answer. Pairs that share too few lists are
+    left out, counting the lists they may share unseen. A member's answers about a leader
     are derived from its own leader's: Jaccard distance is a metric, so a pair whose distances to a common leader differ by more
     than the threshold is skipped. The rounds end when no unfinished list has a pair that was neither compared nor skipped.
     """
-    sizes = sets.select("set_id", "size")
-    items = store(contents(lists.select("set_id").distinct()), f"{name}-items")
-    done = comps = longest = None
-    leaders = 1
+    lists = store(lists.distinct().join(sets.select("set_id", "size", "need"), "set_id"), f"{name}-sized")
+    done = comps = None
+    leaders = FIRST_LEADERS
     while True:
-        if done is None:
-            open_lists = lists.distinct().withColumn("comp", F.col("set_id"))
-        else:
-            labelled = lists.distinct().withColumn("comp", F.col("set_id")) if comps is None else lists.distinct().join(
-                comps, "set_id", "left").withColumn("comp", F.coalesce("component", "set_id")).drop("component")
-            state = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-            open_lists = store(labelled.join(state, "key"), f"{name}-open")
-            longest = open_lists.groupBy("key").count().agg(F.max("count")).first()[0]
-            if longest is None:
-                break
+        labelled = lists.withColumn("comp", F.col("set_id")) if comps is None else lists.join(comps, "set_id", "left").withColumn(
+            "comp", F.coalesce("component", "set_id")).drop("component")
+        state = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members"))
+        open_lists = store(labelled.join(state.filter("lo <> hi").select("key", "members"), "key"), f"{name}-open")
+        longest = open_lists.agg(F.max("members")).first()[0]
+        if longest is None:
+            break
         elected = open_lists.withColumn("_rank", F.row_number().over(W.partitionBy("key").orderBy(F.xxhash64("set_id"), "set_id")))
-        elected = elected.filter(F.col("_rank") <= leaders).select("key", F.col("set_id").alias("b"), F.col("comp").alias("comp_b"))
-        met = open_lists.withColumnRenamed("set_id", "a").join(elected, "key").filter("a <> b AND comp <> comp_b")
+        elected = elected.filter(F.col("_rank") <= leaders).select("key", *[F.col(c).alias(f"{n}_b") for c, n in _SIDE.items()])
+        met = open_lists.select("key", *[F.col(c).alias(f"{n}_a") for c, n in _SIDE.items()]).join(elected, "key")
         # a pair of two leaders is met twice; the one with the smaller hash leads
-        met = met.filter(F.struct(F.xxhash64("a"), F.col("a")) > F.struct(F.xxhash64("b"), F.col("b")))
-        met = met.groupBy("a", "b").agg(F.count("*").alias("common"))
-        met = met.join(sizes.withColumnsRenamed({"set_id": "a", "size": "size_a"}), "a").join(
-            sizes.withColumnsRenamed({"set_id": "b", "size": "size_b"}), "b").filter(
+        met = met.filter("id_a <> id_b AND comp_a <> comp_b").filter(
+            F.struct(F.xxhash64("id_a"), F.col("id_a")) > F.struct(F.xxhash64("id_b"), F.col("id_b"))).filter(
             F.lit(100) * F.least("size_a", "size_b") >= F.lit(percent) * F.greatest("size_a", "size_b"))
+        need = F.when(F.col("size_a") >= F.col("size_b"), F.col("need_a")).otherwise(F.col("need_b"))
+        met = met.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.count("*").alias("common"), F.first(need).alias("need"))
+        if longest > leaders:
+            # lists where b may be without having led hold keys that were not counted
+            more = open_lists.filter(F.col("members") > leaders).groupBy("set_id").agg(F.count("*").alias("more"))
+            for side in ("a", "b"):
+                met = met.join(more.withColumnsRenamed({"set_id": side, "more": f"more_{side}"}), side, "left")
+            met = met.withColumn("most", F.col("common") + F.least(F.coalesce("more_a", F.lit(0)), F.coalesce("more_b", F.lit(0))))
+        else:
+            met = met.withColumn("most", F.col("common"))
+        met = met.filter("most >= need")
         if done is None:
             # the first round asks only each set's most frequent leader
             pairs = met.groupBy("a").agg(F.max_by("b", F.struct("common", "b")).alias("b"))
@@ -160,13 +168,22 @@ def resolve(lists: DataFrame, sets: DataFrame, contents: Callable[[DataFrame], D
             pairs = met.select("a", "b").join(done.select("a", "b"), ["a", "b"], "left_anti").join(own, "a", "left").join(
                 of_b, ["b", "leader"], "left").filter(
                 F.expr(f"far IS NULL OR near - far <= {1 - percent / 100} + 1e-9")).select("a", "b")
-        new = store(_paired(pairs, items).select("a", "b", "content_a", "content_b").mapInArrow(
-            compare, "a long, b long, similarity double, linked boolean"), f"{name}-compared")
-        linked, asked = new.filter("linked").count(), new.count()
-        if done is not None and not asked and longest <= leaders:
+        pairs = store(pairs, f"{name}-pairs")
+        asked = pairs.count()
+        if not asked and done is not None and longest <= leaders:
             break
-        done = new if done is None else done.unionByName(new)
-        if linked:
-            comps = store(components(done.filter("linked"), "a", "b", name).withColumnRenamed("node", "set_id"), f"{name}-comps")
-        leaders *= 16
+        first = done is None
+        if asked:
+            ids = store(pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct(), f"{name}-ids")
+            new = store(_paired(pairs, store(contents(ids), f"{name}-items")).select("a", "b", "content_a", "content_b").mapInArrow(
+                compare, "a long, b long, similarity double, linked boolean"), f"{name}-compared")
+            done = new if done is None else done.unionByName(new)
+            if new.filter("linked").limit(1).count():
+                comps = store(components(done.filter("linked"), "a", "b", name).withColumnRenamed("node", "set_id"), f"{name}-comps")
+        elif done is None:
+            if longest <= leaders:
+                break
+            done = lists.sparkSession.createDataFrame([], "a long, b long, similarity double, linked boolean")
+        if not first:
+            leaders *= GROWTH
     return comps if comps is not None else sets.sparkSession.createDataFrame([], "set_id long, component long")
