@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -30,9 +31,16 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def bytes_of(size: str) -> int:
+    """Bytes of a Spark size setting such as ``10485760``, ``256k``, ``100MB`` or ``-1``."""
+    found = re.fullmatch(r"(-?\d+)\s*([kmgtp]?)i?b?", size.strip().lower())
+    if not found:
+        raise ValueError(f"not a size: {size}")
+    return int(found[1]) << 10 * " kmgtp".index(found[2] or " ")
+
+
 def broadcast_limit(df: DataFrame) -> int:
-    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    return int(limit.rstrip("b"))
+    return bytes_of(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760"))
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread: Column, growth: int = 1, salts: int = 16) -> DataFrame:

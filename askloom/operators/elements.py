@@ -81,12 +81,6 @@ def parse_markdown(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("elements", _numbered(blocks, F.lit(1)))
 
 
-def parse_lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Plain text: every non-blank line is a paragraph."""
-    lines = F.transform(F.split(F.col(text), "\n", -1), lambda l: _block("PARAGRAPH", trim_controls(l)))
-    return docs.withColumn("elements", _numbered(lines, F.lit(1)))
-
-
 def _html_text(c: Column, keep_lines: bool = False) -> Column:
     t = F.regexp_replace(c, r"(?is)<[^>]*>", "")
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "),

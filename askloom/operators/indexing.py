@@ -122,11 +122,6 @@ def asked_term_counts(chunks: DataFrame, terms: DataFrame, *keys: str, text: str
         F.count(F.lit(1)).alias("tf"))
 
 
-def write_postings(postings: DataFrame, table: str, buckets: int = 256) -> None:
-    """Keep the postings as a table bucketed by term, so a term join reads them without a shuffle."""
-    postings.write.mode("overwrite").bucketBy(buckets, "term").sortBy("term").saveAsTable(table)
-
-
 def attach_parent(chunks: DataFrame) -> DataFrame:
     """Children with their parent's content, joined on document, strategy and parent position."""
     parents = chunks.filter(F.col("kind") == "parent").select(

@@ -26,11 +26,6 @@ def query_profile(log: DataFrame) -> DataFrame:
         F.coalesce(F.array_contains("chosen_ids", F.col("c.chunkId")), F.lit(False)).alias("chosen"))
 
 
-def candidate_rows(log: DataFrame) -> DataFrame:
-    """Logged candidates with their position in the list."""
-    return rows_of(parse_log(log), "candidates", "id", "kb_id", item="c")
-
-
 def conversation_listing(conversations: DataFrame, messages: DataFrame, n: int = 30) -> DataFrame:
     """Last updated ``n`` conversations per knowledge base and visitor with their message counts, zeros kept."""
     counts = messages.groupBy("conv_id").agg(F.count(F.lit(1)).alias("msg_count"))

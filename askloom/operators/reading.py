@@ -15,23 +15,24 @@ HIGHLIGHT_MAX_OFFSET = 5
 def chunk_context(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """Chunk with document, parent content and the neighbour children at ``chunk_index`` ± 1 (a gap gives null).
 
-    chunks (chunk_id, doc_id, chunk_index, parent_id, content, ...). Each child is handed to its two neighbour
-    positions and grouped with the chunk there, so one shuffle by (document, position) serves both neighbours
-    and no document is gathered in one task.
+    chunks (chunk_id, doc_id, chunk_index, parent_id, content, ...); a column ``strategy`` keeps chunks of several strategies apart. Each
+    child is handed to its two neighbour positions and grouped with the chunk there, so one shuffle by (document, strategy, position)
+    serves both neighbours and no document is gathered in one task.
     """
+    keys = ["doc_id", "strategy"] if "strategy" in chunks.columns else ["doc_id"]
     own = F.struct("chunk_id", "parent_id", "content", "section_path", "page_no")
-    own_rows = chunks.select("doc_id", "chunk_index", own.alias("c"), F.lit(None).cast("string").alias("prev_content"),
+    own_rows = chunks.select(*keys, "chunk_index", own.alias("c"), F.lit(None).cast("string").alias("prev_content"),
                              F.lit(None).cast("string").alias("next_content"))
     kind = own_rows.schema["c"].dataType
 
     def offer(step: int, name: str) -> DataFrame:
         other = "next_content" if name == "prev_content" else "prev_content"
         return chunks.filter(F.col("parent_id").isNotNull()).select(
-            "doc_id", (F.col("chunk_index") + step).alias("chunk_index"), F.lit(None).cast(kind).alias("c"),
+            *keys, (F.col("chunk_index") + step).alias("chunk_index"), F.lit(None).cast(kind).alias("c"),
             F.col("content").alias(name), F.lit(None).cast("string").alias(other))
 
     rows = own_rows.unionByName(offer(1, "prev_content")).unionByName(offer(-1, "next_content"))
-    cards = rows.groupBy("doc_id", "chunk_index").agg(
+    cards = rows.groupBy(*keys, "chunk_index").agg(
         F.max("c").alias("c"), F.max("prev_content").alias("prev_content"), F.max("next_content").alias("next_content"))
     cards = cards.filter("c is not null").select("doc_id", "chunk_index", "c.*", "prev_content", "next_content")
     parents = chunks.select(F.col("chunk_id").alias("parent_id"), F.col("content").alias("parent_content"))

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from askloom.functions.arrays import rows_of
@@ -358,14 +359,10 @@ def prompt_table(questions: DataFrame, context: DataFrame, units: DataFrame, his
 def history_window(messages: DataFrame, turns: int = HISTORY_TURNS, chars: int = HISTORY_CHARS) -> DataFrame:
     """For every message the ``turns`` messages before it, cut to ``chars``.
 
-    messages (conv_id, turn, role, content), ``turn`` counting up by one inside a conversation. Each message is
-    handed to the next ``turns`` positions, so the grouping key is a single message and a long conversation is
-    never gathered in one task.
+    messages (conv_id, turn, role, content), ordered by ``turn`` inside a conversation. Messages are counted, not turn numbers, so gaps
+    lose nothing. A conversation is read as a sorted stream with a frame of ``turns`` rows; messages that share a turn see the ones
+    sorted before them and are told apart by role and content.
     """
     cut = messages.select("conv_id", "turn", "role", F.substring("content", 1, chars).alias("content"))
-    given = cut.select("conv_id", F.explode(F.sequence(F.col("turn") + 1, F.col("turn") + turns)).alias("at"),
-                       F.struct("turn", "role", "content").alias("m"))
-    windows = given.groupBy("conv_id", F.col("at").alias("turn")).agg(F.array_sort(F.collect_list("m")).alias("history"))
-    return messages.select("conv_id", "turn").join(windows, ["conv_id", "turn"], "left").withColumn(
-        "history", F.coalesce(F.transform("history", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))),
-                              F.expr("cast(array() as array<struct<role:string,content:string>>)")))
+    before = W.partitionBy("conv_id").orderBy("turn", "role", "content").rowsBetween(-turns, -1)
+    return cut.select("conv_id", "turn", F.collect_list(F.struct("role", "content")).over(before).alias("history"))

@@ -198,10 +198,13 @@ def _(spark, sf):
     return _prompts(t.Funnel(spark, sf))
 
 
+t.cte("numbered", "SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS no FROM conversations")
+
+
 @query("r18_history_window", """
 SELECT conv_id, turn, coalesce(string_agg(role || ': ' || text, chr(10) ORDER BY prev), '') AS history FROM (
   SELECT m.conv_id, m.turn, p.turn AS prev, p.role, substr(p.text, 1, 200) AS text
-  FROM conversations m LEFT JOIN conversations p ON p.conv_id = m.conv_id AND p.turn BETWEEN m.turn - 6 AND m.turn - 1) GROUP BY ALL""")
+  FROM numbered m LEFT JOIN numbered p ON p.conv_id = m.conv_id AND p.no BETWEEN m.no - 6 AND m.no - 1) GROUP BY ALL""", ("numbered",))
 def _(spark, sf):
     rows = retrieval.history_window(t.messages(spark, sf))
     return rows.withColumn("history", F.array_join(F.transform("history", lambda h: F.concat(h["role"], F.lit(": "), h["content"])), "\n"))

@@ -24,13 +24,16 @@ def scan_parquet(spark: SparkSession, path: str, *columns: str) -> DataFrame:
 
 
 def scan_text_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row per text file below ``path``: file_name, file_type, size_bytes, text. File sizes are in the listing,
-    so a file over the admission limit is not read."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-             .filter(F.col("length") <= MAX_BYTES))
+    """One row per text file below ``path``: file_name, file_type, size_bytes, reason, text.
+
+    File sizes are in the listing, so a file over the admission limit is not read; it gives a row with the reason ``size`` and no text.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = base_name(F.col("path"))
-    return files.select(name.alias("file_name"), extension(name).alias("file_type"),
-                        F.col("length").alias("size_bytes"), F.decode("content", "UTF-8").alias("text"))
+    listed = [name.alias("file_name"), extension(name).alias("file_type"), F.col("length").alias("size_bytes")]
+    none = F.lit(None).cast("string")
+    fitting = files.filter(F.col("length") <= MAX_BYTES).select(*listed, none.alias("reason"), F.decode("content", "UTF-8").alias("text"))
+    return fitting.unionByName(files.filter(F.col("length") > MAX_BYTES).select(*listed, F.lit("size").alias("reason"), none.alias("text")))
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -14,9 +14,10 @@ from askloom.sources.sinks import write_chunks
 
 
 def document_stream(spark: SparkSession, path: str, schema, glob: str = "*.parquet", files_per_batch: int = 100) -> DataFrame:
-    """Parquet files of documents as they appear below ``path``."""
+    """Parquet files of documents as they appear below ``path``; ``arrived`` is the time a document's file was written."""
     return (spark.readStream.schema(schema).option("pathGlobFilter", glob)
-            .option("maxFilesPerTrigger", files_per_batch).parquet(path))
+            .option("maxFilesPerTrigger", files_per_batch).parquet(path)
+            .select("*", F.col("_metadata.file_modification_time").alias("arrived")))
 
 
 def ingest_stream(documents: DataFrame, store_path: str, status_path: str, checkpoint: str,
@@ -26,10 +27,12 @@ def ingest_stream(documents: DataFrame, store_path: str, status_path: str, check
 
     The batch functions are the ones a full run uses. Writing replaces by document and strategy, and a status file
     is named by its batch, so a replayed batch leaves the same tables. A document without text becomes a FAILED
-    status row instead of a failed batch. Of several versions of a document in one batch the longest text wins.
+    status row instead of a failed batch. Of several versions of a document in one batch the one with the latest ``arrived`` wins, as the
+    latest batch does between batches; ``arrived`` is a version or a time. Without it, or of equal ones, the greatest text by order.
     """
     def batch(docs: DataFrame, batch_id: int) -> None:
-        latest = docs.groupBy("doc_id").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
+        version = [c for c in ("arrived",) if c in docs.columns]
+        latest = docs.groupBy("doc_id").agg(F.max_by("text", F.struct(*version, "text")).alias("text"))
         parsed = parse(latest).drop("text").persist()
         try:
             write_chunks(chunk(parsed), store_path)
