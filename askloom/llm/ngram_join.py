@@ -8,8 +8,8 @@ a whole: sets that only share a passage or frequent words hardly ever fill a blo
 Sizes fall into classes of ratio 1.25, the largest ratio of two linked sets. A set posts its blocks for its own class and for every
 class that a larger partner can be in, each cut as finely as the largest possible difference asks for.
 
-Answers are derived from those of similar sets: equal sets are one set, members of a list are compared with its leaders only, and
-what a leader's answers already decide is skipped (see :func:`askloom.llm.setindex.resolve`).
+Answers are derived from those of similar sets: equal sets are one set, a set's answers are those of the component of the leader it is
+linked with, and only what these leave open is compared (see :func:`askloom.llm.setindex.resolve`).
 """
 
 from __future__ import annotations
@@ -49,64 +49,72 @@ def block_numbers(cls: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
     return differ + 1 + np.ceil(SPARE * (differ + 1)).astype(np.int64), differ
 
 
-def least_common(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Fewest blocks with elements that each set has in common with a linked one that is no larger; at least 1."""
+def cut_blocks(tokens: np.ndarray, offsets: np.ndarray) -> Iterator[tuple]:
+    """For each class that sets post in, beginning with their own: (class, blocks, largest difference, which sets post, number of the set
+    and position of every block with elements, its lane)."""
     sizes = np.diff(offsets)
     if not len(tokens):
-        return np.ones(len(sizes), np.int64)
+        return
     starts = class_starts(int(sizes.max()))
-    blocks, differ = block_numbers(np.maximum(np.searchsorted(starts, sizes, "right") - 1, 0), starts)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    place = (tokens >> np.uint64(32)) * blocks[owner].astype(np.uint64) >> np.uint64(32)
-    cut = np.ones(len(owner), bool)
-    cut[1:] = (owner[1:] != owner[:-1]) | (place[1:] != place[:-1])
-    return np.maximum(1, np.bincount(owner[cut], minlength=len(sizes)) - differ)
+    own = np.maximum(np.searchsorted(starts, sizes, "right") - 1, 0)
+    highest = np.searchsorted(starts, np.floor(sizes * RATIO).astype(np.int64), "right") - 1
+    content = mix(tokens)
+    for step in range(int((highest - own)[sizes > 0].max()) + 1):
+        cls = own + step
+        blocks, differ = block_numbers(cls, starts)
+        # sets that differ in nothing are equal and need no list
+        use = (sizes > 0) & (cls <= highest) & (differ > 0)
+        if not use.any():
+            continue
+        pick = np.repeat(use, sizes)
+        owner = np.repeat(np.arange(len(sizes)), sizes)[pick]
+        place = (tokens[pick] >> np.uint64(32)) * blocks[owner].astype(np.uint64) >> np.uint64(32)
+        cut = np.ones(len(owner), bool)
+        cut[1:] = (owner[1:] != owner[:-1]) | (place[1:] != place[:-1])
+        begin = np.flatnonzero(cut)
+        lane = (mix(np.add.reduceat(content[pick], begin)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        yield cls, blocks, differ, use, owner[begin], place[begin].astype(np.int64), lane
 
 
 def block_postings(tokens: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(key, number of the set) for the blocks of all sets."""
-    sizes = np.diff(offsets)
-    keys, owners = [], []
-    if not len(tokens):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    starts = class_starts(int(sizes.max()))
-    own = np.searchsorted(starts, sizes, "right") - 1
-    highest = np.searchsorted(starts, np.floor(sizes * RATIO).astype(np.int64), "right") - 1
-    content = mix(tokens)
-    with np.errstate(over="ignore"):
-        for step in range(int((highest - own)[sizes > 0].max()) + 1):
-            cls = own + step
-            blocks, differ = block_numbers(cls, starts)
-            # sets that differ in nothing are equal and need no list
-            use = (sizes > 0) & (cls <= highest) & (differ > 0)
-            if not use.any():
-                continue
-            pick = np.repeat(use, sizes)
-            owner = np.repeat(np.arange(len(sizes)), sizes)[pick]
-            place = (tokens[pick] >> np.uint64(32)) * blocks[owner].astype(np.uint64) >> np.uint64(32)
-            cut = np.ones(len(owner), bool)
-            cut[1:] = (owner[1:] != owner[:-1]) | (place[1:] != place[:-1])
-            begin = np.flatnonzero(cut)
-            who, where = owner[begin], place[begin]
-            label = mix(where + (cls[who].astype(np.uint64) << np.uint64(40)))
-            keys.append(mix(np.add.reduceat(content[pick], begin) + label))
-            owners.append(who)
-            empty = blocks - np.bincount(who, minlength=len(sizes))
-            for i in np.flatnonzero(use & (empty >= blocks - differ)).tolist():
-                none = np.setdiff1d(np.arange(blocks[i]), where[who == i].astype(np.int64)).astype(np.uint64)
-                keys.append(mix(mix(none + np.uint64(int(cls[i]) << 40))))
-                owners.append(np.full(len(none), i))
-    if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for cls, blocks, differ, use, who, where, lane in cut_blocks(tokens, offsets):
+        keys.append(setindex.list_keys(cls[who], where, lane))
+        owners.append(who)
+        empty = blocks - np.bincount(who, minlength=len(use))
+        # sets that may have nothing but empty blocks in common
+        for i in np.flatnonzero(use & (empty >= blocks - differ)).tolist():
+            none = np.setdiff1d(np.arange(blocks[i]), where[who == i])
+            keys.append(setindex.list_keys(np.full(len(none), cls[i]), none, np.zeros(len(none), np.uint32)))
+            owners.append(np.full(len(none), i))
     return np.concatenate(keys), np.concatenate(owners)
 
 
+def _lanes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start, texts in slices(batch.column(1)):
+            tokens, offsets = shingle_sets(texts)
+            for step, (cls, blocks, differ, use, who, where, lane) in enumerate(cut_blocks(tokens, offsets)):
+                filled = np.bincount(who, minlength=len(use))
+                table = np.zeros((len(use), setindex.NARROW), np.uint32)
+                near = where < setindex.NARROW
+                table[who[near], where[near]] = lane[near]
+                rows = np.flatnonzero(use)
+                wide, narrow = setindex.lane_columns(table[rows], blocks[rows])
+                need = np.where(blocks <= setindex.NARROW, filled - differ, 0)[rows]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(start, len(texts)).take(pa.array(rows)), pa.array(cls[rows], pa.int32()), pa.array(np.full(len(rows), step == 0)),
+                     pa.array(np.maximum(need, 0), pa.int32()), pa.array(np.diff(offsets)[rows]), pa.array(wide, pa.binary()), pa.array(narrow, pa.binary())],
+                    ["set_id", "cls", "own", "need", "size", "wide", "narrow"])
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start, texts in slices(batch.column(1)):
             tokens, offsets = shingle_sets(texts)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array(np.diff(offsets)), pa.array(set_ids(tokens, offsets)),
-                                              pa.array(least_common(tokens, offsets))], ["doc_id", "n_shingles", "set_id", "need"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array(np.diff(offsets)), pa.array(set_ids(tokens, offsets))],
+                                             ["doc_id", "n_shingles", "set_id"])
 
 
 def _posting_task(buckets: int):
@@ -156,9 +164,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     empty table gives no rows.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    described = store(base.mapInArrow(_describe, "doc_id long, n_shingles long, set_id long, need long"), "ngram-described")
+    described = store(base.mapInArrow(_describe, "doc_id long, n_shingles long, set_id long"), "ngram-described")
     filled = described.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    sets = filled.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size"), F.max("need").alias("need"))
+    sets = filled.groupBy("set_id").agg(F.min("doc_id").alias("rep"))
     postings = base.filter("doc_id IS NOT NULL").select("text").mapInArrow(_posting_task(setindex.bucket_count(base)), setindex.POSTINGS)
     lists = setindex.shared_lists(postings, "ngram")
 
@@ -167,7 +175,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         texts = base.join(wanted, "doc_id").mapInArrow(_of_the_set, "set_id long, content string")
         return texts.groupBy("set_id").agg(F.min("content").alias("content"))
 
-    linked = setindex.resolve(lists, sets, contents, _compare, PERCENT, "ngram")
+    linked = setindex.resolve(lists, contents, _lanes, _compare, PERCENT, "ngram")
     labelled = sets.join(linked, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     least = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
     per_set = labelled.join(least, "component").select("set_id", "component_id")

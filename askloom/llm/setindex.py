@@ -1,8 +1,11 @@
-"""Index lists over sets: packed postings, lists of keys that several sets share, and links resolved list by list.
+"""Index lists over sets: packed postings, lists of keys that several sets share, and links resolved over the lists.
 
 A posting is (key, set). Postings travel packed per bucket of the key space, so that the many keys that only one set has never become
 rows. Sets that share a key within one slice of a task are known to share it and go straight to the lists; only the first of them
 is sent on. A key that a third of all sets hold therefore sends one posting per slice.
+
+A key is a function of (class, position, lane); a lane is a 32-bit hash of what a set holds at that position. The lanes of two sets tell
+in how many lists they meet and which of these is the first, so a pair is judged in one list only, before it becomes a row.
 """
 
 from __future__ import annotations
@@ -12,22 +15,41 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from askloom.llm.common import partitions, store
+from askloom.llm.common import mix, partitions, store
 from askloom.llm.components import components
 
 BUCKETS_PER_PARTITION = 4
 PAIRS_PER_TASK_GROUP = 64
-"""Comparisons with one leader that are dealt out together."""
+"""Comparisons with one set that are dealt out together."""
+TILE = 1024
+"""Members of a list that meet in one tile; a longer list is cut into shares, and every two shares meet in a tile of their own."""
+PAIRS_AT_ONCE = 1 << 17
+WIDE, NARROW = 16, 256
+"""Positions whose whole lanes travel with a set, and most positions of which a byte each does."""
 POSTINGS = "bucket int, keys binary, sets binary, numbers binary, shared boolean"
 LISTS = "key long, set_id long"
-FIRST_LEADERS, GROWTH = 16, 16
-_SIDE = {"set_id": "id", "comp": "comp", "size": "size", "need": "need"}
+LANES = "set_id long, cls int, own boolean, need int, size long, wide binary, narrow binary"
+CANDIDATES = "a long, b long"
 LOCAL_BITS = 40
 
 
+def list_keys(cls: np.ndarray, place: np.ndarray, lane: np.ndarray) -> np.ndarray:
+    """Key of the list of ``lane`` at ``place``; its last byte is the class."""
+    with np.errstate(over="ignore"):
+        key = mix(mix(place.astype(np.uint64) + (cls.astype(np.uint64) << np.uint64(40))) + lane.astype(np.uint64))
+    return (key & ~np.uint64(255)) | cls.astype(np.uint64)
+
+
+def lane_columns(lanes: np.ndarray, lengths: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """(wide, narrow) of each row of ``lanes`` (0: nothing at that position), with ``lengths`` positions each."""
+    wide = np.zeros((len(lanes), WIDE), np.uint32)
+    wide[:, :lanes.shape[1]] = lanes[:, :WIDE]
+    byte = np.where(lanes == 0, 0, np.maximum(lanes >> np.uint32(8) & np.uint32(255), 1)).astype(np.uint8)
+    return [w.tobytes() for w in wide], [b[:n].tobytes() if n <= NARROW else b"" for b, n in zip(byte, lengths.tolist(), strict=True)]
+
+
 def pack(keys: np.ndarray, sets: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes, bytes, bytes, bool]]:
     """Rows of :data:`POSTINGS` for the postings of one slice; five bytes of a key are kept beside its bucket."""
     bucket = ((keys >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
@@ -116,74 +138,105 @@ def _paired(pairs: DataFrame, items: DataFrame) -> DataFrame:
     return left.join(right, ["b", "share"])
 
 
-def resolve(lists: DataFrame, sets: DataFrame, contents: Callable[[DataFrame], DataFrame],
+def _plausible(rows: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of whole tiles, ``rows`` in order of tiles: of different components, of sizes within ``percent``, with enough lanes in common,
+    and in the first list in which the two meet."""
+    key, lower, upper, comp, share, ids, size, own, need, cls = (
+        rows[c].to_numpy() for c in ("key", "lower", "upper", "comp", "share", "set_id", "size", "own", "need", "cls"))
+    wide = np.frombuffer(b"".join(rows["wide"].to_pylist()), np.uint32).reshape(-1, WIDE)
+    narrow = np.frombuffer(b"".join(b.ljust(NARROW, b"\0") for b in rows["narrow"].to_pylist()), np.uint8).reshape(-1, NARROW)
+    cuts = np.flatnonzero((key[1:] != key[:-1]) | (lower[1:] != lower[:-1]) | (upper[1:] != upper[:-1])) + 1
+    ends = np.repeat(np.append(cuts, len(key)), np.diff(np.concatenate(([0], cuts, [len(key)]))))
+    partners = ends - np.arange(len(key)) - 1
+    total = np.cumsum(partners)
+    start = 0
+    while start < len(key):
+        stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + PAIRS_AT_ONCE, "right")))
+        number = partners[start:stop]
+        a = np.repeat(np.arange(start, stop), number)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(number) - number, number)
+        start = stop
+        use = (comp[a] != comp[b]) & (own[a] | own[b]) & ((lower[a] == upper[a]) | (share[a] != share[b]))
+        use &= 100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])
+        a, b = a[use], b[use]
+        same = (wide[a] == wide[b]) & (wide[a] != 0)
+        first = same.argmax(axis=1)
+        # a list's key keeps the low bits; a bucket stands for the others
+        meets = (list_keys(cls[a], first, wide[a, first]).view(np.int64) ^ key[a]) & ((1 << LOCAL_BITS) - 1) == 0
+        use = ~same.any(axis=1) | meets
+        a, b = a[use], b[use]
+        least = np.maximum(need[a], need[b])
+        use = least <= 0
+        for at in range(0, len(a), PAIRS_AT_ONCE >> 3):
+            part = slice(at, at + (PAIRS_AT_ONCE >> 3))
+            x, y = narrow[a[part]], narrow[b[part]]
+            use[part] |= ((x == y) & (x != 0)).sum(axis=1) >= least[part]
+        a, b = ids[a[use]], ids[b[use]]
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def _tile_task(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            held = rows if held is None else pa.concat_tables([held, rows])
+            key, lower, upper = (held[c].to_numpy() for c in ("key", "lower", "upper"))
+            # the last tile may go on in the next batch
+            before = np.flatnonzero((key != key[-1]) | (lower != lower[-1]) | (upper != upper[-1]))
+            if len(before):
+                last = int(before[-1]) + 1
+                yield from _plausible(held.slice(0, last), percent)
+                held = held.slice(last)
+        if held is not None and held.num_rows:
+            yield from _plausible(held, percent)
+    return run
+
+
+def _candidates(open_lists: DataFrame, lanes: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the open lists that their lanes do not rule out."""
+    shares = F.ceil(F.col("members") / TILE).cast("int")
+    dealt = open_lists.withColumn("cls", F.expr("CAST(key & 255 AS INT)")).withColumn(
+        "share", F.pmod(F.xxhash64("set_id"), shares).cast("int")).select(
+        "key", "cls", "set_id", "comp", "share", F.explode(F.sequence(F.lit(0), shares - 1)).alias("other"))
+    rows = dealt.join(lanes, ["set_id", "cls"]).select(
+        "key", F.least("share", "other").alias("lower"), F.greatest("share", "other").alias("upper"), "share", "set_id", "comp", "cls", "own", "need",
+        "size", "wide", "narrow")
+    number = partitions(open_lists.sparkSession)
+    tiles = rows.repartition(number, "key", "lower", "upper").sortWithinPartitions("key", "lower", "upper")
+    return tiles.mapInArrow(_tile_task(percent), CANDIDATES).distinct()
+
+
+def resolve(lists: DataFrame, contents: Callable[[DataFrame], DataFrame], lanes: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
             compare: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], percent: int, name: str) -> DataFrame:
     """(set_id, component) of all sets with a link: two sets that share a list, compared by ``compare``.
 
-    ``sets``: set_id, size and need, the least number of lists that the set shares with a linked one that is no larger. ``contents(ids)`` gives (set_id, content) for the ids of the lists. ``compare`` turns batches of
-    (a, b, content_a, content_b) into (a, b, similarity, linked), similarity a Jaccard similarity.
+    ``contents(ids)`` gives (set_id, content) for the ids of the lists. ``lanes`` turns batches of (set_id, content) into :data:`LANES`, a row
+    for each class a set posts in: own tells its own class, need the fewest lanes that it has in common with a linked set (0 where narrow is
+    empty). ``compare`` turns batches of (a, b, content_a, content_b) into (a, b, similarity, linked).
 
-    Each list elects leaders, first one, then ever more of them, and its members are compared with the leaders only. A list whose
-    members are all in one component is finished: its other pairs can't change any answer. Pairs that share too few lists are
-    left out, counting the lists they may share unseen. A member's answers about a leader
-    are derived from its own leader's: Jaccard distance is a metric, so a pair whose distances to a common leader differ by more
-    than the threshold is skipped. The rounds end when no unfinished list has a pair that was neither compared nor skipped.
+    First every set is compared with the leader it meets in most lists; its answers are then those of the leader's component. A list whose
+    members are all in one component is finished: its other pairs can't change any answer. In the others, pairs of different components whose
+    lanes agree often enough are compared, each once. Nothing is left out but pairs that can't be linked.
     """
-    lists = store(lists.distinct().join(sets.select("set_id", "size", "need"), "set_id"), f"{name}-sized")
-    done = comps = None
-    leaders = FIRST_LEADERS
-    while True:
-        labelled = lists.withColumn("comp", F.col("set_id")) if comps is None else lists.join(comps, "set_id", "left").withColumn(
-            "comp", F.coalesce("component", "set_id")).drop("component")
-        state = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members"))
-        open_lists = store(labelled.join(state.filter("lo <> hi").select("key", "members"), "key"), f"{name}-open")
-        longest = open_lists.agg(F.max("members")).first()[0]
-        if longest is None:
-            break
-        elected = open_lists.withColumn("_rank", F.row_number().over(W.partitionBy("key").orderBy(F.xxhash64("set_id"), "set_id")))
-        elected = elected.filter(F.col("_rank") <= leaders).select("key", *[F.col(c).alias(f"{n}_b") for c, n in _SIDE.items()])
-        met = open_lists.select("key", *[F.col(c).alias(f"{n}_a") for c, n in _SIDE.items()]).join(elected, "key")
-        # a pair of two leaders is met twice; the one with the smaller hash leads
-        met = met.filter("id_a <> id_b AND comp_a <> comp_b").filter(
-            F.struct(F.xxhash64("id_a"), F.col("id_a")) > F.struct(F.xxhash64("id_b"), F.col("id_b"))).filter(
-            F.lit(100) * F.least("size_a", "size_b") >= F.lit(percent) * F.greatest("size_a", "size_b"))
-        need = F.when(F.col("size_a") >= F.col("size_b"), F.col("need_a")).otherwise(F.col("need_b"))
-        met = met.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.count("*").alias("common"), F.first(need).alias("need"))
-        if longest > leaders:
-            # lists where b may be without having led hold keys that were not counted
-            more = open_lists.filter(F.col("members") > leaders).groupBy("set_id").agg(F.count("*").alias("more"))
-            for side in ("a", "b"):
-                met = met.join(more.withColumnsRenamed({"set_id": side, "more": f"more_{side}"}), side, "left")
-            met = met.withColumn("most", F.col("common") + F.least(F.coalesce("more_a", F.lit(0)), F.coalesce("more_b", F.lit(0))))
-        else:
-            met = met.withColumn("most", F.col("common"))
-        met = met.filter("most >= need")
-        if done is None:
-            # the first round asks only each set's most frequent leader
-            pairs = met.groupBy("a").agg(F.max_by("b", F.struct("common", "b")).alias("b"))
-        else:
-            own = done.groupBy("a").agg(F.max_by(F.struct(F.col("b").alias("leader"), "similarity"), "similarity").alias("own"))
-            own = own.select("a", F.col("own.leader").alias("leader"), F.col("own.similarity").alias("near"))
-            of_b = done.select(F.col("a").alias("b"), F.col("b").alias("leader"), F.col("similarity").alias("far"))
-            pairs = met.select("a", "b").join(done.select("a", "b"), ["a", "b"], "left_anti").join(own, "a", "left").join(
-                of_b, ["b", "leader"], "left").filter(
-                F.expr(f"far IS NULL OR near - far <= {1 - percent / 100} + 1e-9")).select("a", "b")
-        pairs = store(pairs, f"{name}-pairs")
-        asked = pairs.count()
-        if not asked and done is not None and longest <= leaders:
-            break
-        first = done is None
-        if asked:
-            ids = store(pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct(), f"{name}-ids")
-            new = store(_paired(pairs, store(contents(ids), f"{name}-items")).select("a", "b", "content_a", "content_b").mapInArrow(
-                compare, "a long, b long, similarity double, linked boolean"), f"{name}-compared")
-            done = new if done is None else done.unionByName(new)
-            if new.filter("linked").limit(1).count():
-                comps = store(components(done.filter("linked"), "a", "b", name).withColumnRenamed("node", "set_id"), f"{name}-comps")
-        elif done is None:
-            if longest <= leaders:
-                break
-            done = lists.sparkSession.createDataFrame([], "a long, b long, similarity double, linked boolean")
-        if not first:
-            leaders *= GROWTH
-    return comps if comps is not None else sets.sparkSession.createDataFrame([], "set_id long, component long")
+    head = F.min(F.struct(F.xxhash64("set_id").alias("h"), "set_id")).getField("set_id")
+    met = lists.join(lists.groupBy("key").agg(head.alias("b")), "key").filter("set_id <> b").groupBy(F.col("set_id").alias("a"), "b").agg(
+        F.count("*").alias("common"))
+    led = store(met.groupBy("a").agg(F.max_by("b", F.struct("common", "b")).alias("b")), f"{name}-led")
+
+    def judged(pairs: DataFrame, items: DataFrame, step: str) -> DataFrame:
+        rows = _paired(pairs, items).select("a", "b", "content_a", "content_b")
+        return store(rows.mapInArrow(compare, "a long, b long, similarity double, linked boolean").filter("linked"), f"{name}-{step}")
+
+    items = store(contents(lists.select("set_id").distinct()), f"{name}-items")
+    linked = judged(led, items, "linked")
+    comps = store(components(linked, "a", "b", name).withColumnRenamed("node", "set_id"), f"{name}-comps")
+    labelled = lists.join(comps, "set_id", "left").withColumn("comp", F.coalesce("component", "set_id")).drop("component")
+    state = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members"))
+    open_lists = labelled.join(state.filter("lo <> hi").select("key", "members"), "key")
+    sides = store(items.mapInArrow(lanes, LANES), f"{name}-lanes")
+    pairs = store(_candidates(open_lists, sides, percent), f"{name}-pairs")
+    more = judged(pairs, items, "more")
+    edges = linked.select("a", "b").union(more.select("a", "b"))
+    return components(edges, "a", "b", name).withColumnRenamed("node", "set_id")

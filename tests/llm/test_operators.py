@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 import pytest
 
-from askloom.llm import ann, decontamination, html_text, language_id, ngram_join, paragraph_dedup, pieces, warc
+from askloom.llm import ann, decontamination, html_text, language_id, ngram_join, paragraph_dedup, pieces, setindex, warc
 from askloom.llm.components import components
 
 WORDS = {"en": "the house stands near this river with many trees and birds".split(), "de": "das haus steht nahe dem fluss mit vielen bäumen und vögeln".split(),
@@ -79,8 +79,31 @@ def test_ngram_blocks_lose_no_link():
                 continue
             keys, owner = ngram_join.block_postings(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)]))
             common = len(np.intersect1d(keys[owner == 0], keys[owner == 1]))
-            large = a if len(a) >= len(b) else b
-            assert common >= max(1, ngram_join.least_common(large, np.array([0, len(large)]))[0])
+            assert common
+            agreed = []
+            for cls, blocks, differ, use, who, where, lane in ngram_join.cut_blocks(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)])):
+                sides = [(cls[k], dict(zip(where[who == k].tolist(), lane[who == k].tolist(), strict=True)), differ[k]) for k in (0, 1) if use[k]]
+                agreed += sides
+            # in the class of the larger set, lanes agree as often as each side asks for
+            for cls, one, most in agreed:
+                for other_cls, other, _ in agreed:
+                    if cls == other_cls == max(agreed[0][0], agreed[1][0]):
+                        assert len(one.items() & other.items()) >= len(one) - most
+
+
+def test_tiles_meet_every_pair_once(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    lanes = (rng.integers(1, 4, (60, 6)) * 256).astype(np.uint32)
+    place = np.tile(np.arange(6), 60)
+    keys = setindex.list_keys(np.zeros(360, np.int64), place, lanes.ravel()).view(np.int64) & ((1 << 40) - 1)
+    wide, narrow = setindex.lane_columns(lanes, np.full(60, 6))
+    lists = spark.createDataFrame([(int(k), i // 6, i // 6, 60) for i, k in enumerate(keys.tolist())], "key long, set_id long, comp long, members long")
+    sides = spark.createDataFrame([(i, 0, True, 2, 10, wide[i], narrow[i]) for i in range(60)], setindex.LANES)
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if (lanes[i] == lanes[j]).sum() >= 2}
+    for tile in (1024, 20):
+        monkeypatch.setattr(setindex, "TILE", tile)
+        got = [tuple(r) for r in setindex._candidates(lists, sides, 80).collect()]
+        assert len(got) == len(want) and set(got) == want
 
 
 def test_paragraphs(spark):
