@@ -95,18 +95,17 @@ def _lanes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start, texts in slices(batch.column(1)):
             tokens, offsets = shingle_sets(texts)
-            for step, (cls, blocks, differ, use, who, where, lane) in enumerate(cut_blocks(tokens, offsets)):
-                filled = np.bincount(who, minlength=len(use))
-                table = np.zeros((len(use), setindex.NARROW), np.uint32)
-                near = where < setindex.NARROW
+            parity = pa.array(setindex.parity_bitmaps(tokens, offsets), pa.binary())
+            for step, (cls, _, _, use, who, where, lane) in enumerate(cut_blocks(tokens, offsets)):
+                table = np.zeros((len(use), setindex.WIDE), np.uint32)
+                near = where < setindex.WIDE
                 table[who[near], where[near]] = lane[near]
                 rows = np.flatnonzero(use)
-                wide, narrow = setindex.lane_columns(table[rows], blocks[rows])
-                need = np.where(blocks <= setindex.NARROW, filled - differ, 0)[rows]
+                at = pa.array(rows)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, len(texts)).take(pa.array(rows)), pa.array(cls[rows], pa.int32()), pa.array(np.full(len(rows), step == 0)),
-                     pa.array(np.maximum(need, 0), pa.int32()), pa.array(np.diff(offsets)[rows]), pa.array(wide, pa.binary()), pa.array(narrow, pa.binary())],
-                    ["set_id", "cls", "own", "need", "size", "wide", "narrow"])
+                    [batch.column(0).slice(start, len(texts)).take(at), pa.array(cls[rows], pa.int32()), pa.array(np.full(len(rows), step == 0)),
+                     pa.array(np.diff(offsets)[rows]), pa.array(setindex.wide_lanes(table[rows]), pa.binary()), parity.take(at)],
+                    ["set_id", "cls", "own", "size", "wide", "parity"])
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ rows. Sets that share a key within one slice of a task are known to share it and
 is sent on. A key that a third of all sets hold therefore sends one posting per slice.
 
 A key is a function of (class, position, lane); a lane is a 32-bit hash of what a set holds at that position. The lanes of two sets tell
-in how many lists they meet and which of these is the first, so a pair is judged in one list only, before it becomes a row.
+in which list they meet first, and parity bitmaps bound the elements they differ in, so a pair is judged before it becomes a row.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from askloom.llm.common import mix, partitions, store
@@ -26,11 +27,15 @@ PAIRS_PER_TASK_GROUP = 64
 TILE = 1024
 """Members of a list that meet in one tile; a longer list is cut into shares, and every two shares meet in a tile of their own."""
 PAIRS_AT_ONCE = 1 << 17
-WIDE, NARROW = 16, 256
-"""Positions whose whole lanes travel with a set, and most positions of which a byte each does."""
+LEADERS = 4
+"""Leaders that a list elects and that a set asks at first."""
+WIDE = 16
+"""Positions whose lanes travel with a set."""
+BITS = 1024
+"""Length of the parity bitmap of a set."""
 POSTINGS = "bucket int, keys binary, sets binary, numbers binary, shared boolean"
 LISTS = "key long, set_id long"
-LANES = "set_id long, cls int, own boolean, need int, size long, wide binary, narrow binary"
+LANES = "set_id long, cls int, own boolean, size long, wide binary, parity binary"
 CANDIDATES = "a long, b long"
 LOCAL_BITS = 40
 
@@ -42,12 +47,19 @@ def list_keys(cls: np.ndarray, place: np.ndarray, lane: np.ndarray) -> np.ndarra
     return (key & ~np.uint64(255)) | cls.astype(np.uint64)
 
 
-def lane_columns(lanes: np.ndarray, lengths: np.ndarray) -> tuple[list[bytes], list[bytes]]:
-    """(wide, narrow) of each row of ``lanes`` (0: nothing at that position), with ``lengths`` positions each."""
+def wide_lanes(lanes: np.ndarray) -> list[bytes]:
+    """The first lanes of each row (0: nothing at that position)."""
     wide = np.zeros((len(lanes), WIDE), np.uint32)
     wide[:, :lanes.shape[1]] = lanes[:, :WIDE]
-    byte = np.where(lanes == 0, 0, np.maximum(lanes >> np.uint32(8) & np.uint32(255), 1)).astype(np.uint8)
-    return [w.tobytes() for w in wide], [b[:n].tobytes() if n <= NARROW else b"" for b, n in zip(byte, lengths.tolist(), strict=True)]
+    return [w.tobytes() for w in wide]
+
+
+def parity_bitmaps(tokens: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """A bitmap per set in which every element flips one bit: two sets differ in at least as many elements as their bitmaps in bits."""
+    sets = len(offsets) - 1
+    at = np.repeat(np.arange(sets), np.diff(offsets)) * BITS + (mix(tokens) % np.uint64(BITS)).astype(np.int64)
+    bits = (np.bincount(at, minlength=sets * BITS) & 1).astype(np.uint8).reshape(sets, BITS)
+    return [b.tobytes() for b in np.packbits(bits, axis=1)]
 
 
 def pack(keys: np.ndarray, sets: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes, bytes, bytes, bool]]:
@@ -139,12 +151,12 @@ def _paired(pairs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def _plausible(rows: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of whole tiles, ``rows`` in order of tiles: of different components, of sizes within ``percent``, with enough lanes in common,
-    and in the first list in which the two meet."""
-    key, lower, upper, comp, share, ids, size, own, need, cls = (
-        rows[c].to_numpy() for c in ("key", "lower", "upper", "comp", "share", "set_id", "size", "own", "need", "cls"))
+    """Pairs of whole tiles, ``rows`` in order of tiles: of different components, of sizes within ``percent``, with bitmaps
+    that differ in no more bits than linked sets in elements, and in the first list in which the two meet."""
+    key, lower, upper, comp, share, ids, size, own, cls = (
+        rows[c].to_numpy() for c in ("key", "lower", "upper", "comp", "share", "set_id", "size", "own", "cls"))
     wide = np.frombuffer(b"".join(rows["wide"].to_pylist()), np.uint32).reshape(-1, WIDE)
-    narrow = np.frombuffer(b"".join(b.ljust(NARROW, b"\0") for b in rows["narrow"].to_pylist()), np.uint8).reshape(-1, NARROW)
+    parity = np.frombuffer(b"".join(rows["parity"].to_pylist()), np.uint64).reshape(-1, BITS // 64)
     cuts = np.flatnonzero((key[1:] != key[:-1]) | (lower[1:] != lower[:-1]) | (upper[1:] != upper[:-1])) + 1
     ends = np.repeat(np.append(cuts, len(key)), np.diff(np.concatenate(([0], cuts, [len(key)]))))
     partners = ends - np.arange(len(key)) - 1
@@ -165,12 +177,8 @@ def _plausible(rows: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
         meets = (list_keys(cls[a], first, wide[a, first]).view(np.int64) ^ key[a]) & ((1 << LOCAL_BITS) - 1) == 0
         use = ~same.any(axis=1) | meets
         a, b = a[use], b[use]
-        least = np.maximum(need[a], need[b])
-        use = least <= 0
-        for at in range(0, len(a), PAIRS_AT_ONCE >> 3):
-            part = slice(at, at + (PAIRS_AT_ONCE >> 3))
-            x, y = narrow[a[part]], narrow[b[part]]
-            use[part] |= ((x == y) & (x != 0)).sum(axis=1) >= least[part]
+        differ = np.bitwise_count(parity[a] ^ parity[b]).sum(axis=1, dtype=np.int64)
+        use = (100 + percent) * differ <= (100 - percent) * (size[a] + size[b])
         a, b = ids[a[use]], ids[b[use]]
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
@@ -195,14 +203,14 @@ def _tile_task(percent: int):
 
 
 def _candidates(open_lists: DataFrame, lanes: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of the open lists that their lanes do not rule out."""
+    """(a, b) of the open lists that their bitmaps do not rule out."""
     shares = F.ceil(F.col("members") / TILE).cast("int")
     dealt = open_lists.withColumn("cls", F.expr("CAST(key & 255 AS INT)")).withColumn(
         "share", F.pmod(F.xxhash64("set_id"), shares).cast("int")).select(
         "key", "cls", "set_id", "comp", "share", F.explode(F.sequence(F.lit(0), shares - 1)).alias("other"))
     rows = dealt.join(lanes, ["set_id", "cls"]).select(
-        "key", F.least("share", "other").alias("lower"), F.greatest("share", "other").alias("upper"), "share", "set_id", "comp", "cls", "own", "need",
-        "size", "wide", "narrow")
+        "key", F.least("share", "other").alias("lower"), F.greatest("share", "other").alias("upper"), "share", "set_id", "comp", "cls", "own", "size",
+        "wide", "parity")
     number = partitions(open_lists.sparkSession)
     tiles = rows.repartition(number, "key", "lower", "upper").sortWithinPartitions("key", "lower", "upper")
     return tiles.mapInArrow(_tile_task(percent), CANDIDATES).distinct()
@@ -213,17 +221,19 @@ def resolve(lists: DataFrame, contents: Callable[[DataFrame], DataFrame], lanes:
     """(set_id, component) of all sets with a link: two sets that share a list, compared by ``compare``.
 
     ``contents(ids)`` gives (set_id, content) for the ids of the lists. ``lanes`` turns batches of (set_id, content) into :data:`LANES`, a row
-    for each class a set posts in: own tells its own class, need the fewest lanes that it has in common with a linked set (0 where narrow is
-    empty). ``compare`` turns batches of (a, b, content_a, content_b) into (a, b, similarity, linked).
+    for each class a set posts in: own tells its own class. ``compare`` turns batches of (a, b, content_a, content_b) into (a, b, similarity, linked).
 
-    First every set is compared with the leader it meets in most lists; its answers are then those of the leader's component. A list whose
+    First every set is compared with the few leaders it meets in most lists; its answers are then those of their component. A list whose
     members are all in one component is finished: its other pairs can't change any answer. In the others, pairs of different components whose
-    lanes agree often enough are compared, each once. Nothing is left out but pairs that can't be linked.
+    bitmaps allow a link are compared, each once. Nothing is left out but pairs that can't be linked.
     """
-    head = F.min(F.struct(F.xxhash64("set_id").alias("h"), "set_id")).getField("set_id")
-    met = lists.join(lists.groupBy("key").agg(head.alias("b")), "key").filter("set_id <> b").groupBy(F.col("set_id").alias("a"), "b").agg(
+    heads = [F.min(F.struct(F.xxhash64("set_id", F.lit(seed)).alias("h"), "set_id")).getField("set_id") for seed in range(LEADERS)]
+    elected = lists.groupBy("key").agg(F.array_distinct(F.array(*heads)).alias("heads"))
+    met = lists.join(elected, "key").select(F.col("set_id").alias("a"), F.explode("heads").alias("b")).filter("a <> b").groupBy("a", "b").agg(
         F.count("*").alias("common"))
-    led = store(met.groupBy("a").agg(F.max_by("b", F.struct("common", "b")).alias("b")), f"{name}-led")
+    rank = F.row_number().over(W.partitionBy("a").orderBy(F.desc("common"), "b"))
+    led = store(met.withColumn("rank", rank).filter(F.col("rank") <= LEADERS).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-led")
 
     def judged(pairs: DataFrame, items: DataFrame, step: str) -> DataFrame:
         rows = _paired(pairs, items).select("a", "b", "content_a", "content_b")
