@@ -6,6 +6,7 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -144,6 +145,50 @@ def test_leaks(spark):
     assert decontamination.leaks(df.limit(0), bench).count() == 0 == decontamination.leaks(df, bench.limit(0)).count()
 
 
+@pytest.mark.parametrize("moved", [8, 20, 30])
+def test_leaks_with_a_part_moved(spark, moved):
+    item = [f"b{j}" for j in range(60)]
+    around = [f"d{j}" for j in range(300)]
+    turned = item[-moved:] + item[:-moved]
+    # the second text is the item alone, shorter by its last words
+    texts = [" ".join(around[:170] + turned + around[170:]), " ".join(item[:-3])]
+    docs = spark.createDataFrame([*enumerate(texts), (0, "another text under the same id")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: r for r in decontamination.leaks(docs, bench).collect()}
+    assert set(got) == {0, 1} and (got[0].start_word, got[0].n_words) == (170, 60) and got[1].start_word == 0
+    assert got[0].similarity == pytest.approx(52 / 60) and got[1].similarity == pytest.approx(53 / 56)
+
+
+def test_leaks_equal_all_windows(spark):
+    rng = random.Random(9)
+    item = [f"b{rng.randrange(12)}" for _ in range(60)]
+    docs = []
+    for i in range(40):
+        own = list(item)
+        if i % 4:
+            a = rng.randint(5, 55)
+            own = own[a:] + own[:a]
+        for _ in range(i % 3):
+            own[rng.choice([0, -1])] = "edited"
+        docs.append([f"d{rng.randrange(9)}" for _ in range(rng.randint(0, 30))] + own[:60 - i % 5] + [f"d{rng.randrange(9)}" for _ in range(rng.randint(0, 30))])
+
+    def shingles(w):
+        return Counter(tuple(w[j:j + 5]) for j in range(len(w) - 4))
+
+    want = {}
+    for i, w in enumerate(docs):
+        for start in range(max(1, len(w) - 60 + 1)):
+            a, b = shingles(w[start:start + 60]), shingles(item)
+            score = (a & b).total() / (a | b).total()
+            own, at = [tuple(w[j:j + 5]) for j in range(start, min(len(w), start + 60) - 4)], [tuple(item[j:j + 5]) for j in range(56)]
+            step = any(x == y and (j == p or start == 0 and j <= p or start + 60 >= len(w) and j >= p) for j, x in enumerate(own) for p, y in enumerate(at))
+            if score >= 0.8:
+                want[i] = max(want.get(i, (0, False, 1)), (score, step, -start))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    got = decontamination.leaks(df, spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")).collect()
+    assert {r.doc_id: (r.similarity, r.start_word) for r in got} == {i: (score, -back) for i, (score, _, back) in want.items()} and len(want) > 20
+
+
 def test_pieces_round_trip_and_merges(spark):
     texts = [None, "", " ", "  two  spaces ", "▁mark", "a\x00b\n\n\ttab", "日本語 \U0001F600 é", "x" * 9000, "The quick brown fox, jumps!"]
     df = spark.createDataFrame([(i, t, [1]) for i, t in enumerate(texts)], "doc_id long, text string, piece_ids array<int>")
