@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from askloom.llm.common import mix
 
 SAMPLE_DOCUMENTS = 150
-"""Labelled documents per language that the field is fitted on, chosen by a hash of their text."""
+"""Different labelled texts per language that the field is fitted on, chosen by a hash of the text."""
 SAMPLE_WORDS = 120
 """Words of each sampled document, a run at a place chosen by the same hash."""
 SAMPLE_LANGUAGES = 64
@@ -185,13 +185,17 @@ def fit(samples: list[tuple[str, str]], seed: int = 7) -> Field:
 
 
 def sample(docs: DataFrame, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """The bounded training sample: documents of each of the most frequent languages, a run of words of each."""
+    """The bounded training sample: different texts of each of the most frequent languages, a run of words of each.
+
+    Which texts are taken depends on their hashes alone, not on how often a text is repeated.
+    """
     known = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter(
         F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    known = known.withColumn("key", F.xxhash64("text"))
+    chosen = known.select("lang", "key").distinct().withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("key"))).filter(
+        F.col("rank") <= SAMPLE_DOCUMENTS).select("lang", "key")
     top = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_LANGUAGES).select("lang")
-    key = F.xxhash64("text")
-    ranked = known.select("lang", "text", key.alias("key")).withColumn(
-        "rank", F.row_number().over(W.partitionBy("lang").orderBy("key", "text"))).filter(F.col("rank") <= SAMPLE_DOCUMENTS)
+    ranked = known.join(F.broadcast(chosen), ["lang", "key"]).groupBy("lang", "key").agg(F.min("text").alias("text"))
     cut = F.split("text", r"\s+")
     begin = F.pmod("key", F.greatest(F.lit(1), F.size("words") - SAMPLE_WORDS)).cast("int") + 1
     rows = ranked.join(F.broadcast(top), "lang").withColumn("words", cut).select(

@@ -241,6 +241,14 @@ def test_language(spark):
     assert language_id.identify(docs.limit(0), field).count() == 0
 
 
+def test_language_sample_of_repeated_texts(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(WORDS["en"]) for _ in range(30)) for _ in range(40)]
+    once = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string")
+    often = spark.createDataFrame([(t, "en") for t in texts for _ in range(language_id.SAMPLE_DOCUMENTS)], "text string, lang string")
+    assert language_id.sample(often, "text", "lang") == language_id.sample(once, "text", "lang") and len(language_id.sample(once, "text", "lang")) == 40
+
+
 def test_forward_backward_sums_over_paths():
     rng = np.random.default_rng(0)
     emission, move, start = rng.normal(size=(4, 1, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
