@@ -313,11 +313,12 @@ def main_text(pages: DataFrame, trees: boosting.Trees, html_col: str = "html") -
 def sample(pages: DataFrame, html_col: str = "html") -> list[str]:
     """The bounded sample of pages for :func:`fit_pages`: a share by hash that is expected to hold twice as many, then the first of these.
 
-    Only about that many pages leave the tasks, however many tasks there are.
+    The share is of different pages, so it does not depend on how often pages are repeated. Only about that many pages leave the tasks,
+    however many tasks there are.
     """
     key = F.xxhash64("html")
     held = pages.select(F.col(html_col).alias("html")).filter("html IS NOT NULL")
-    share = min(1.0, 2 * SAMPLE_PAGES / max(1, held.count()))
+    share = min(1.0, 2 * SAMPLE_PAGES / max(1, held.select(key).distinct().count()))
     few = held.filter(F.pmod(key, F.lit(1 << 40)) <= int(share * (1 << 40))).distinct().orderBy(key, "html").limit(SAMPLE_PAGES)
     return [r.html for r in few.collect()]
 

@@ -325,6 +325,12 @@ def test_html(spark):
     assert [t for _, t in page.blocks] == ["a<b", "x", "y", "z"]
 
 
+def test_html_sample_of_repeated_pages(spark):
+    pages = spark.range(20).selectExpr("concat('<p>page ', id, '</p>') AS html")
+    often = pages.crossJoin(spark.range(3000)).select("html")
+    assert len(html_text.sample(pages)) == 20 and html_text.sample(often) == html_text.sample(pages)
+
+
 def test_choice_is_consistent_and_best():
     rng = np.random.default_rng(2)
     page = html_text.Page("<div><div><p>a</p><p>b</p></div><p>c</p></div><ul><li>d</li></ul>")
