@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by cosine with balanced posting lists.
 
 Centroids come from a bounded sample that is halved again and again at medians, so every list holds as much of the sample. A vector near a
-border is posted to several lists. An in-memory graph over the centroids finds a vector's lists; a query reads those whose distance is
-within a ratio of the nearest. Lists and the queries that read them meet in blocks of bounded size, so neither a long list nor a
+border is posted to several lists. Of equal centroids, which many copies give, one is kept. An in-memory graph over the centroids finds a
+vector's lists; a query reads all those found whose distance is within a ratio of the nearest. Lists and the queries that read them meet in blocks of bounded size, so neither a long list nor a
 popular one is a task of its own size.
 """
 
@@ -25,6 +25,9 @@ LIST_VECTORS = 200
 MOST_LISTS = 2048
 NEIGHBOURS = 24
 BEAM_BUILD, BEAM_SEARCH = 24, 96
+"""Lists looked for at first; a query whose last list is still within the ratio looks for twice as many."""
+SAME = 1e-3
+"""Centroids at this distance or less are one."""
 MOST_REPLICAS = 6
 BORDER_RATIO = 1.15
 SEARCH_RATIO = 1.25
@@ -76,6 +79,17 @@ def balanced_centroids(sample: np.ndarray, lists: int, seed: int = 11) -> np.nda
     return (centroids[length > 1e-9] / length[length > 1e-9][:, None]).astype(np.float32) if (length > 1e-9).any() else sample[:1].astype(np.float32)
 
 
+def different(centroids: np.ndarray) -> np.ndarray:
+    """The centroids without those (nearly) equal to one kept before them."""
+    rows = centroids.astype(np.float64)
+    rows /= np.sqrt((rows ** 2).sum(1))[:, None]
+    dropped = np.zeros(len(rows), bool)
+    for i in range(len(rows)):
+        if not dropped[i]:
+            dropped[i + 1:] |= 2 - 2 * (rows[i + 1:] @ rows[i]) <= SAME ** 2
+    return centroids[~dropped]
+
+
 def centroid_graph(centroids: np.ndarray) -> np.ndarray:
     """For each centroid its nearest ones and some far ones, which make every part of the graph reachable."""
     count = len(centroids)
@@ -129,6 +143,22 @@ def _distance(similarity: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2 - 2 * similarity))
 
 
+def lists_within(rows: np.ndarray, centroids: np.ndarray, graph: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list) pairs, by row: the lists a query reads, the eight nearest and all within the ratio of the nearest."""
+    todo, beam, pairs = np.arange(len(rows)), BEAM_SEARCH, []
+    while len(todo):
+        found, score = graph_search(rows[todo], centroids, graph, beam)
+        far = _distance(score)
+        near = (score > -np.inf) & (far <= SEARCH_RATIO * far[:, :1] + 1e-6)
+        more = near[:, -1] & (found.shape[1] < len(centroids))
+        row, at = np.nonzero((near | (score > -np.inf) & (np.arange(far.shape[1]) < 8)) & ~more[:, None])
+        pairs.append((todo[row], found[row, at]))
+        todo, beam = todo[more], 2 * beam
+    row, number = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    order = np.argsort(row, kind="stable")
+    return row[order], number[order]
+
+
 def replicas(found: np.ndarray, score: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     """Which of the found lists a vector is posted to: the nearest, and others about as near that no chosen one stands for."""
     far = _distance(score)
@@ -167,7 +197,7 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
     total = sizes["count"]
     wanted = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < min(1 << 20, -(-(SAMPLE << 20) // total))
     sample = unit(np.array([r.vector for r in base.filter(wanted).select("vector").toLocalIterator()] or [base.first().vector], np.float64))
-    centroids = balanced_centroids(sample, min(MOST_LISTS, max(1, -(-total // LIST_VECTORS)), max(1, len(sample) // 4)))
+    centroids = different(balanced_centroids(sample, min(MOST_LISTS, max(1, -(-total // LIST_VECTORS)), max(1, len(sample) // 4))))
     model = spark.sparkContext.broadcast((centroids, centroid_graph(centroids)))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,10 +214,8 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
-                found, score = graph_search(unit(matrix(part.column(1))).astype(np.float32), held, graph, BEAM_SEARCH)
-                far = _distance(score)
-                row, at = np.nonzero((score > -np.inf) & ((far <= SEARCH_RATIO * far[:, :1] + 1e-6) | (np.arange(far.shape[1]) < 8)))
-                yield pa.RecordBatch.from_arrays([pa.array(found[row, at].astype(np.int32)), *part.take(pa.array(row)).columns], ["list", "id", "vector"])
+                row, number = lists_within(unit(matrix(part.column(1))).astype(np.float32), held, graph)
+                yield pa.RecordBatch.from_arrays([pa.array(number.astype(np.int32)), *part.take(pa.array(row)).columns], ["list", "id", "vector"])
 
     kind = base.schema["vector"].dataType.simpleString()
     posted = store(base.mapInArrow(post, f"list int, id long, vector {kind}"), "ann-postings")

@@ -303,6 +303,49 @@ def test_ann(spark):
     assert [(r.query_id, r.vec_id) for r in ann.search(df.filter("vec_id < 2"), df.filter("vec_id = 0")).collect()] == [(0, 1)]
 
 
+def test_ann_lists_of_copies():
+    rng = np.random.default_rng(4)
+    sample = rng.normal(size=(6000, 8))
+    sample[:2000] = sample[0]
+    sample = ann.unit(sample[rng.permutation(6000)])
+    same, count = np.unique(sample, axis=0, return_counts=True)
+    hot = same[count.argmax()]
+    centroids = ann.different(ann.balanced_centroids(sample, 1200))
+    assert 700 < len(centroids) < 900 and (np.linalg.norm(centroids - hot, axis=1) < 1e-3).sum() == 1
+    graph = ann.centroid_graph(centroids)
+    asked = ann.unit(np.concatenate((hot[None, :], hot + rng.normal(size=(40, 8)) * 0.2, rng.normal(size=(40, 8))))).astype(np.float32)
+    row, number = ann.lists_within(asked, centroids, graph)
+    posted, _ = ann.graph_search(hot[None, :].astype(np.float32), centroids, graph, ann.BEAM_BUILD)
+    assert posted[0, 0] in number[row == 0]
+    got = whole = 0
+    for i, x in enumerate(asked):
+        far = np.linalg.norm(centroids - x, axis=1)
+        want = set(np.flatnonzero(far <= ann.SEARCH_RATIO * far.min()).tolist())
+        got, whole = got + len(want & set(number[row == i].tolist())), whole + len(want)
+    assert got / whole > 0.98
+
+
+def test_ann_with_a_third_of_copies(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST_VECTORS", 4)
+    rng = np.random.default_rng(8)
+    points = rng.normal(size=(4000, 8))
+    points[rng.permutation(4000)[:1333]] = points[0]
+    # the queries lie around the copies
+    points[:40] = points[0] + rng.normal(size=(40, 8)) * 0.1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(points)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, df.filter("vec_id < 40")).collect():
+        got.setdefault(r.query_id, []).append(r.score)
+    unit = points / np.linalg.norm(points, axis=1)[:, None]
+    hit = 0
+    for q in range(40):
+        sims = unit @ unit[q]
+        sims[q] = -9
+        least = np.sort(sims)[-5]
+        hit += sum(s >= least - 1e-9 for s in got.get(q, []))
+    assert hit / 200 >= 0.95
+
+
 def test_html(spark):
     rng = random.Random(6)
     words = "one two three four five six seven, eight. nine ten".split()
