@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 from askloom.llm.common import mix
 
 SAMPLE_DOCUMENTS = 150
-"""Different labelled texts per language that the field is fitted on, chosen by a hash of the text."""
+"""Most different labelled texts per language that the field is fitted on, chosen by a hash of the text."""
 SAMPLE_WORDS = 120
 """Words of each sampled document, a run at a place chosen by the same hash."""
-SAMPLE_LANGUAGES = 64
-"""Languages the field can tell apart: the most frequent ones."""
+SAMPLE_TOTAL, LEAST_DOCUMENTS = 9600, 10
+"""Texts of all languages, which are shared out if there are many languages, and the fewest of a language; every labelled language is learnt."""
 FEATURES = 1 << 16
 LONGEST = 10
 """Letters of a word; longer runs are cut to pieces of that many."""
@@ -39,6 +39,8 @@ REMEMBERED = 200_000
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 _GROUP_CELLS = 1 << 19
+_MANY = 64
+"""Languages from which on fewer words are worked on and remembered at once."""
 
 
 def words_of(text: str) -> list[str]:
@@ -134,12 +136,14 @@ def fit(samples: list[tuple[str, str]], seed: int = 7) -> Field:
             parts[lang].append(words)
     languages = [lang for lang in languages if parts[lang]]
     counts = {lang: Counter(w for words in parts[lang] for w in words) for lang in languages}
+    every = sum(counts.values(), Counter())
+    whole = sum(every.values())
     lexicon: dict[str, list[int]] = {}
     for i, lang in enumerate(languages):
         own = sorted(counts[lang].items(), key=lambda x: (-x[1], x[0]))
         total = sum(counts[lang].values())
-        rest = max(1, sum(sum(c.values()) for other, c in counts.items() if other != lang))
-        listed = [w for w, n in own if n / total > 4 * sum(counts[o][w] for o in languages if o != lang) / rest][:LEXICON]
+        rest = max(1, whole - total)
+        listed = [w for w, n in own if n / total > 4 * (every[w] - n) / rest][:LEXICON]
         for word in listed:
             lexicon.setdefault(word, []).append(1 + zlib.crc32(f"lexicon {i}".encode()) % (FEATURES - 1))
     rng = np.random.default_rng(seed)
@@ -185,20 +189,21 @@ def fit(samples: list[tuple[str, str]], seed: int = 7) -> Field:
 
 
 def sample(docs: DataFrame, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """The bounded training sample: different texts of each of the most frequent languages, a run of words of each.
+    """The bounded training sample: different texts of each labelled language, a run of words of each.
 
     Which texts are taken depends on their hashes alone, not on how often a text is repeated.
     """
     known = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter(
         F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     known = known.withColumn("key", F.xxhash64("text"))
-    chosen = known.select("lang", "key").distinct().withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("key"))).filter(
-        F.col("rank") <= SAMPLE_DOCUMENTS).select("lang", "key")
-    top = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_LANGUAGES).select("lang")
+    keys = known.select("lang", "key").distinct()
+    share = min(SAMPLE_DOCUMENTS, max(LEAST_DOCUMENTS, SAMPLE_TOTAL // max(1, keys.select("lang").distinct().count())))
+    chosen = keys.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("key"))).filter(
+        F.col("rank") <= share).select("lang", "key")
     ranked = known.join(F.broadcast(chosen), ["lang", "key"]).groupBy("lang", "key").agg(F.min("text").alias("text"))
     cut = F.split("text", r"\s+")
     begin = F.pmod("key", F.greatest(F.lit(1), F.size("words") - SAMPLE_WORDS)).cast("int") + 1
-    rows = ranked.join(F.broadcast(top), "lang").withColumn("words", cut).select(
+    rows = ranked.withColumn("words", cut).select(
         "lang", F.array_join(F.slice("words", begin, F.lit(SAMPLE_WORDS)), " ").alias("text"))
     return sorted((r.lang, r.text) for r in rows.collect())
 
@@ -213,7 +218,7 @@ class Labeller:
 
     def _ids(self, documents: list[list[str]]) -> np.ndarray:
         known = self.known
-        if len(known) > REMEMBERED:
+        if len(known) > REMEMBERED * _MANY // max(_MANY, len(self.field.languages)):
             known.clear()
             self.rows = self.rows[:0]
         fresh = list(dict.fromkeys(w for words in documents for w in words if w not in known))
@@ -230,11 +235,12 @@ class Labeller:
         sizes = np.array([len(d) for d in documents])
         begin = np.concatenate(([0], np.cumsum(sizes)))
         order = np.argsort(sizes, kind="stable")
+        cells = _GROUP_CELLS * _MANY // max(_MANY, len(self.field.languages))
         out: list = [None] * len(documents)
         at = 0
         while at < len(order):
             upto = at + 1
-            while upto < len(order) and (upto - at + 1) * sizes[order[upto]] <= _GROUP_CELLS and upto - at < 4096:
+            while upto < len(order) and (upto - at + 1) * sizes[order[upto]] <= cells and upto - at < 4096:
                 upto += 1
             group = order[at:upto]
             steps = int(sizes[group[-1]])

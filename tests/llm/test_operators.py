@@ -241,6 +241,13 @@ def test_language(spark):
     assert language_id.identify(docs.limit(0), field).count() == 0
 
 
+def test_many_languages(spark):
+    rows = [(10 * k + i, " ".join(f"{chr(97 + k // 10)}{chr(97 + k % 10)}{chr(107 + (i + j) % 5)}" for j in range(20)), f"x{k:02d}") for k in range(70) for i in range(2 if k > 63 else 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs, language_id.fit_documents(docs)).collect()}
+    assert got == {i: lang for i, _, lang in rows}
+
+
 def test_language_sample_of_repeated_texts(spark):
     rng = random.Random(3)
     texts = [" ".join(rng.choice(WORDS["en"]) for _ in range(30)) for _ in range(40)]
