@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askloom.functions.arrays import rows_of
-from askloom.functions.ranking import salted_join, top_n
+from askloom.functions.ranking import bloom_filter, broadcast_limit, estimated_bytes, might_hold, salted_join, top_n
 from askloom.functions.text import SHINGLE, citation_numbers, coverage, is_blank, shingles, trim_controls
 from askloom.schemas import QUESTION_TYPES, VERDICT_JSON
 
@@ -60,13 +60,16 @@ def shingle_coverage(left: DataFrame, right: DataFrame, left_id: str, right_id:
                      minimum: float = MIN_COVERAGE, n: int = SHINGLE, salts: int = 16) -> DataFrame:
     """Pairs whose shared shingles cover at least ``minimum`` of the smaller set: (left_id, right_id, shared, coverage).
 
-    ``left`` is the short side (questions). An equi-join on the shingle finds the pairs; frequent shingles are salted
-    by the right document, and the counting is partial before its shuffle.
+    ``left`` is the short side (questions). An equi-join on the shingle finds the pairs and the counting is partial before its shuffle. Where the
+    questions' shingles are too many to broadcast, a Bloom filter of them drops the other shingles of ``right`` before these are shuffled, and frequent
+    shingles are salted by the right document.
     """
     l = left.select(left_id, shingles(F.col(text), n).alias("grams"))
     r = right.select(right_id, shingles(F.col(text), n).alias("grams"))
     l_rows = rows_of(l.withColumn("l_size", F.size("grams")), "grams", left_id, "l_size", item="gram").drop("pos")
     r_rows = rows_of(r.withColumn("r_size", F.size("grams")), "grams", right_id, "r_size", item="gram").drop("pos")
+    if estimated_bytes(l_rows) * GRAM_GROWTH > broadcast_limit(left):
+        r_rows = r_rows.filter(might_hold(bloom_filter(l_rows, F.col("gram")), F.col("gram")))
     shared = (salted_join(r_rows, l_rows, ["gram"], F.col(right_id), GRAM_GROWTH, salts)
               .groupBy(left_id, right_id, "l_size", "r_size").agg(F.count(F.lit(1)).alias("shared")))
     cover = F.col("shared") / F.least("l_size", "r_size")
@@ -79,8 +82,8 @@ def hits(candidates: DataFrame, golds: DataFrame, credit_scope: str = "all", min
     candidates (config, strategy, parent_credit, q_id, rank, chunk_id, parent_id, content), golds (q_id, chunk_id,
     parent_id, content). A hit is the gold itself; with parent credit a shared parent; for flat strategies enough
     shared text with a gold of the question. ``credit_scope='all'`` credits parents of all questions' golds,
-    ``'question'`` only those of the question at hand. The texts of a question's few candidates and golds are
-    compared inside the joined row.
+    ``'question'`` only those of the question at hand. Ids meet first; a chunk's and a gold's text are joined once per different pair of them and
+    compared inside the row.
     """
     out = ["config", "q_id", "rank"]
     same = candidates.join(golds.select("q_id", "chunk_id").distinct(), ["q_id", "chunk_id"], "left_semi").select(*out)
@@ -88,10 +91,15 @@ def hits(candidates: DataFrame, golds: DataFrame, credit_scope: str = "all", min
     parents = golds.filter(F.col("parent_id").isNotNull()).select(*parent_keys).distinct()
     credited = candidates.filter((F.col("strategy") == "STRUCTURE_AWARE") & F.col("parent_credit")).join(
         parents, parent_keys, "left_semi").select(*out)
-    texts = golds.select("q_id", F.col("chunk_id").alias("gold_id"), shingles(F.col("content")).alias("gold_grams"))
-    flat = candidates.filter(F.col("strategy") != "STRUCTURE_AWARE").select(*out, shingles(F.col("content")).alias("grams"))
-    covered = (salted_join(texts, flat, ["q_id"], F.col("gold_id"), GRAM_GROWTH)
-               .filter(coverage(F.col("grams"), F.col("gold_grams")) >= minimum).select(*out))
+    flat = candidates.filter(F.col("strategy") != "STRUCTURE_AWARE")
+    asked = golds.select("q_id", F.col("chunk_id").alias("gold_id")).distinct()
+    pairs = salted_join(asked, flat.select("q_id", "chunk_id").distinct(), ["q_id"], F.col("gold_id"))
+    texts = flat.groupBy("chunk_id").agg(F.min("content").alias("content"))
+    gold_texts = golds.groupBy(F.col("chunk_id").alias("gold_id")).agg(F.min("content").alias("gold_content"))
+    alike = (pairs.select("chunk_id", "gold_id").distinct().join(texts, "chunk_id").join(gold_texts, "gold_id")
+             .filter(coverage(shingles(F.col("content")), shingles(F.col("gold_content"))) >= minimum).select("chunk_id", "gold_id"))
+    found = pairs.join(alike, ["chunk_id", "gold_id"], "left_semi").select("q_id", "chunk_id").distinct()
+    covered = flat.join(found, ["q_id", "chunk_id"], "left_semi").select(*out)
     return same.unionByName(credited).unionByName(covered).distinct()
 
 

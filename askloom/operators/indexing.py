@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from askloom.functions.arrays import rows_of
-from askloom.functions.ranking import TERM_GROWTH, broadcast_limit, estimated_bytes
+from askloom.functions.ranking import asked_only
 from askloom.functions.text import segment_terms
 
 Embedder = Callable[[DataFrame, str], DataFrame]
@@ -96,30 +96,34 @@ def _children(chunks: DataFrame) -> DataFrame:
     return chunks.filter(F.col("kind") == "child") if "kind" in chunks.columns else chunks
 
 
-def term_rows(chunks: DataFrame, *keys: str, text: str = "content") -> DataFrame:
-    """(keys, pos, term): one row per term occurrence of the searchable chunks."""
-    return rows_of(_children(chunks).select(*keys, text), segment_terms(F.col(text)), *keys, item="term")
+def _term_groups(chunks: DataFrame, keys: tuple[str, ...], text: str, positions: bool) -> DataFrame:
+    """One row per different term of a chunk, grouped inside the chunk's row: its terms are sorted with their places, a group is a run of equal terms."""
+    placed = F.sort_array(F.transform(segment_terms(F.col(text)), lambda t, i: F.struct(t.alias("term"), (i + 1).alias("pos"))))
+    runs = F.filter(F.transform("_terms", lambda x, i: F.when((i == 0) | (x["term"] != F.get("_terms", i - 1)["term"]), i)), lambda i: i.isNotNull())
+
+    def group(start: Column, i: Column) -> Column:
+        size = F.coalesce(F.get("_starts", i + 1), F.size("_terms")) - start
+        places = [F.transform(F.slice("_terms", start + 1, size), lambda x: x["pos"]).alias("positions")] if positions else []
+        return F.struct(F.get("_terms", start)["term"].alias("term"), size.cast("bigint").alias("tf"), *places)
+
+    groups = _children(chunks).select(*keys, placed.alias("_terms")).withColumn("_starts", runs).select(*keys, F.transform("_starts", group).alias("_groups"))
+    return rows_of(groups, "_groups", *keys).select(*keys, "item.*")
 
 
 def build_postings(chunks: DataFrame, *keys: str, text: str = "content") -> DataFrame:
-    """(keys, term, tf, positions) of the searchable chunks, positions from 1. A group is one term in one chunk."""
-    return term_rows(chunks, *keys, text=text).groupBy(*keys, "term").agg(
-        F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list(F.col("pos") + 1)).alias("positions"))
+    """(keys, term, tf, positions) of the searchable chunks, positions from 1. A chunk is one row, so nothing is shuffled."""
+    return _term_groups(chunks, keys, text, True)
 
 
 def term_counts(chunks: DataFrame, *keys: str, text: str = "content") -> DataFrame:
-    """Postings without positions; counts are added up per task before the shuffle."""
-    return term_rows(chunks, *keys, text=text).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """Postings without positions."""
+    return _term_groups(chunks, keys, text, False)
 
 
 def asked_term_counts(chunks: DataFrame, terms: DataFrame, *keys: str, text: str = "content") -> DataFrame:
     """Postings of the asked terms (kb_id, term) only, for a recall without a stored index: all other terms are
     dropped before anything is shuffled. ``keys`` must hold ``kb_id``."""
-    asked = terms.select("kb_id", "term").distinct()
-    if estimated_bytes(asked) * TERM_GROWTH <= broadcast_limit(asked):
-        asked = F.broadcast(asked)
-    return term_rows(chunks, *keys, text=text).join(asked, ["kb_id", "term"], "left_semi").groupBy(*keys, "term").agg(
-        F.count(F.lit(1)).alias("tf"))
+    return asked_only(term_counts(chunks, *keys, text=text), terms)
 
 
 def attach_parent(chunks: DataFrame) -> DataFrame:

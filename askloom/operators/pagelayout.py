@@ -1,16 +1,18 @@
 """Text runs and lines of paged documents to elements.
 
-A page and a document are bounded by the admission size, so ordering lines inside one document is safe;
-everything that counts (fonts, running headers) is a plain grouped aggregate.
+A page and a document are bounded by the admission size, so a document's lines fit one row: they are gathered once, and every step (fonts, running
+headers, headings, levels, paragraphs) is an expression on the array, linear in its lines but for sorting.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from askloom.functions.text import is_blank, trim_controls
+from askloom.functions.arrays import rows_of
+from askloom.functions.text import is_blank, let, trim_controls
 
 # ---- fixed values: layout rules ----
 LINE_Y_TOLERANCE = 2.5
@@ -53,32 +55,60 @@ def cluster_lines(runs: DataFrame, y_tol: float = LINE_Y_TOLERANCE) -> DataFrame
                     trim_controls(F.col("l.text")).alias("text")))
 
 
+def nest_lines(lines: DataFrame, *more: str) -> DataFrame:
+    """One row per document with its lines in order as the array ``lines``: the only exchange of the steps below. Columns that ``lines`` lacks are null."""
+    fields = [F.col(f) if f in lines.columns else F.lit(None).alias(f) for f in ("line_no", "page", "page_count", "max_font", "text", *more)]
+    return lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("lines"))
+
+
+def _run_starts(items: Column, key: Callable[[Column], Column]) -> Column:
+    """Positions in a sorted array at which another key begins."""
+    return F.filter(F.transform(items, lambda x, i: F.when((i == 0) | (key(x) != key(F.get(items, i - 1))), i)), lambda i: i.isNotNull())
+
+
+def _body_font(lines: Column) -> Column:
+    """Most frequent rounded font of an array of lines; on a tie the one that reached the count first; 0 gives 10, no line null."""
+    fonts = F.sort_array(F.transform(lines, lambda x: F.struct(F.floor(x["max_font"] + 0.5).cast("int").alias("font"), x["line_no"].alias("line_no"))))
+
+    def best(fonts: Column) -> Column:
+        def of(starts: Column) -> Column:
+            runs = F.transform(starts, lambda at, i: let(F.coalesce(F.get(starts, i + 1), F.size(fonts)), lambda end: F.struct(
+                (at - end).alias("n"), F.get(fonts, end - 1)["line_no"].alias("reached"), F.get(fonts, at)["font"].alias("font"))))
+            return F.array_min(runs)["font"]
+        return let(_run_starts(fonts, lambda x: x["font"]), of)
+
+    return let(let(fonts, best), lambda font: F.when(font == 0, DEFAULT_BODY_FONT).otherwise(font))
+
+
+def _running(lines: Column, ratio: float) -> Column:
+    """Numbers of the lines that stand at page edges and repeat over pages, or are page numbers. First and last line of a page each count, also when they are one."""
+    def edge(x: Column, i: Column) -> Column:
+        ends = [(i == 0) | (F.get(lines, i - 1)["page"] != x["page"]), (i == F.size(lines) - 1) | (F.get(lines, i + 1)["page"] != x["page"])]
+        trimmed = trim_controls(x["text"])
+        norm = F.regexp_replace(F.regexp_replace(x["text"], r"\d+", "#"), r"\s+", "")
+        number = (F.length(trimmed) <= PAGE_NUMBER_CHARS) & trimmed.rlike(PAGE_NUMBER)
+        times = F.when(ends[0] & ends[1], 2).when(ends[0] | ends[1], 1).otherwise(0)
+        return F.when(times > 0, F.struct(norm.alias("norm"), x["line_no"].alias("line_no"), number.alias("number"), times.alias("times")))
+
+    def found(edges: Column) -> Column:
+        least = F.greatest(F.lit(2), F.ceil(F.get(edges, F.lit(0))["page_count"] * ratio).cast("int"))
+        norms = F.sort_array(F.flatten(F.transform(edges["e"], lambda e: F.array_repeat(e["norm"], e["times"]))))
+        repeated = let(least, lambda m: let(norms, lambda all_norms: F.array_distinct(F.filter(
+            F.transform(all_norms, lambda x, i: F.when(F.get(all_norms, i + m - 1) == x, x)), lambda x: x.isNotNull()))))
+        return let(repeated, lambda known: F.transform(F.filter(edges["e"], lambda e: e["number"] | F.array_contains(known, e["norm"])), lambda e: e["line_no"]))
+
+    marked = F.filter(F.transform(lines, lambda x, i: F.struct(x["page_count"].alias("page_count"), edge(x, i).alias("e"))), lambda x: x["e"].isNotNull())
+    return let(marked, found)
+
+
 def body_font_mode(lines: DataFrame) -> DataFrame:
-    """Most frequent rounded font per document; on a tie the one that reached the count first; 0 gives 10."""
-    fonts = (lines.groupBy("doc_id", F.floor(F.col("max_font") + 0.5).cast("int").alias("font"))
-             .agg(F.count(F.lit(1)).alias("n"), F.max("line_no").alias("reached")))
-    best = fonts.groupBy("doc_id").agg(F.min_by("font", F.struct(-F.col("n"), F.col("reached"))).alias("font"))
-    return best.select("doc_id", F.when(F.col("font") == 0, DEFAULT_BODY_FONT).otherwise(F.col("font")).alias("body_font"))
+    """(doc_id, body_font): the most frequent rounded font per document."""
+    return nest_lines(lines).select("doc_id", _body_font(F.col("lines")).alias("body_font"))
 
 
 def running_header_footer(lines: DataFrame, ratio: float = EDGE_RATIO) -> DataFrame:
-    """Lines (doc_id, line_no) to drop: page edges that repeat over pages, and page numbers.
-
-    ``lines`` carries ``page_count``. First and last line of a page each count, also when they are one line.
-    """
-    line = F.struct("line_no", "text")
-    edges = (lines.groupBy("doc_id", "page", "page_count")
-             .agg(F.min(line).alias("first"), F.max(line).alias("last"))
-             .select("doc_id", "page_count", F.explode(F.array("first", "last")).alias("edge"))
-             .select("doc_id", "page_count", "edge.*")
-             .withColumn("norm", F.regexp_replace(F.regexp_replace("text", r"\d+", "#"), r"\s+", "")))
-    counts = edges.groupBy("doc_id", "norm").agg(F.count(F.lit(1)).alias("n"))
-    trimmed = trim_controls(F.col("text"))
-    page_number = (F.length(trimmed) <= PAGE_NUMBER_CHARS) & trimmed.rlike(PAGE_NUMBER)
-    threshold = F.greatest(F.lit(2), F.ceil(F.col("page_count") * ratio))
-    return (edges.join(counts, ["doc_id", "norm"])
-            .filter((F.col("n") >= threshold) | page_number)
-            .select("doc_id", "line_no").distinct())
+    """Lines (doc_id, line_no) to drop: page edges that repeat over pages, and page numbers. ``lines`` carries ``page_count``."""
+    return rows_of(nest_lines(lines), let(F.col("lines"), lambda x: F.array_distinct(_running(x, ratio))), "doc_id", item="line_no").drop("pos")
 
 
 def is_toc_entry(text: Column) -> Column:
@@ -100,50 +130,69 @@ def is_heading_line(text: Column, font: Column, body: Column) -> Column:
             & ((han >= 2) | ((latin >= 4) & ~text.rlike(OPERATOR_SYMBOL))))
 
 
-def classify_lines(lines: DataFrame) -> DataFrame:
-    """Non-blank lines without running headers and footers, with ``is_heading`` and ``level``.
+def classified(lines: Column, ratio: float = EDGE_RATIO) -> Column:
+    """Array of lines to the array of its non-blank lines without running headers and footers, with ``body_font``, ``is_heading`` and ``level``: heading fonts in
+    falling order are levels 1 to 4, further fonts 4."""
+    def judged(full: Column) -> Column:
+        kept = let(_running(full, ratio), lambda gone: F.filter(full, lambda x: ~F.array_contains(gone, x["line_no"])))
+        marked = let(_body_font(full), lambda body: F.transform(kept, lambda x: F.struct(
+            *[x[f].alias(f) for f in ("line_no", "page", "page_count", "max_font", "text")], body.alias("body_font"),
+            is_heading_line(x["text"], x["max_font"], body).alias("is_heading"))))
+        return let(marked, ranked)
 
-    The few heading fonts of a document are ranked on their own and joined back.
-    """
-    full = lines.filter(~is_blank(F.col("text")))
-    kept = (full.join(running_header_footer(full), ["doc_id", "line_no"], "left_anti")
-            .join(body_font_mode(full), "doc_id")
-            .withColumn("is_heading", is_heading_line(F.col("text"), F.col("max_font"), F.col("body_font"))))
-    return kept.join(heading_levels(kept), ["doc_id", "max_font"], "left").withColumn(
-        "level", F.when(F.col("is_heading"), F.coalesce("level", F.lit(MAX_LEVEL))).otherwise(0))
+    def ranked(marked: Column) -> Column:
+        return let(_heading_fonts(marked), lambda fonts: F.transform(marked, lambda x: F.struct(
+            *[x[f].alias(f) for f in ("line_no", "page", "page_count", "max_font", "text", "body_font", "is_heading")],
+            F.when(x["is_heading"], F.coalesce(F.nullif(F.array_position(fonts, x["max_font"]), F.lit(0)).cast("int"), F.lit(MAX_LEVEL))).otherwise(0).alias("level"))))
+
+    return let(F.filter(lines, lambda x: ~is_blank(x["text"])), judged)
+
+
+def _heading_fonts(marked: Column) -> Column:
+    """The largest heading fonts, as many as there are levels, in falling order."""
+    return F.slice(F.reverse(F.array_sort(F.array_distinct(F.transform(F.filter(marked, lambda x: x["is_heading"]), lambda x: x["max_font"])))), 1, MAX_LEVEL)
+
+
+def classify_lines(lines: DataFrame) -> DataFrame:
+    """Non-blank lines without running headers and footers, with ``body_font``, ``is_heading`` and ``level``, as rows."""
+    return rows_of(nest_lines(lines), classified(F.col("lines")), "doc_id").select("doc_id", "item.*")
 
 
 def heading_levels(lines: DataFrame) -> DataFrame:
-    """(doc_id, max_font, level): raw heading fonts in falling order are levels 1 to 4, further fonts 4."""
-    fonts = lines.filter("is_heading").select("doc_id", "max_font").distinct()
-    rank = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("max_font")))
-    return fonts.withColumn("level", F.least(rank, F.lit(MAX_LEVEL)))
+    """(doc_id, max_font, level) of the heading fonts of classified lines: raw fonts in falling order are levels 1 to 4, further fonts 4."""
+    fonts = lines.filter("is_heading").groupBy("doc_id").agg(F.reverse(F.array_sort(F.collect_set("max_font"))).alias("fonts"))
+    return rows_of(fonts, "fonts", "doc_id", item="max_font").select("doc_id", "max_font", F.least(F.col("pos") + 1, F.lit(MAX_LEVEL)).alias("level"))
+
+
+def paragraphs(lines: Column) -> Column:
+    """Array of classified lines to the array of elements. A paragraph ends at a sentence mark or a heading and may cross pages; two Latin word ends get a space
+    between them, other line ends none; the page is the first line's."""
+    def glue(acc: Column, line: Column) -> Column:
+        words = acc.rlike(r"[A-Za-z0-9]\z") & line["text"].rlike(r"\A[A-Za-z0-9]")
+        return F.concat(acc, F.when(words, F.lit(" ")).otherwise(F.lit("")), line["text"])
+
+    def blocks(body: Column) -> Column:
+        def ends(x: Column) -> Column:
+            return x["is_heading"] | x["text"].rlike(SENTENCE_END)
+
+        starts = F.filter(F.transform(body, lambda x, i: F.when((i == 0) | x["is_heading"] | ends(F.get(body, i - 1)), i)), lambda i: i.isNotNull())
+
+        def element(at: Column, i: Column, starts: Column) -> Column:
+            first = F.get(body, at)
+            mine = F.slice(body, at + 1, F.coalesce(F.get(starts, i + 1), F.size(body)) - at)
+            return F.struct(i.alias("pos"), F.when(first["is_heading"], "HEADING").otherwise("PARAGRAPH").alias("type"),
+                            F.aggregate(mine, F.lit(""), glue).alias("text"), first["level"].alias("level"), first["page"].alias("page_no"))
+
+        return let(starts, lambda starts: F.transform(starts, lambda at, i: element(at, i, starts)))
+
+    return let(F.filter(lines, lambda x: ~is_toc_entry(x["text"])), blocks)
 
 
 def merge_paragraphs(lines: DataFrame) -> DataFrame:
-    """Classified lines to elements. A paragraph ends at a sentence mark or a heading and may cross pages;
-    two Latin word ends get a space between them, other line ends none; the page is the first line's."""
-    body = lines.filter(~is_toc_entry(F.col("text")))
-    order = W.partitionBy("doc_id").orderBy("line_no")
-    ends = F.col("is_heading") | F.col("text").rlike(SENTENCE_END)
-    starts = F.col("is_heading") | F.coalesce(F.lag(ends).over(order), F.lit(True))
-    blocks = (body.withColumn("starts", starts)
-              .withColumn("block", F.sum(F.col("starts").cast("int")).over(order)))
-    merged = blocks.groupBy("doc_id", "block").agg(
-        F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("lines"),
-        F.min_by("page", "line_no").alias("page_no"), F.bool_or("is_heading").alias("is_heading"),
-        F.max("level").alias("level"))
-
-    def glue(acc: Column, l: Column) -> Column:
-        words = acc.rlike(r"[A-Za-z0-9]\z") & l["text"].rlike(r"\A[A-Za-z0-9]")
-        return F.concat(acc, F.when(words, F.lit(" ")).otherwise(F.lit("")), l["text"])
-
-    return merged.select(
-        "doc_id", (F.col("block") - 1).cast("int").alias("pos"),
-        F.when(F.col("is_heading"), "HEADING").otherwise("PARAGRAPH").alias("type"),
-        F.aggregate("lines", F.lit(""), glue).alias("text"), "level", "page_no")
+    """Classified lines to element rows (doc_id, pos, type, text, level, page_no)."""
+    return rows_of(nest_lines(lines, "body_font", "is_heading", "level"), paragraphs(F.col("lines")), "doc_id").select("doc_id", "item.*")
 
 
 def layout_elements(lines: DataFrame) -> DataFrame:
-    """Lines (doc_id, line_no, page, page_count, max_font, text) to element rows."""
-    return merge_paragraphs(classify_lines(lines))
+    """Lines (doc_id, line_no, page, page_count, max_font, text) to element rows: all steps inside the document's row, one exchange."""
+    return rows_of(nest_lines(lines), let(classified(F.col("lines")), paragraphs), "doc_id").select("doc_id", "item.*")

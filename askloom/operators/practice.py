@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from askloom.functions.arrays import rows_of
 from askloom.functions.ranking import top_n
-from askloom.functions.text import trim_controls
+from askloom.functions.text import let, trim_controls
 from askloom.schemas import ANSWERS_JSON, GRADES_JSON, QUESTIONS_JSON, QUIZ_JSON
 
 # ---- fixed values ----
@@ -51,48 +53,53 @@ def clamp_score(graded: DataFrame, score: str = "score") -> DataFrame:
     return graded.withColumn(score, F.greatest(F.lit(0), F.least(F.lit(100), F.col(score))))
 
 
+def typed(attempts: DataFrame) -> DataFrame:
+    """The attempts with ``questions``, ``grades`` and ``answers`` as arrays: JSON text is parsed, once; arrays stay as they are. Every operator on attempts takes
+    either form, so a typed table is never parsed again."""
+    schemas = {"questions": QUESTIONS_JSON, "grades": GRADES_JSON, "answers": ANSWERS_JSON}
+    texts = {c: F.from_json(c, s) for c, s in schemas.items() if c in attempts.columns and attempts.schema[c].dataType == T.StringType()}
+    return attempts.withColumns(texts) if texts else attempts
+
+
 def attempt_total(attempts: DataFrame) -> DataFrame:
     """Mean score of an attempt, cut to a whole number."""
-    total = F.aggregate(F.from_json("grades", GRADES_JSON), F.lit(0), lambda a, g: a + g["score"])
-    n = F.greatest(F.size(F.from_json("grades", GRADES_JSON)), F.lit(1))
-    return attempts.withColumn("total_score", (total / n).cast("int"))
+    grades = F.from_json("grades", GRADES_JSON) if attempts.schema["grades"].dataType == T.StringType() else F.col("grades")
+    mean = let(grades, lambda g: F.aggregate(g, F.lit(0), lambda a, x: a + x["score"]) / F.greatest(F.size(g), F.lit(1)))
+    return attempts.withColumn("total_score", mean.cast("int"))
 
 
 def attempt_summary(attempts: DataFrame, n: int = 20) -> DataFrame:
-    """Newest ``n`` attempts per knowledge base and visitor with question and wrong counts."""
-    wrong = F.size(F.filter(F.from_json("grades", GRADES_JSON), lambda g: g["score"] < PASS_SCORE))
-    newest = top_n(attempts, ["kb_id", "visitor_id"], [F.desc("attempt_id")], n)
-    return newest.withColumn("question_count", F.size(F.from_json("questions", QUESTIONS_JSON))).withColumn("wrong_count", wrong)
+    """Newest ``n`` attempts per knowledge base and visitor with question and wrong counts. Only the newest are parsed."""
+    newest = typed(top_n(attempts, ["kb_id", "visitor_id"], [F.desc("attempt_id")], n))
+    return newest.withColumns({"question_count": F.size("questions"), "wrong_count": F.size(F.filter("grades", lambda g: g["score"] < PASS_SCORE))})
 
 
 def wrong_book(attempts: DataFrame, limit: int = WRONG_BOOK) -> DataFrame:
-    """Questions scored below the pass mark, newest attempts first, ``limit`` per knowledge base and visitor.
+    """Questions scored below the pass mark with options and missed sentences, newest attempts first, ``limit`` per knowledge base and visitor.
 
     Questions, grades and answers are zipped by position inside the row; the shortest list decides.
     """
-    zipped = F.arrays_zip(F.from_json("questions", QUESTIONS_JSON).alias("q"), F.from_json("grades", GRADES_JSON).alias("g"),
-                          F.from_json("answers", ANSWERS_JSON).alias("a"))
-    n = F.least(*[F.size(F.from_json(c, s)) for c, s in (("questions", QUESTIONS_JSON), ("grades", GRADES_JSON), ("answers", ANSWERS_JSON))])
-    wrong = F.filter(F.transform(F.slice(zipped, 1, F.greatest(n, F.lit(0))), lambda z, i: F.struct(i.alias("index"), z.alias("z"))),
-                     lambda x: x["z"]["g"]["score"] < PASS_SCORE)
-    rows = rows_of(attempts, wrong, "kb_id", "visitor_id", "attempt_id", "created_at").select(
-        "kb_id", "visitor_id", "attempt_id", "created_at", F.col("item.index").alias("question_index"),
-        F.col("item.z.q.type").alias("type"), F.col("item.z.q.stem").alias("stem"), F.col("item.z.q.answer").alias("answer"),
-        F.col("item.z.q.explanation").alias("explanation"), F.col("item.z.g.score").alias("score"),
-        F.col("item.z.g.comment").alias("comment"), F.col("item.z.a").alias("user_answer"))
+    zipped = F.arrays_zip(F.col("questions").alias("q"), F.col("grades").alias("g"), F.col("answers").alias("a"))
+    n = F.greatest(F.least(F.size("questions"), F.size("grades"), F.size("answers")), F.lit(0))
+    wrong = F.filter(F.transform(F.slice(zipped, 1, n), lambda z, i: F.struct(i.alias("index"), z.alias("z"))), lambda x: x["z"]["g"]["score"] < PASS_SCORE)
+    fields = {"question_index": "index", "type": "z.q.type", "stem": "z.q.stem", "options": "z.q.options", "answer": "z.q.answer", "explanation": "z.q.explanation",
+              "score": "z.g.score", "comment": "z.g.comment", "missed_sentences": "z.g.missedSentences", "user_answer": "z.a"}
+    rows = rows_of(typed(attempts), wrong, "kb_id", "visitor_id", "attempt_id", "created_at").select(
+        "kb_id", "visitor_id", "attempt_id", "created_at", *[F.col(f"item.{f}").alias(name) for name, f in fields.items()])
     return top_n(rows, ["kb_id", "visitor_id"], [F.desc("attempt_id"), F.asc("question_index")], limit)
 
 
 def mark_mastered(attempts: DataFrame, updates: DataFrame) -> DataFrame:
-    """Set the score of the named questions (attempt_id, question_index) to 100; indexes out of range change nothing.
+    """Set the score of the named questions (attempt_id, question_index) to 100; indexes out of range change nothing. Grades come back in the form they had.
 
     Several updates of one attempt are gathered as a set of indexes, at most one per question.
     """
     marks = updates.groupBy("attempt_id").agg(F.collect_set("question_index").alias("_mastered"))
-    grades = F.transform(F.from_json("grades", GRADES_JSON), lambda g, i: F.when(
+    as_text = attempts.schema["grades"].dataType == T.StringType()
+    grades = F.transform(F.from_json("grades", GRADES_JSON) if as_text else F.col("grades"), lambda g, i: F.when(
         F.array_contains("_mastered", i), g.withField("score", F.lit(100))).otherwise(g))
     return attempts.join(marks, "attempt_id", "left").withColumn(
-        "grades", F.when(F.col("_mastered").isNotNull(), F.to_json(grades)).otherwise(F.col("grades"))).drop("_mastered")
+        "grades", F.when(F.col("_mastered").isNotNull(), F.to_json(grades) if as_text else grades).otherwise(F.col("grades"))).drop("_mastered")
 
 
 def attempt_detail(attempts: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -102,7 +109,8 @@ def attempt_detail(attempts: DataFrame, keys: DataFrame) -> tuple[DataFrame, Dat
 
 
 def edit_eval_set(questions: DataFrame, deletes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(remaining questions, newest first; deletes (q_id, kb_id) that match no question)."""
+    """(remaining questions with their ``position`` per knowledge base, newest first from 1; deletes (q_id, kb_id) that match no question)."""
     on = ["q_id", "kb_id"]
-    left = questions.join(deletes.select(*on), on, "left_anti").orderBy(F.desc("q_id"))
-    return left, deletes.join(questions.select(*on), on, "left_anti")
+    left = questions.join(deletes.select(*on), on, "left_anti")
+    listed = left.withColumn("position", F.row_number().over(W.partitionBy("kb_id").orderBy(F.desc("q_id"))))
+    return listed, deletes.join(questions.select(*on), on, "left_anti")

@@ -6,17 +6,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from askloom.functions.arrays import rows_of
-from askloom.functions.ranking import TERM_GROWTH, salted_join, top_n
+from askloom.functions.ranking import top_n
 from askloom.functions.text import segment_terms, snippet
+from askloom.operators.recall import RECALL_K, SCORE_DIGITS, bm25_topk, keyword_topk, vector_topk  # noqa: F401
 
 # ---- fixed values: funnel sizes, weights, thresholds, prompt wording ----
-RECALL_K = 50
 RRF_K = 60
 FUSED_LIMIT = 30
 RERANK_INPUT = 10
@@ -24,7 +23,6 @@ RERANK_KEEP = 8
 REFUSE_THRESHOLD = 0.35
 CONTEXT_BLOCKS = 4
 CONTEXT_TOKENS = 3000
-COVER_WEIGHT = 0.1
 CITATION_SNIPPET = 80
 DETAIL_SNIPPET = 300
 HISTORY_TURNS = 6
@@ -36,11 +34,6 @@ CONTEXT_HEADER = "参考资料：\n\n"
 QUESTION_LABEL = "问题："
 # ---- end of fixed values ----
 
-SCORE_DIGITS = 6
-BROADCAST_QUESTIONS = 4096
-CELL_CHUNKS = 32768
-CELL_QUESTIONS = 1024
-
 
 def searchable(chunks: DataFrame, documents: DataFrame, strategy: str | None = None) -> DataFrame:
     """Searchable chunks of READY documents with their ``kb_id``; the strategy filter reaches the scan."""
@@ -51,138 +44,12 @@ def searchable(chunks: DataFrame, documents: DataFrame, strategy: str | None = N
     return found.join(ready, "doc_id")
 
 
-def _best_rows(q_ids: np.ndarray, c_ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """Best ``k`` of each question's row of ``scores``, ties by chunk id, flattened."""
-    order = np.argsort(c_ids, kind="stable")
-    rounded = np.round(scores[:, order], SCORE_DIGITS)
-    best = np.argsort(-rounded, axis=1, kind="stable")[:, :k]
-    return (np.repeat(q_ids, best.shape[1]), c_ids[order][best].ravel(), np.take_along_axis(rounded, best, axis=1).ravel())
-
-
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    m = np.asarray(flat.flatten(), dtype=np.float64).reshape(len(flat), -1)
-    return m / np.sqrt(np.maximum((m * m).sum(axis=1, keepdims=True), 1e-300))
-
-
-_HITS = pa.schema([("q_id", pa.int64()), ("chunk_id", pa.int64()), ("score", pa.float64())])
-
-
-def _hits(parts: list[tuple[np.ndarray, ...]]) -> pa.Table:
-    cols = [np.concatenate(c) for c in zip(*parts)] if parts else [np.empty(0)] * 3
-    return pa.table([pa.array(c).cast(f.type) for c, f in zip(cols, _HITS)], schema=_HITS)
-
-
-def vector_topk(questions: DataFrame, chunks: DataFrame, k: int = RECALL_K,
-                broadcast_questions: int = BROADCAST_QUESTIONS) -> DataFrame:
-    """Exact best ``k`` chunks per question by cosine inside the question's knowledge base.
-
-    questions (q_id, kb_id, vector), chunks (kb_id, chunk_id, vector) -> (q_id, chunk_id, score, rank).
-
-    Up to ``broadcast_questions`` questions travel to the tasks as one small matrix: the chunk table is streamed
-    once, without a shuffle, and each task sends on only its best ``k`` per question. More questions than that
-    go through a grid of cells of bounded size instead, see :func:`_grid_hits`. Pairs never become rows.
-    """
-    asked = questions.select(F.col("q_id").cast("bigint"), F.col("kb_id").cast("bigint"), "vector")
-    stored = chunks.select(F.col("kb_id").cast("bigint"), F.col("chunk_id").cast("bigint"), "vector").filter("vector is not null")
-    head = asked.limit(broadcast_questions + 1).toArrow()
-    hits = _grid_hits(asked, stored, k) if head.num_rows > broadcast_questions else _streamed_hits(head, stored, k)
-    return top_n(hits, ["q_id"], [F.desc("score"), F.asc("chunk_id")], k)
-
-
-def _streamed_hits(asked: pa.Table, stored: DataFrame, k: int) -> DataFrame:
-    packed = {}
-    if asked.num_rows:
-        kbs, ids, vectors = np.asarray(asked["kb_id"]), np.asarray(asked["q_id"]), _matrix(asked["vector"])
-        packed = {int(b): (ids[kbs == b], vectors[kbs == b]) for b in np.unique(kbs)}
-    shared = stored.sparkSession.sparkContext.broadcast(packed)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, tuple[np.ndarray, ...]] = {}
-        for batch in batches:
-            kbs = np.asarray(batch["kb_id"])
-            for b in np.unique(kbs):
-                if int(b) not in shared.value:
-                    continue
-                ids, vectors = shared.value[int(b)]
-                rows = batch.filter(pa.array(kbs == b))
-                q, c, s = _best_rows(ids, np.asarray(rows["chunk_id"]), vectors @ _matrix(rows["vector"]).T, k)
-                old = best.get(int(b))
-                best[int(b)] = (q, c, s) if old is None else _merge(old, (q, c, s), k)
-        yield from _hits(list(best.values())).to_batches()
-
-    return stored.mapInArrow(scan, "q_id bigint, chunk_id bigint, score double")
-
-
-def _merge(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, ...]:
-    """Best ``k`` per question of two hit lists."""
-    q, c, s = (np.concatenate(x) for x in zip(a, b))
-    order = np.lexsort((c, -s, q))
-    q, c, s = q[order], c[order], s[order]
-    first = np.searchsorted(q, q, side="left")
-    keep = np.arange(len(q)) - first < k
-    return q[keep], c[keep], s[keep]
-
-
-def _grid_hits(asked: DataFrame, stored: DataFrame, k: int) -> DataFrame:
-    """Block grid for many questions: chunks and questions of a knowledge base are cut by hash into cells of bounded
-    size; a cell holds one block of each and yields its best ``k`` per question. A hot knowledge base simply has
-    more cells."""
-    def blocks(df: DataFrame, rows: int, name: str) -> DataFrame:
-        return df.groupBy("kb_id").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
-
-    sizes = blocks(asked, CELL_QUESTIONS, "q_blocks").join(blocks(stored, CELL_CHUNKS, "c_blocks"), "kb_id")
-    q = (asked.join(sizes, "kb_id")
-         .withColumn("q_block", F.pmod(F.xxhash64("q_id"), F.col("q_blocks")).cast("int"))
-         .withColumn("c_block", F.explode(F.sequence(F.lit(0), F.col("c_blocks") - 1)))
-         .select("kb_id", "q_block", "c_block", "q_id", "vector"))
-    c = (stored.join(sizes, "kb_id")
-         .withColumn("c_block", F.pmod(F.xxhash64("chunk_id"), F.col("c_blocks")).cast("int"))
-         .withColumn("q_block", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)))
-         .select("kb_id", "q_block", "c_block", "chunk_id", "vector"))
-
-    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return _hits([])
-        scores = _matrix(left["vector"]) @ _matrix(right["vector"]).T
-        return _hits([_best_rows(np.asarray(left["q_id"]), np.asarray(right["chunk_id"]), scores, k)])
-
-    keys = ["kb_id", "q_block", "c_block"]
-    return q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(cell, "q_id bigint, chunk_id bigint, score double")
-
-
 def query_terms(questions: DataFrame, text: str = "question") -> DataFrame:
     """Distinct search terms per question (q_id, kb_id, term); a term needs a letter, a digit or a Han character."""
     terms = F.filter(F.array_distinct(segment_terms(F.col(text))), lambda t: t.rlike(r"[\p{L}\p{N}\x{4E00}-\x{10FFFF}]"))
     return rows_of(questions, terms, "q_id", "kb_id", item="term").drop("pos")
 
 
-def keyword_topk(terms: DataFrame, postings: DataFrame, k: int = RECALL_K, weight: float = COVER_WEIGHT,
-                 salts: int = 16) -> DataFrame:
-    """Best ``k`` chunks per question by matched term occurrences: equi-join on the term, then a sum.
-
-    terms (q_id, kb_id, term), postings (kb_id, chunk_id, term, tf) -> (q_id, chunk_id, score, rank). Frequent terms
-    are salted by chunk; all postings of a chunk share a salt, so partial sums shrink before the shuffle.
-    """
-    matched = salted_join(postings.select("kb_id", "chunk_id", "term", "tf"), terms, ["kb_id", "term"], F.col("chunk_id"), TERM_GROWTH, salts)
-    scores = matched.groupBy("q_id", "chunk_id").agg((F.sum("tf") * F.lit(weight)).alias("score"))
-    return top_n(scores.withColumn("score", F.round("score", SCORE_DIGITS)), ["q_id"], [F.desc("score"), F.asc("chunk_id")], k)
-
-
-def bm25_topk(terms: DataFrame, postings: DataFrame, k: int = RECALL_K, k1: float = 1.2, b: float = 0.75,
-              salts: int = 16) -> DataFrame:
-    """Same recall ranked by BM25 (Robertson and Zaragoza 2009) per knowledge base."""
-    lengths = postings.groupBy("kb_id", "chunk_id").agg(F.sum("tf").alias("len"))
-    stats = lengths.groupBy("kb_id").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
-    df = postings.groupBy("kb_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    rated = terms.join(df, ["kb_id", "term"]).join(stats, "kb_id").withColumn(
-        "idf", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    matched = salted_join(postings.join(lengths, ["kb_id", "chunk_id"]), rated, ["kb_id", "term"], F.col("chunk_id"), TERM_GROWTH, salts)
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scores = matched.groupBy("q_id", "chunk_id").agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
-    return top_n(scores, ["q_id"], [F.desc("score"), F.asc("chunk_id")], k)
-
-
 def rrf_fuse(vector: DataFrame, keyword: DataFrame, limit: int = FUSED_LIMIT, k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of two recalls, scores and ranks of both kept; ties by chunk id.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from askloom.operators import library as lib, limits, logs, practice
 from askloom.plans import tables as t
 from askloom.plans.registry import query
-from askloom.session import shared_dir
+from askloom.session import materialize, shared_dir
 from askloom.sources import sinks
 
 # ---------------------------------------------------------------- logs
@@ -156,19 +156,37 @@ def _(spark, sf):
     return lib.recover_interrupted(t.manifest(spark, sf)).select("doc_id", "status", "error_msg")
 
 
-@query("s4_write_chunks", """
+_CHUNKS_SQL = """
 SELECT doc_id, strategy, chunk_index, kind, md5(content) AS content_md5 FROM (
-  SELECT doc_id, strategy, chunk_index, kind, content FROM fixed_chunks UNION ALL SELECT doc_id, strategy, chunk_index, kind, content FROM doc_chunks)""".replace("UNION ALL", "UNION"),
-       ("fixed_chunks", "doc_chunks"))
-def _(spark, sf):
+  SELECT doc_id, strategy, chunk_index, kind, content FROM fixed_chunks UNION SELECT doc_id, strategy, chunk_index, kind, content FROM doc_chunks)"""
+
+
+def _written_chunks(spark, sf):
     """Write structure chunks, then fixed chunks, then the structure chunks of the German documents again."""
     path = f"{shared_dir(spark)}/askloom/{spark.sparkContext.applicationId}/chunks-{uuid.uuid4().hex}"
-    rows = t.chunks(spark, sf, "STRUCTURE_AWARE")
     german = t.corpus(spark, sf).filter(F.col("lang") == "de").select("doc_id")
-    sinks.write_chunks(rows, path, buckets=8)
-    sinks.write_chunks(t.chunks(spark, sf, "FIXED"), path, buckets=8)
-    sinks.write_chunks(rows.join(german, "doc_id", "left_semi"), path, buckets=8)
-    return spark.read.parquet(path).select("doc_id", "strategy", "chunk_index", "kind", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+    sinks.write_chunks(t.chunks(spark, sf, "STRUCTURE_AWARE"), path)
+    sinks.write_chunks(t.chunks(spark, sf, "FIXED"), path)
+    sinks.write_chunks(sinks.read_chunks(spark, path).filter(F.col("strategy") == "STRUCTURE_AWARE").join(german, "doc_id", "left_semi"), path)
+    return path
+
+
+def _stored_chunks(spark, path):
+    return sinks.read_chunks(spark, path).select("doc_id", "strategy", "chunk_index", "kind", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+@query("s4_write_chunks", _CHUNKS_SQL, ("fixed_chunks", "doc_chunks"))
+def _(spark, sf):
+    return _stored_chunks(spark, _written_chunks(spark, sf))
+
+
+@query("s4_compact_chunks", _CHUNKS_SQL, ("fixed_chunks", "doc_chunks"))
+def _(spark, sf):
+    path = _written_chunks(spark, sf)
+    store = sinks.chunk_store(spark, path)
+    store.compact()
+    store.expire()
+    return _stored_chunks(spark, path)
 
 
 # ---------------------------------------------------------------- practice
@@ -211,16 +229,16 @@ def _(spark, sf):
 
 
 @query("a11_eval_set_edit", """
-SELECT o_orderkey AS q_id, CAST(o_custkey % 7 AS BIGINT) AS kb_id, 'kept' AS outcome FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 50)
-   OR o_custkey % 7 = 0
-UNION ALL SELECT DISTINCT l_orderkey, CAST(o_custkey % 7 AS BIGINT) + CASE WHEN o_custkey % 7 = 0 THEN 100 ELSE 0 END, 'missing' FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity >= 50 AND o_custkey % 7 = 0""".replace("UNION ALL", "UNION"))
+SELECT q_id, kb_id, 'kept' AS outcome, CAST(row_number() OVER (PARTITION BY kb_id ORDER BY q_id DESC) AS INTEGER) AS position FROM (
+  SELECT o_orderkey AS q_id, CAST(o_custkey % 7 AS BIGINT) AS kb_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 50) OR o_custkey % 7 = 0)
+UNION ALL SELECT DISTINCT l_orderkey, CAST(o_custkey % 7 AS BIGINT) + CASE WHEN o_custkey % 7 = 0 THEN 100 ELSE 0 END, 'missing', NULL::INTEGER FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity >= 50 AND o_custkey % 7 = 0""".replace("UNION ALL", "UNION"))
 def _(spark, sf):
     kb = (F.col("o_custkey") % 7).cast("bigint")
     asked = t.read(spark, sf, "orders").select(F.col("o_orderkey").alias("q_id"), kb.alias("kb_id"))
     big = t.read(spark, sf, "lineitem").filter("l_quantity >= 50").select(F.col("l_orderkey").alias("q_id")).distinct()
     deletes = asked.join(big, "q_id").withColumn("kb_id", F.when(F.col("kb_id") == 0, 100).otherwise(F.col("kb_id")).cast("bigint"))
     left, missing = practice.edit_eval_set(asked, deletes)
-    return left.withColumn("outcome", F.lit("kept")).unionByName(missing.withColumn("outcome", F.lit("missing")))
+    return left.withColumn("outcome", F.lit("kept")).unionByName(missing.withColumns({"outcome": F.lit("missing"), "position": F.lit(None).cast("int")}))
 
 
 @query("a12_attempt_total", "SELECT attempt_id, CAST(total // n AS INTEGER) AS total_score FROM attempts", ("attempts",))
@@ -236,11 +254,12 @@ def _(spark, sf):
 
 
 @query("a14_wrong_book", """
-SELECT kb_id, visitor_id, attempt_id, CAST(idx AS INTEGER) AS question_index, type, stem, answer, explanation, score, user_answer, CAST(rn AS INTEGER) AS rank FROM (
+SELECT kb_id, visitor_id, attempt_id, created_at, CAST(idx AS INTEGER) AS question_index, type, stem, 'A|N|R' AS options, answer, explanation, score, 'graded' AS comment,
+       CASE WHEN score < 30 THEN stem || '|line' ELSE '' END AS missed_sentences, user_answer, CAST(rn AS INTEGER) AS rank FROM (
   SELECT a.*, i.* EXCLUDE (attempt_id), row_number() OVER (PARTITION BY kb_id, visitor_id ORDER BY a.attempt_id DESC, idx) AS rn
   FROM attempts a JOIN attempt_items i ON i.attempt_id = a.attempt_id WHERE i.score < 60) WHERE rn <= 50""", ("attempts", "attempt_items"))
 def _(spark, sf):
-    return practice.wrong_book(t.attempts(spark, sf)).drop("created_at", "comment")
+    return practice.wrong_book(t.attempts(spark, sf)).withColumns({c: F.array_join(c, "|") for c in ("options", "missed_sentences")})
 
 
 @query("a15_mark_mastered", """
@@ -248,15 +267,13 @@ SELECT attempt_id, CAST(sum(CASE WHEN l_partkey % 2 = 0 AND score < 60 THEN 100
 FROM attempt_items JOIN attempts USING (attempt_id) GROUP BY attempt_id""", ("attempts", "attempt_items"))
 def _(spark, sf):
     from askloom.functions.arrays import rows_of
-    from askloom.schemas import GRADES_JSON, QUESTIONS_JSON
-    a = t.attempts(spark, sf)
-    zipped = F.arrays_zip(F.from_json("questions", QUESTIONS_JSON).alias("q"), F.from_json("grades", GRADES_JSON).alias("g"))
+    a = materialize(practice.typed(t.attempts(spark, sf)).select("attempt_id", "questions", "grades"), "attempts-typed")
+    zipped = F.arrays_zip(F.col("questions").alias("q"), F.col("grades").alias("g"))
     wrong = rows_of(a, zipped, "attempt_id", pos="question_index").filter("item.g.score < 60 and item.q.sourceChunkIds[0] % 2 = 0").select("attempt_id", "question_index")
     updates = wrong.unionByName(wrong.withColumn("question_index", F.col("question_index") + 1000))
-    grades = F.from_json("grades", GRADES_JSON)
     return practice.mark_mastered(a, updates).select(
-        "attempt_id", F.aggregate(grades, F.lit(0), lambda s, g: s + g["score"]).alias("total"),
-        F.size(F.filter(grades, lambda g: g["score"] < 60)).cast("bigint").alias("wrong_count"))
+        "attempt_id", F.aggregate("grades", F.lit(0), lambda s, g: s + g["score"]).alias("total"),
+        F.size(F.filter("grades", lambda g: g["score"] < 60)).cast("bigint").alias("wrong_count"))
 
 
 @query("a21_attempt_detail", """

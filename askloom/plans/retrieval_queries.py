@@ -35,9 +35,15 @@ def _(spark, sf):
     return retrieval.vector_topk(*_vectors(spark, sf))
 
 
-@query("r2_vector_topk_many_questions", _VECTOR_SQL)
+@query("r2_vector_topk_many_questions", """
+SELECT q_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, chunk_id) AS rank FROM (
+    SELECT q.vec_id AS q_id, c.vec_id AS chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) + 0 AS score
+    FROM embeddings q, embeddings c)) WHERE rank <= 50""")
 def _(spark, sf):
-    return retrieval.vector_topk(*_vectors(spark, sf), broadcast_questions=0)
+    """Every stored vector asks for its neighbours."""
+    stored = _vectors(spark, sf)[1]
+    return retrieval.vector_topk(stored.withColumnRenamed("chunk_id", "q_id"), stored)
 
 
 @query("r2_vector_recall_text", "SELECT q_id, chunk_id, score, rank FROM r_vec", ("r_vec",))

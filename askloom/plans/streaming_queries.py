@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from askloom.operators import retrieval
 from askloom.plans import tables as t
 from askloom.plans.registry import query
 from askloom.session import shared_dir
@@ -29,11 +30,47 @@ def _(spark, sf):
     return spark.read.parquet(f"{out}/hits").select("event_id", F.col("key").alias("user_id"), "hit_no", "allowed")
 
 
-@query("t3_ingest_stream", "SELECT doc_id, chunk_index, kind, parent_index, token_count, md5(content) AS content_md5 FROM doc_chunks", ("doc_chunks",))
-def _(spark, sf):
+def _ingested(spark, sf):
+    """A first version of the German documents, cut short, then all documents as a stream."""
     out = _folder(spark, "ingest-stream")
+    store = ingest.ingest_store(spark, f"{out}/store")
+    chunk, german = t.CHUNKERS["STRUCTURE_AWARE"], F.col("lang") == "de"
+    first = t.as_markdown(t.read(spark, sf, "documents").filter(german).withColumn("text", F.substring("text", 1, 300)))
+    ingest.ingest_batch(first, store, "first", chunk=chunk, embedder=t.EMBEDDER)
     source = ingest.document_stream(spark, sf, t.read(spark, sf, "documents").schema, "documents.parquet")
-    run = ingest.ingest_stream(t.as_markdown(source), f"{out}/chunks", f"{out}/status", f"{out}/checkpoint", chunk=t.CHUNKERS["STRUCTURE_AWARE"])
+    run = ingest.ingest_stream(t.as_markdown(source), f"{out}/store", f"{out}/checkpoint", chunk=chunk, embedder=t.EMBEDDER)
     run.awaitTermination()
-    return spark.read.parquet(f"{out}/chunks").select("doc_id", "chunk_index", "kind", "parent_index", "token_count",
-                                                      F.md5(F.col("content").cast("binary")).alias("content_md5"))
+    return store
+
+
+@query("t3_ingest_stream", "SELECT doc_id, chunk_index, kind, parent_index, token_count, md5(content) AS content_md5 FROM doc_chunks", ("doc_chunks",))
+def _(spark, sf):
+    return _ingested(spark, sf).read("chunks").select("doc_id", "chunk_index", "kind", "parent_index", "token_count", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+@query("t3_ingest_status", """
+SELECT doc_id, CASE WHEN c.n IS NULL THEN 'FAILED' ELSE 'READY' END AS status, CAST(1 AS INTEGER) AS page_count, coalesce(c.n, 0) AS chunk_count,
+       CAST(coalesce(c.tokens, 0) AS BIGINT) AS token_count
+FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n, sum(token_count) AS tokens FROM doc_chunks WHERE kind = 'child' GROUP BY doc_id) c USING (doc_id)""", ("doc_chunks",))
+def _(spark, sf):
+    return _ingested(spark, sf).read("status").select("doc_id", "status", "page_count", "chunk_count", "token_count")
+
+
+t.cte("children", "SELECT * FROM store WHERE kind = 'child'", "store")
+t.sql_recall("i", "children")
+
+
+@query("t3_ingest_postings", "SELECT chunk_id, term, tf FROM i_terms", ("i_terms",))
+def _(spark, sf):
+    return _ingested(spark, sf).read("postings").select("chunk_id", "term", "tf")
+
+
+@query("t3_ingest_recall", """
+SELECT 'vector' AS recall, q_id, chunk_id, score, rank FROM i_vec UNION ALL SELECT 'keyword' AS recall, q_id, chunk_id, score, rank FROM i_kw""", ("i_vec", "i_kw"))
+def _(spark, sf):
+    docs = t.read(spark, sf, "documents").select("doc_id", F.lit(1).cast("bigint").alias("kb_id"))
+    vectors, postings = ingest.recall_tables(_ingested(spark, sf), docs)
+    questions = t.questions(spark, sf)
+    by_vector = retrieval.vector_topk(t.EMBEDDER(questions, "question"), vectors)
+    by_term = retrieval.keyword_topk(retrieval.query_terms(questions), postings)
+    return by_vector.select(F.lit("vector").alias("recall"), "*").unionByName(by_term.select(F.lit("keyword").alias("recall"), "*"))

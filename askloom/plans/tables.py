@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askloom.functions.arrays import rows_of
-from askloom.operators import chunking, indexing, retrieval
+from askloom.operators import chunking, indexing, recall, retrieval
 from askloom.operators.elements import parse_html, parse_markdown
 from askloom.plans.registry import cte
 from askloom.schemas import GRADES_JSON
@@ -363,6 +363,11 @@ def postings(spark: SparkSession, sf: str, *strategies: str) -> DataFrame:
     return written(spark, sf, "postings-" + "-".join(strategies), lambda: indexing.term_counts(rows, "kb_id", "strategy", "chunk_id"))
 
 
+def term_blocks(spark: SparkSession, sf: str, *strategies: str) -> DataFrame:
+    """The postings as an inverted index in blocks of chunks."""
+    return written(spark, sf, "blocks-" + "-".join(strategies), lambda: recall.block_index(postings(spark, sf, *strategies)))
+
+
 def build_store(spark: SparkSession, sf: str, *strategies: str) -> DataFrame:
     """Chunks with ids, parent ids and their document's fields."""
     rows = chunks(spark, sf, *(strategies or ("STRUCTURE_AWARE",)))
@@ -457,7 +462,7 @@ class Funnel:
 
     @cached_property
     def keyword(self) -> DataFrame:
-        return materialize(retrieval.keyword_topk(retrieval.query_terms(self.questions), postings(self.spark, self.sf)), "keyword")
+        return materialize(retrieval.keyword_topk(retrieval.query_terms(self.questions), term_blocks(self.spark, self.sf)), "keyword")
 
     @cached_property
     def fused(self) -> DataFrame:
@@ -554,7 +559,8 @@ def attempts(spark: SparkSession, sf: str) -> DataFrame:
     items = attempt_items(spark, sf).groupBy("attempt_id").agg(F.array_sort(F.collect_list(F.struct("at", "question", "user_answer", "score"))).alias("xs"))
     grades = F.transform("xs", lambda x, i: F.struct(
         i.alias("index"), x["question"]["type"].alias("type"), (x["score"] >= 60).alias("correct"), x["score"].alias("score"),
-        F.lit("graded").alias("comment"), F.expr("cast(array() as array<string>)").alias("missedSentences"))).cast(GRADES_JSON)
+        F.lit("graded").alias("comment"),
+        F.when(x["score"] < 30, F.array(x["question"]["stem"], F.lit("line"))).otherwise(F.array().cast("array<string>")).alias("missedSentences"))).cast(GRADES_JSON)
     docs = manifest(spark, sf).select(F.col("doc_id").alias("attempt_id"), "kb_id", "visitor_id", "created_at")
     return items.join(docs, "attempt_id").select(
         "attempt_id", "kb_id", "visitor_id", "created_at", F.to_json(F.transform("xs", lambda x: x["question"])).alias("questions"),

@@ -1,16 +1,22 @@
-"""Incremental ingest: new documents arrive as a stream and replace their chunks in the store."""
+"""Incremental ingest: new documents arrive as a stream and replace their chunks, vectors, postings and status in one store."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from askloom.operators.chunking import structure_chunks
-from askloom.operators.elements import empty_document_status, parse_markdown
-from askloom.sources.sinks import write_chunks
+from askloom.operators.chunking import chunk_id, structure_chunks
+from askloom.operators.elements import parse_markdown
+from askloom.operators.indexing import Embedder, build_postings, hashed_embedder
+from askloom.functions.text import is_blank
+from askloom.sources.versioned import VersionedStore
+
+NO_TEXT = "no text found in the document"
+NO_CHUNK = "the document has elements but gave no chunk"
 
 
 def document_stream(spark: SparkSession, path: str, schema, glob: str = "*.parquet", files_per_batch: int = 100) -> DataFrame:
@@ -20,26 +26,71 @@ def document_stream(spark: SparkSession, path: str, schema, glob: str = "*.parqu
             .select("*", F.col("_metadata.file_modification_time").alias("arrived")))
 
 
-def ingest_stream(documents: DataFrame, store_path: str, status_path: str, checkpoint: str,
-                  parse: Callable[[DataFrame], DataFrame] = parse_markdown,
-                  chunk: Callable[[DataFrame], DataFrame] = structure_chunks) -> StreamingQuery:
-    """Parse, chunk and store every new document; one status row per document and batch.
+def ingest_store(spark: SparkSession, path: str) -> VersionedStore:
+    """chunks, vectors, postings by (doc_id, strategy), status by doc_id."""
+    unit = ("doc_id", "strategy")
+    return VersionedStore(spark, path, {"chunks": unit, "vectors": unit, "postings": unit, "status": ("doc_id",)},
+                          {"chunks": ("strategy",), "vectors": ("strategy",), "postings": ("strategy",)})
+
+
+def document_status(parsed: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(doc_id, status, error_msg, page_count, chunk_count, token_count): FAILED without text or without a searchable chunk, with the reason as a row instead of
+    a task failure. Tokens are those of the searchable chunks."""
+    has_text = F.exists("elements", lambda e: ~is_blank(e["text"]))
+    docs = parsed.select("doc_id", F.coalesce(has_text, F.lit(False)).alias("has_text"),
+                         F.coalesce(F.array_max(F.transform("elements", lambda e: e["page_no"])), F.lit(0)).alias("page_count"))
+    sums = chunks.filter(F.col("kind") == "child").groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunk_count"), F.sum("token_count").alias("token_count"))
+    ready = F.col("has_text") & F.col("chunk_count").isNotNull()
+    return docs.join(sums, "doc_id", "left").select(
+        "doc_id", F.when(ready, "READY").otherwise("FAILED").alias("status"),
+        F.when(~F.col("has_text"), NO_TEXT).when(F.col("chunk_count").isNull(), NO_CHUNK).alias("error_msg"), "page_count",
+        F.coalesce("chunk_count", F.lit(0)).cast("bigint").alias("chunk_count"), F.coalesce("token_count", F.lit(0)).cast("bigint").alias("token_count"))
+
+
+def ingest_batch(documents: DataFrame, store: VersionedStore, batch: str | None = None, parse: Callable[[DataFrame], DataFrame] = parse_markdown,
+                 chunk: Callable[[DataFrame], DataFrame] = structure_chunks, embedder: Embedder | None = None) -> bool:
+    """Parse, chunk, embed and index ``documents`` and put all of it into ``store`` under one commit; False if ``batch`` is in there already.
+
+    The functions are the ones a full run uses. Of several versions of a document the one with the latest ``arrived`` wins, as the latest batch does between
+    batches; ``arrived`` is a version or a time. Without it, or of equal ones, the greatest text by order. A document that fails keeps the chunks of its
+    last good version, but its status hides them from recall. Each table is computed once, from what is already written.
+    """
+    commit = store.begin(batch)
+    if commit is None:
+        return False
+    embedder = embedder or hashed_embedder()
+    version = [c for c in ("arrived",) if c in documents.columns]
+    latest = documents.groupBy("doc_id").agg(F.max_by("text", F.struct(*version, "text")).alias("text"))
+    with commit:
+        parsed = commit.stage("elements", parse(latest).drop("text"))
+        cut = chunk(parsed)
+        ids = {"chunk_id": chunk_id(F.col("doc_id"), F.col("strategy"), F.col("chunk_index")),
+               "parent_id": F.when(F.col("parent_index").isNotNull(), chunk_id(F.col("doc_id"), F.col("strategy"), F.col("parent_index")))}
+        chunks = commit.write("chunks", cut.withColumns(ids))
+        replaced = chunks.select("doc_id", "strategy")
+        texts = chunks.filter(F.col("kind") == "child").select("doc_id", "strategy", "chunk_id", "content")
+        commit.write("vectors", embedder(texts, "content").drop("content"), replaced)
+        commit.write("postings", build_postings(texts, "doc_id", "strategy", "chunk_id"), replaced)
+        commit.write("status", document_status(parsed, chunks).withColumn("batch", F.lit(batch)))
+    return True
+
+
+def recall_tables(store: VersionedStore, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(vectors, postings) with ``kb_id`` for the recalls: chunks of READY documents. ``documents`` has doc_id and kb_id."""
+    ready = store.read("status").filter("status = 'READY'").select("doc_id").join(documents.select("doc_id", "kb_id"), "doc_id")
+    return tuple(store.read(name).join(ready, "doc_id") for name in ("vectors", "postings"))
+
+
+def ingest_stream(documents: DataFrame, path: str, checkpoint: str, parse: Callable[[DataFrame], DataFrame] = parse_markdown,
+                  chunk: Callable[[DataFrame], DataFrame] = structure_chunks, embedder: Embedder | None = None) -> StreamingQuery:
+    """:func:`ingest_batch` for every micro-batch of a stream of documents.
 
-    The batch functions are the ones a full run uses. Writing replaces by document and strategy, and a status file
-    is named by its batch, so a replayed batch leaves the same tables. A document without text becomes a FAILED
-    status row instead of a failed batch. Of several versions of a document in one batch the one with the latest ``arrived`` wins, as the
-    latest batch does between batches; ``arrived`` is a version or a time. Without it, or of equal ones, the greatest text by order.
+    A batch is known by the stream's id, as its checkpoint keeps it, and its number: a replayed batch changes nothing, and another stream's batches are others.
     """
-    def batch(docs: DataFrame, batch_id: int) -> None:
-        version = [c for c in ("arrived",) if c in docs.columns]
-        latest = docs.groupBy("doc_id").agg(F.max_by("text", F.struct(*version, "text")).alias("text"))
-        parsed = parse(latest).drop("text").persist()
-        try:
-            write_chunks(chunk(parsed), store_path)
-            empty_document_status(parsed).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
-                f"{status_path}/batch={batch_id}")
-        finally:
-            parsed.unpersist()
+    def batch(docs: DataFrame, number: int) -> None:
+        spark = docs.sparkSession
+        stream = json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+        ingest_batch(docs, ingest_store(spark, path), f"{stream}/{number}", parse, chunk, embedder)
 
     return (documents.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -100,11 +100,11 @@ def test_library(spark):
 def test_write_chunks_replaces_per_document_and_strategy(spark, tmp_path):
     cols = "doc_id bigint, strategy string, chunk_index int, content string"
     path = str(tmp_path / "chunks")
-    sinks.write_chunks(spark.createDataFrame([(1, "FIXED", 0, "a"), (1, "FIXED", 1, "b"), (2, "FIXED", 0, "c"), (1, "RECURSIVE", 0, "r")], cols), path, 2)
+    sinks.write_chunks(spark.createDataFrame([(1, "FIXED", 0, "a"), (1, "FIXED", 1, "b"), (2, "FIXED", 0, "c"), (1, "RECURSIVE", 0, "r")], cols), path)
     again = spark.createDataFrame([(1, "FIXED", 0, "new")], cols)
     for _ in range(2):
-        sinks.write_chunks(again, path, 2)
-    got = {(r.doc_id, r.strategy, r.chunk_index, r.content) for r in spark.read.parquet(path).collect()}
+        sinks.write_chunks(again, path)
+    got = {(r.doc_id, r.strategy, r.chunk_index, r.content) for r in sinks.read_chunks(spark, path).collect()}
     assert got == {(1, "FIXED", 0, "new"), (2, "FIXED", 0, "c"), (1, "RECURSIVE", 0, "r")}
 
 
@@ -126,8 +126,9 @@ def test_ingest_stream_is_idempotent(spark, tmp_path):
     schema = spark.read.parquet(str(src)).schema
 
     def run(checkpoint):
-        ingest.ingest_stream(ingest.document_stream(spark, str(src), schema), f"{out}/chunks", f"{out}/status", f"{out}/{checkpoint}").awaitTermination()
-        return spark.read.parquet(f"{out}/chunks").count(), {r.doc_id: r.status for r in spark.read.parquet(f"{out}/status").collect()}
+        ingest.ingest_stream(ingest.document_stream(spark, str(src), schema), f"{out}/store", f"{out}/{checkpoint}").awaitTermination()
+        store = ingest.ingest_store(spark, f"{out}/store")
+        return store.read("chunks").count(), {r.doc_id: r.status for r in store.read("status").collect()}
 
     first = run("cp1")
     assert first == (2, {1: "READY", 2: "FAILED"}) and run("cp2") == first

@@ -1,10 +1,13 @@
+import math
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from askloom.functions import ranking
-from askloom.operators import indexing, reading, retrieval as rt
+from askloom.operators import indexing, reading, recall, retrieval as rt
 
 
 def ranked(spark, rows):
@@ -32,18 +35,102 @@ def brute_topk(questions, chunks, k):
     return out
 
 
-def test_vector_topk_both_ways_equal_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("limit", ["10485760b", "-1"])
+@pytest.mark.parametrize("state", [64 << 20, 0])
+def test_vector_topk_of_small_tiles_equals_brute_force(spark, monkeypatch, limit, state):
     rng = np.random.default_rng(1)
-    chunks = [(1 if i % 3 else 2, i, [float(x) for x in rng.normal(size=8)]) for i in range(400)]
-    questions = [(q, 1 + q % 2, [float(x) for x in rng.normal(size=8)]) for q in range(25)]
-    c = spark.createDataFrame(chunks, "kb_id bigint, chunk_id bigint, vector array<double>").repartition(5)
-    q = spark.createDataFrame(questions, "q_id bigint, kb_id bigint, vector array<double>")
-    want = brute_topk(questions, chunks, 7)
-    monkeypatch.setattr(rt, "CELL_CHUNKS", 50)
-    monkeypatch.setattr(rt, "CELL_QUESTIONS", 4)
-    for bound in (100, 3):
-        got = {(r.q_id, r.chunk_id, r["rank"]) for r in rt.vector_topk(q, c, 7, broadcast_questions=bound).collect()}
-        assert got == want
+    chunks = [(1 if i % 3 else 2, i, [float(x) for x in rng.integers(-2, 3, size=4)] if i % 5 else [1.0, 0.0, 0.0, 0.0]) for i in range(400)]
+    chunks = [(kb, c, v if any(v) else [1.0] * 4) for kb, c, v in chunks]
+    questions = [(q, 1 + q % 2, [float(x) for x in rng.normal(size=4)]) for q in range(25)]
+    c = spark.createDataFrame([*chunks, (1, 999, None), (1, 998, []), (None, 997, [1.0] * 4)], "kb_id bigint, chunk_id bigint, vector array<double>").repartition(5)
+    q = spark.createDataFrame([*questions, (77, 3, [1.0] * 4), (78, None, [1.0] * 4)], "q_id bigint, kb_id bigint, vector array<double>")
+    for name, value in (("TILE_QUESTIONS", 4), ("BLOCK_BYTES", 640), ("STATE_BYTES", state), ("SHARES", 3)):
+        monkeypatch.setattr(recall, name, value)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        got = {(r.q_id, r.chunk_id, r["rank"]) for r in rt.vector_topk(q, c, 7).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert got == brute_topk(questions, chunks, 7)
+
+
+def test_vector_topk_reads_the_vectors_without_a_shuffle(spark, tmp_path):
+    spark.createDataFrame([(1, i, [1.0, float(i)]) for i in range(50)], "kb_id bigint, chunk_id bigint, vector array<double>").write.parquet(str(tmp_path / "v"))
+    spark.createDataFrame([(1, 1, [1.0, 2.0])], "q_id bigint, kb_id bigint, vector array<double>").write.parquet(str(tmp_path / "q"))
+    plan = rt.vector_topk(spark.read.parquet(str(tmp_path / "q")), spark.read.parquet(str(tmp_path / "v")), 3)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and plan.count("Exchange hashpartitioning") == 2, "only the best rows are shuffled"
+
+
+def keyword_by_hand(asked, postings, k, scale, value=lambda q, c, t, tf: tf):
+    out = {}
+    for q, kb, words in asked:
+        sums = {}
+        for pkb, c, t, tf in postings:
+            if pkb == kb and t in words:
+                sums[c] = sums.get(c, 0) + value(kb, c, t, tf)
+        out |= {(q, c, i + 1): round(-s * scale, 6) for i, (s, c) in enumerate(sorted((-round(s * scale, 6) / scale, c) for c, s in sums.items())[:k])}
+    return out
+
+
+@pytest.mark.parametrize("limit", ["10485760b", "-1"])
+@pytest.mark.parametrize("state", [64 << 20, 0])
+def test_keyword_recalls_of_small_blocks(spark, monkeypatch, limit, state):
+    rng = random.Random(4)
+    vocabulary = ["the"] * 8 + [f"w{i}" for i in range(40)]
+    postings = {}
+    for c in range(300):
+        for w in rng.choices(vocabulary, k=12):
+            key = (1 if c % 4 else 2, c, w)
+            postings[key] = postings.get(key, 0) + rng.randrange(1, 4)
+    postings = [(*key, tf) for key, tf in postings.items()]
+    rng.shuffle(postings)
+    asked = [(q, 1 + q % 2, set(rng.choices(vocabulary, k=5))) for q in range(21)] + [(90, 1, {"unknown"}), (91, 5, {"the"})]
+    p = spark.createDataFrame(postings, "kb_id bigint, chunk_id bigint, term string, tf bigint").repartition(3)
+    t = spark.createDataFrame([(q, kb, w) for q, kb, words in asked for w in words], "q_id bigint, kb_id bigint, term string")
+    for name, value in (("TILE_QUESTIONS", 4), ("BLOCK_CHUNKS", 7), ("STATE_BYTES", state)):
+        monkeypatch.setattr(recall, name, value)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        index = recall.block_index(p)
+        assert index.agg(F.max(F.size("ids")), F.max(F.col("bound") - F.array_max("values"))).first()[:] == (7, 0.0)
+        want = keyword_by_hand(asked, postings, 9, 0.1)
+        for source in (p, index):
+            got = {(r.q_id, r.chunk_id, r["rank"]): r.score for r in rt.keyword_topk(t, source, 9).collect()}
+            assert set(got) == set(want) and all(abs(got[x] - s) < 1e-6 for x, s in want.items())
+        lens, df, kbs = {}, {}, {}
+        for kb, c, w, tf in postings:
+            lens[c] = lens.get(c, 0) + tf
+            df[kb, w] = df.get((kb, w), 0) + 1
+            kbs.setdefault(kb, set()).add(c)
+        avg = {kb: sum(lens[c] for c in cs) / len(cs) for kb, cs in kbs.items()}
+
+        def bm25(kb, c, w, tf):
+            idf = math.log1p((len(kbs[kb]) - df[kb, w] + 0.5) / (df[kb, w] + 0.5))
+            return idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * lens[c] / avg[kb]))
+
+        want = keyword_by_hand(asked, postings, 9, 1.0, bm25)
+        got = {(r.q_id, r.chunk_id, r["rank"]): r.score for r in rt.bm25_topk(t, p, 9).collect()}
+        assert set(got) == set(want) and all(abs(got[x] - s) < 2e-6 for x, s in want.items())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_blocks_that_cannot_reach_the_best_are_skipped(monkeypatch):
+    best, q_ids = recall.Best(2), np.array([5, 6])
+    best.add(("kb",), q_ids, np.array([1, 2]), np.array([[3.0, 4.0], [-np.inf, 1.0]]))
+    added = []
+    monkeypatch.setattr(best, "add", lambda *a: added.append(a))
+    tile = (pa.array([0, 1], pa.int32()), pa.array(["a", "b"]), pa.array([1.0, 1.0]))
+
+    def score(bound):
+        recall._score_block(best, ("kb",), q_ids, *tile, np.array([9]), np.array([0, 0]), np.array([bound, bound]), np.array([0, 1, 2]), {"a": 0, "z": 1}, np.array([bound, bound]), 1.0)
+
+    score(2.0)
+    assert not added, "question 5 has two better chunks, question 6 does not ask for these terms"
+    score(3.5)
+    assert added and added[0][3].tolist() == [[3.5], [-np.inf]]
 
 
 def test_keyword_topk_salted_equals_broadcast(spark):

@@ -49,7 +49,7 @@ def test_shortened_version_wins(spark, tmp_path, together):
 
     def run():
         stream = ingest.document_stream(spark, str(source), spark.createDataFrame([], schema).schema)
-        ingest.ingest_stream(stream, f"{out}/chunks", f"{out}/status", f"{out}/checkpoint").awaitTermination()
+        ingest.ingest_stream(stream, f"{out}/store", f"{out}/checkpoint").awaitTermination()
 
     write("# A\n\na much longer first version of the document", "first")
     if not together:
@@ -57,7 +57,7 @@ def test_shortened_version_wins(spark, tmp_path, together):
     time.sleep(1.1)
     write("# A\n\nshort", "second")
     run()
-    rows = spark.read.parquet(f"{out}/chunks").collect()
+    rows = ingest.ingest_store(spark, f"{out}/store").read("chunks").collect()
     assert rows and all("longer" not in r.content for r in rows)
 
 
