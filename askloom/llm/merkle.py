@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from askloom.llm.common import partitions, store
 
 FAN = 8
-BLOCK = FAN ** 4
+BLOCK = FAN ** 3
 """Places of one window; a multiple of FAN."""
 PATH = "array<struct<left:string,right:string>>"
 
