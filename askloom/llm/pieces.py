@@ -12,22 +12,26 @@ is the encoding exactly if all neighbours do, so one path is left, with the ids
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from askloom.llm.common import SLICE_BYTES
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-REMEMBERED = 800_000
-"""Words a task remembers at once; the memory is emptied when it is full."""
+WORD_BYTES = 64 << 20
+"""Memory of a task for words it has met, about; it is emptied when it is full, which only costs time."""
 LONGEST_REMEMBERED = 64
-PAIRS_REMEMBERED = 500_000
+PAIRS_REMEMBERED = 250_000
 
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6  # fixed values: piece types of the model format
 _UNIT = re.compile(r" *[^ ]+| +")
@@ -100,6 +104,7 @@ class Codec:
         if not {c for w in self.automaton.keys() for c in w} <= set(self.automaton.keys()):
             raise ValueError("every character of a piece needs a piece of its own")
         self.words: dict[str, list[int]] = {}
+        self.word_bytes = 0
         self.pairs: dict[tuple[int, int], bool] = {}
         self.text_of = {v[2]: w for w, v in self.automaton.items()}
         self.splits = splits
@@ -204,9 +209,11 @@ class Codec:
         if ids is None:
             ids = self.viterbi(unit)
             if len(unit) <= LONGEST_REMEMBERED:
-                if len(self.words) >= REMEMBERED:
+                if self.word_bytes >= WORD_BYTES:
                     self.words.clear()
+                    self.word_bytes = 0
                 self.words[unit] = ids
+                self.word_bytes += 250 + len(unit) + 8 * len(ids)
         return ids
 
     def encode(self, text: str) -> list[int]:
@@ -266,33 +273,58 @@ def _codec(shared) -> Codec:
     return held["codec"]
 
 
+def _parts(batches: Iterator[pa.RecordBatch], column: str, width: int) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about ``SLICE_BYTES`` of ``column`` (``width`` bytes per character or list item), at least one row each."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)) if width == 1 else pc.list_value_length(batch.column(column)), 0)
+        sizes = np.cumsum(np.asarray(lengths, np.int64) * width + 1)
+        start = 0
+        while start < len(batch):
+            before = sizes[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(sizes, before + SLICE_BYTES, side="right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
+def _with_column(part: pa.RecordBatch, kept: list[str], name: str, values: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(c)) for c in kept], values], names=[*kept, name])
+
+
 def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "piece_ids", path: str = MODEL) -> DataFrame:
     """``docs`` with its text's piece ids as the column ``ids_col`` (a column of that name is replaced).
 
-    A null text gives null, an empty one an empty array. Whole texts are encoded; decoding gives each text back exactly.
+    A null text gives null, an empty one an empty array. Whole texts are encoded, a slice of bounded bytes at a time; decoding gives each text back exactly.
     """
     model = _shared(docs.sparkSession, path)
+    kept = [c for c in docs.columns if c != ids_col]
 
-    @F.pandas_udf("array<int>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = _codec(model)
-        for texts in batches:
-            yield pd.Series([None if t is None else np.array(c.encode(t), np.int32) for t in texts], dtype=object)
+        for part in _parts(batches, text_col, 1):
+            texts = part.column(part.schema.get_field_index(text_col))
+            flat, offsets = array("i"), [0]
+            for text in texts:
+                if text.is_valid:
+                    flat.extend(c.encode(text.as_py()))
+                offsets.append(len(flat))
+            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32)), mask=texts.is_null())
+            yield _with_column(part, kept, ids_col, ids)
 
-    return docs.withColumn(ids_col, run(F.col(text_col)))
+    return docs.mapInArrow(run, T.StructType([*docs.select(*[F.col(f"`{c}`") for c in kept]).schema, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(encoded: DataFrame, ids_col: str = "piece_ids", text_col: str = "decoded", path: str = MODEL) -> DataFrame:
     """``encoded`` with the decoded text as the column ``text_col``; null ids give null, no ids the empty text."""
     model = _shared(encoded.sparkSession, path)
+    kept = [c for c in encoded.columns if c != text_col]
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = _codec(model)
-        for rows in batches:
-            yield pd.Series([None if ids is None else c.decode(list(ids)) if len(ids) else "" for ids in rows], dtype=object)
+        for part in _parts(batches, ids_col, 4):
+            texts = [None if not ids.is_valid else c.decode(ids.as_py()) if len(ids) else "" for ids in part.column(part.schema.get_field_index(ids_col))]
+            yield _with_column(part, kept, text_col, pa.array(texts, pa.string()))
 
-    return encoded.withColumn(text_col, run(F.col(ids_col)))
+    return encoded.mapInArrow(run, T.StructType([*encoded.select(*[F.col(f"`{c}`") for c in kept]).schema, T.StructField(text_col, T.StringType())]))
 
 
 def encode_and_check(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = MODEL) -> DataFrame:

@@ -297,3 +297,18 @@ def test_bitmaps_round_trip():
     for n, dropped in ((1, []), (1, [0]), (9, [0, 8]), (1000, list(range(0, 1000, 3)))):
         keep = line_dedup.unpack(line_dedup.pack(n, np.array(dropped, int)), n)
         assert len(keep) == n and np.flatnonzero(~keep).tolist() == dropped
+
+
+# ---- pieces ----
+
+def test_codec_slices_and_clashing_columns(spark, monkeypatch):
+    from askloom.llm import pieces
+    monkeypatch.setattr(pieces, "SLICE_BYTES", 64)
+    monkeypatch.setattr(pieces, "WORD_BYTES", 1000)
+    texts = ["", None, "one", "Größe über alles " * 40, "a  b\t c▁d", "x" * 300, None, "日本 🙂", ""] * 3
+    df = spark.createDataFrame([(i, t, "keep", [1]) for i, t in enumerate(texts)], "doc_id long, text string, decoded string, piece_ids array<int>").coalesce(1)
+    coded = pieces.encode(df)
+    assert coded.columns == ["doc_id", "text", "decoded", "piece_ids"]
+    rows = {r.doc_id: r for r in pieces.decode(coded).collect()}
+    assert len(rows) == len(texts) and all(rows[i].decoded == t for i, t in enumerate(texts))
+    assert rows[0].piece_ids == [] and rows[1].piece_ids is None and all(rows[i].piece_ids == rows[i + 9].piece_ids for i in range(9))
