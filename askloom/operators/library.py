@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from askloom.functions.ranking import top_n
@@ -34,7 +35,8 @@ def kb_listing(kb: DataFrame, kb_visitor: DataFrame, documents: DataFrame) -> Da
     rows = (kb_visitor.select("kb_id", "visitor_id").join(kb, "kb_id").join(counts, "kb_id", "left")
             .withColumn("doc_count", F.coalesce("doc_count", F.lit(0)))
             .withColumn("is_owner", F.coalesce(F.col("created_by") == F.col("visitor_id"), F.lit(False))))
-    return rows.orderBy("visitor_id", F.desc("created_at"), F.desc("kb_id"))
+    newest = W.partitionBy("visitor_id").orderBy(F.desc("created_at"), F.desc("kb_id"))
+    return rows.withColumn("position", F.row_number().over(newest))
 
 
 def join_by_code(requests: DataFrame, kb: DataFrame, kb_visitor: DataFrame) -> DataFrame:
@@ -45,8 +47,8 @@ def join_by_code(requests: DataFrame, kb: DataFrame, kb_visitor: DataFrame) -> D
 
 
 def documents_by_kb(documents: DataFrame) -> DataFrame:
-    """Document listing, newest first inside each knowledge base."""
-    return documents.orderBy("kb_id", F.desc("created_at"), F.desc("doc_id"))
+    """Document listing: ``position`` from 1 inside each knowledge base, newest first. Admission bounds the documents of a knowledge base."""
+    return documents.withColumn("position", F.row_number().over(W.partitionBy("kb_id").orderBy(F.desc("created_at"), F.desc("doc_id"))))
 
 
 def document_counts(documents: DataFrame) -> DataFrame:
@@ -103,6 +105,21 @@ def corpus_fingerprint(chunks: DataFrame) -> DataFrame:
         (F.count(F.lit(1)) * FINGERPRINT_FACTOR + F.coalesce(F.max("chunk_id"), F.lit(0))).alias("fingerprint"))
 
 
+def unit_scope(chunks: DataFrame, documents: DataFrame, kb: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
+    """Units that may be drawn, (kb_id, unit_id, doc_id, strategy, section_path): chunks without a parent of READY documents.
+
+    With ``kb`` (kb_id, chunk_strategy) only those of the knowledge base's own strategy, structure-aware where it names none; with ``only`` (doc_id) only
+    those of the listed documents.
+    """
+    ready = documents.filter(F.col("status") == "READY").select("doc_id", "kb_id")
+    if only is not None:
+        ready = ready.join(only.select("doc_id").distinct(), "doc_id", "left_semi")
+    units = chunks.filter(F.col("parent_id").isNull()).select("doc_id", "strategy", F.col("chunk_id").alias("unit_id"), "section_path").join(ready, "doc_id")
+    if kb is not None:
+        units = units.join(kb.select("kb_id", F.coalesce("chunk_strategy", F.lit("STRUCTURE_AWARE")).alias("strategy")), ["kb_id", "strategy"], "left_semi")
+    return units.select("kb_id", "unit_id", "doc_id", "strategy", "section_path")
+
+
 def sample_units(units: DataFrame, n: int = QUIZ_UNITS, seed: str = "0", section_prefix: str | None = None,
                  minimum: int = 2) -> DataFrame:
     """``n`` random units per knowledge base in an order fixed by ``seed``; fewer than ``minimum`` give none.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from askloom.functions.arrays import rows_of
@@ -34,8 +35,8 @@ def conversation_listing(conversations: DataFrame, messages: DataFrame, n: int =
 
 
 def conversation_messages(messages: DataFrame) -> DataFrame:
-    """Messages in order. A range sort splits a long conversation over tasks."""
-    return messages.orderBy("conv_id", "turn")
+    """Messages with their ``position`` from 1 in the conversation."""
+    return messages.withColumn("position", F.row_number().over(W.partitionBy("conv_id").orderBy("turn")))
 
 
 def first_question_flag(messages: DataFrame) -> DataFrame:

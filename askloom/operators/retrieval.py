@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from askloom.functions.arrays import rows_of
 from askloom.functions.ranking import top_n
-from askloom.functions.text import segment_terms, snippet
+from askloom.functions.text import is_blank, segment_terms, snippet
 from askloom.operators.recall import RECALL_K, SCORE_DIGITS, bm25_topk, keyword_topk, vector_topk  # noqa: F401
 
 # ---- fixed values: funnel sizes, weights, thresholds, prompt wording ----
@@ -109,10 +109,10 @@ def model_scorer(load: Callable[[], Callable[[list[str], list[str]], np.ndarray]
 
 def score_pairs(fused: DataFrame, questions: DataFrame, contents: DataFrame, scorer: Callable[[Column, Column], Column],
                 limit: int = RERANK_INPUT) -> DataFrame:
-    """First ``limit`` candidates per question with ``rerank_score``. The texts join only these few rows."""
+    """First ``limit`` candidates per question with ``rerank_score``. The texts join only these few rows; a candidate whose text is gone gets a null score."""
     few = fused.filter(F.col("rrf_rank") <= limit)
-    texts = few.join(contents.select("chunk_id", "content"), "chunk_id").join(questions.select("q_id", "question"), "q_id")
-    return texts.withColumn("rerank_score", scorer(F.col("question"), F.col("content"))).drop("question", "content")
+    texts = few.join(contents.select("chunk_id", "content"), "chunk_id", "left").join(questions.select("q_id", "question"), "q_id")
+    return texts.withColumn("rerank_score", F.when(F.col("content").isNotNull(), scorer(F.col("question"), F.col("content")))).drop("question", "content")
 
 
 def rerank(scored: DataFrame, keep: int = RERANK_KEEP) -> DataFrame:
@@ -200,6 +200,16 @@ def citations(reranked: DataFrame, context: DataFrame, chunks: DataFrame) -> Dat
                     snippet(F.col("content"), CITATION_SNIPPET).alias("snippet")))
 
 
+def locate(questions: DataFrame, reranked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Where the kept chunks of every question stand: (q_id, rank, chunk_id, file_name, section_path, page_no, snippet, score). A blank question finds nothing.
+
+    The contents join the at most eight kept rows of a question.
+    """
+    asked = questions.filter(~is_blank(F.col("question"))).select("q_id")
+    places = chunks.select("chunk_id", "file_name", "section_path", "page_no", snippet(F.col("content"), DETAIL_SNIPPET).alias("snippet"))
+    return reranked.join(asked, "q_id", "left_semi").select("q_id", "rank", "chunk_id", F.round("rerank_score", 4).alias("score")).join(places, "chunk_id")
+
+
 def prompt_table(questions: DataFrame, context: DataFrame, units: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """(q_id, prompt): earlier turns, numbered blocks with their source line, the question last.
 

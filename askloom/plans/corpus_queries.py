@@ -196,11 +196,11 @@ _WORD = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
 
 
 @query("c2_pretokenize", rf"""
-SELECT item_id, CAST(n - 1 AS INTEGER) AS pos, token FROM (
-  SELECT item_id, unnest(ts) AS token, generate_subscripts(ts, 1) AS n FROM (
-    SELECT item_id, regexp_extract_all(lower(regexp_replace(text, '[\x00-\x1F\x7F-\x9F]', '', 'g')), '{_WORD}') AS ts FROM benchmark))""")
+SELECT doc_id, CAST(len(ts) AS INTEGER) AS n, md5(array_to_string(ts, ' ')) AS tokens_md5, ts[1] AS first, ts[-1] AS last FROM (
+  SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '[\x00-\x1F\x7F-\x9F]', '', 'g')), '{_WORD}') AS ts FROM documents)""")
 def _(spark, sf):
-    return rows_of(t.read(spark, sf, "benchmark"), tx.pretokenize(F.col("text")), "item_id", item="token")
+    docs = t.read(spark, sf, "documents").select("doc_id", tx.pretokenize(F.col("text")).alias("ts"))
+    return docs.select("doc_id", F.size("ts").alias("n"), F.md5(F.array_join("ts", " ").cast("binary")).alias("tokens_md5"), F.get("ts", F.lit(0)).alias("first"), F.try_element_at("ts", F.lit(-1)).alias("last"))
 
 
 @query("c3_section_path", "SELECT doc_id, pos, type, section_path, page_no FROM paths_all", ("paths_all",))
@@ -321,11 +321,20 @@ def _(spark, sf):
 
 
 # ---------------------------------------------------------------- index
-@query("i1_embed")
+_SLOT = "('0x' || substr(md5(term), 1, 8))::BIGINT % 512"
+
+
+@query("i1_embed", f"""
+SELECT doc_id, chunk_index, 512 AS dim, CAST(count(*) AS INTEGER) AS used, CAST(arg_max(slot, (x, -slot)) AS INTEGER) AS top_slot, round(max(x) / sqrt(sum(x * x)), 5) AS top_value,
+       round(sum(x * (slot + 1)) / sqrt(sum(x * x)), 3) AS checksum
+FROM (SELECT doc_id, chunk_index, {_SLOT} AS slot, count(*)::DOUBLE AS x FROM (
+  SELECT doc_id, chunk_index, unnest({t.sql_terms('content')}) AS term FROM doc_chunks WHERE kind = 'child') GROUP BY ALL) GROUP BY doc_id, chunk_index
+UNION ALL SELECT doc_id, chunk_index, 512, 0, 0, 0, 0 FROM doc_chunks WHERE kind = 'child' AND len({t.sql_terms('content')}) = 0""", ("doc_chunks",))
 def _(spark, sf):
-    rows = indexing.embed(t.chunks(spark, sf, "STRUCTURE_AWARE"), indexing.hashed_embedder())
-    return rows.select("doc_id", "strategy", "chunk_index", F.size("vector").alias("dim"),
-                       F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x), 4).alias("norm2"))
+    rows = indexing.embed(t.chunks(spark, sf, "STRUCTURE_AWARE"), indexing.hashed_embedder(element="double"))
+    top = F.array_max("vector")
+    return rows.select("doc_id", "chunk_index", F.size("vector").alias("dim"), F.size(F.filter("vector", lambda x: x > 0)).alias("used"), (F.array_position("vector", top) - 1).cast("int").alias("top_slot"),
+                       F.round(top, 5).alias("top_value"), F.round(F.aggregate(F.transform("vector", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 3).alias("checksum"))
 
 
 @query("i2_mean_pool_normalize", """

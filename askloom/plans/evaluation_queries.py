@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from askloom.functions import text as tx
 from askloom.operators import ablation, evaluation as ev, retrieval
 from askloom.plans import tables as t
 from askloom.plans.registry import query
-from askloom.session import materialize
+from askloom.schemas import RETRIEVED_JSON
+from askloom.session import materialize, shared_dir
 from askloom.sources import sinks
 
 # ---------------------------------------------------------------- evaluation sets
@@ -192,17 +195,45 @@ GROUP BY r.config"""
 
 @query("v9_ablation_grid", _METRICS, ("ranks", "grid_refusals"))
 def _(spark, sf):
-    rows = sinks.eval_run_rows(_metrics(spark, sf))
-    return rows.select("config", F.col("hit_rate_at5").cast("string").alias("hit_rate_at5"), F.col("mrr").cast("string").alias("mrr"), "questions", "refusal_rate")
+    return _metrics(spark, sf).select("config", *[F.col(c).cast("decimal(5,4)").cast("string").alias(c) for c in ("hit_rate_at5", "mrr")], "questions", "refusal_rate")
 
 
-@query("s6_append_eval_run", _METRICS, ("ranks", "grid_refusals"))
-def _(spark, sf):
-    from askloom.session import shared_dir
-    import uuid
+_RUN_AT = F.timestamp_seconds(F.lit(1700000000))
+
+
+def _stored_runs(spark, sf):
+    """The grid's runs, written as the product keeps them."""
     path = f"{shared_dir(spark)}/askloom/{spark.sparkContext.applicationId}/eval_run-{uuid.uuid4().hex}"
-    sinks.append_eval_run(_metrics(spark, sf), path)
-    return spark.read.parquet(path).select("config", F.col("hit_rate_at5").cast("string").alias("hit_rate_at5"), F.col("mrr").cast("string").alias("mrr"), "questions", "refusal_rate")
+    g = grid(spark, sf)
+    runs = sinks.eval_run_rows(_metrics(spark, sf), ev.ablation_configs(spark), ev.hit_rate_by_type(g.ranks), g.ranks, 1, _RUN_AT)
+    sinks.append_eval_runs(runs, path)
+    return spark.read.parquet(path)
+
+
+t.cte("stored_types", """
+SELECT config, string_agg(type || '=' || n || '/' || hit_rate, ' ' ORDER BY type) AS types FROM (
+  SELECT config, type, count(*) AS n, round(avg(CASE WHEN hit_rank IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END), 4) AS hit_rate FROM ranks GROUP BY config, type) GROUP BY config""", "ranks")
+
+
+@query("s6_append_eval_run", f"""
+SELECT CAST(1 AS BIGINT) AS kb_id, m.config AS name, c.strategy, c.use_fts, c.use_rerank, c.parent_credit, m.hit_rate_at5, m.mrr, m.refusal_rate, t.types,
+       (SELECT string_agg(q_id || ':' || coalesce(hit_rank, 0), ',' ORDER BY q_id) FROM ranks r WHERE r.config = m.config) AS questions
+FROM ({_METRICS}) m JOIN configs c ON c.config = m.config JOIN stored_types t ON t.config = m.config""", ("ranks", "grid_refusals", "configs", "stored_types"))
+def _(spark, sf):
+    config = F.from_json("config", "strategy string, useFts boolean, useRerank boolean, parentCredit boolean")
+    detail = F.from_json("detail", "byType map<string, struct<hitRate:double,total:bigint>>, refusalRate double, questions array<struct<id:bigint,type:string,rank:int>>")
+    runs = _stored_runs(spark, sf).withColumns({"c": config, "d": detail})
+    types = F.array_join(F.transform(F.array_sort(F.map_keys("d.byType")), lambda k: F.concat(
+        k, F.lit("="), F.element_at("d.byType", k)["total"].cast("string"), F.lit("/"), F.element_at("d.byType", k)["hitRate"].cast("string"))), " ")
+    questions = F.array_join(F.transform("d.questions", lambda q: F.concat_ws(":", q["id"].cast("string"), F.coalesce(q["rank"], F.lit(0)).cast("string"))), ",")
+    return runs.select("kb_id", "name", "c.strategy", F.col("c.useFts").alias("use_fts"), F.col("c.useRerank").alias("use_rerank"), F.col("c.parentCredit").alias("parent_credit"),
+                       F.col("hit_rate_at5").cast("string").alias("hit_rate_at5"), F.col("mrr").cast("string").alias("mrr"), F.col("d.refusalRate").alias("refusal_rate"),
+                       types.alias("types"), questions.alias("questions"))
+
+
+@query("v14_latest_runs_stored", "SELECT CAST(1 AS BIGINT) AS kb_id, config AS name FROM configs", ("configs",))
+def _(spark, sf):
+    return ev.latest_runs(_stored_runs(spark, sf).drop("name")).select("kb_id", "name")
 
 
 # ---------------------------------------------------------------- answers and verdicts
@@ -271,23 +302,57 @@ def _(spark, sf):
     return ev.latest_runs(runs).select("id", "kb_id", "name")
 
 
-# ---------------------------------------------------------------- query log sink
+# ---------------------------------------------------------------- stored answer evaluations and the query log
+
+
+@query("s6_append_generation_run", """
+SELECT c.kb_id, 'generation' AS name, CAST(CAST(f.faithfulness AS DECIMAL(5,4)) AS VARCHAR) AS faithfulness, CAST(CAST(a.accuracy AS DECIMAL(5,4)) AS VARCHAR) AS citation_accuracy, f.answerable, a.used AS citations
+FROM (SELECT DISTINCT CAST(turn AS BIGINT) AS kb_id FROM conversations WHERE role = 'user') c
+JOIN (SELECT CAST(m.turn AS BIGINT) AS kb_id, avg(CASE WHEN v.faithful THEN 1.0::DOUBLE ELSE 0 END) AS faithfulness, count(*) AS answerable FROM conversations m
+      LEFT JOIN verdicts v ON v.q_id = m.conv_id * 1000 + m.turn + 1 WHERE m.role = 'user' GROUP BY m.turn) f USING (kb_id),
+  (SELECT sum(supported)::DOUBLE / sum(used) AS accuracy, CAST(sum(used) AS BIGINT) AS used FROM verdicts) a""", ("verdicts",))
+def _(spark, sf):
+    asked = t.read(spark, sf, "conversations").filter(F.col("role") == "user").select(
+        (F.col("conv_id") * 1000 + F.col("turn") + 1).alias("q_id"), F.col("turn").alias("kb_id"), F.lit("FACT").alias("type"))
+    verdicts = _verdicts(spark, sf)
+    calibration = ev.calibrate_threshold(asked.withColumn("top_score", F.lit(0.5)))
+    path = f"{shared_dir(spark)}/askloom/{spark.sparkContext.applicationId}/eval_run-{uuid.uuid4().hex}"
+    sinks.append_eval_runs(sinks.generation_run_rows(ev.faithfulness(asked, verdicts), ev.citation_accuracy(verdicts), calibration, "generation", _RUN_AT), path)
+    detail = F.from_json("detail", "citationTotal bigint, answerable bigint")
+    return ev.latest_runs(spark.read.parquet(path).drop("name")).withColumn("d", detail).select(
+        "kb_id", "name", F.col("faithfulness").cast("string").alias("faithfulness"), F.col("citation_accuracy").cast("string").alias("citation_accuracy"),
+        F.col("d.answerable").alias("answerable"), F.col("d.citationTotal").alias("citations"))
+
+
+_HAN_APART = r"regexp_replace(p.prompt, '[\x{4E00}-\x{9FFF}]', ' a ', 'g')"
 
 
-@query("s5_append_query_log", """
-SELECT q.q_id, q.question, coalesce(c.chosen, '') AS chosen, coalesce(s.n, 0) AS candidates, coalesce(s.top_chunk, -1) AS top_chunk FROM questions q
+@query("s5_append_query_log", f"""
+SELECT q.q_id AS id, q.kb_id, 'v' || q.q_id % 7 AS visitor_id, q.question, coalesce(c.chosen, '') AS chosen, coalesce(s.n, 0) AS candidates, coalesce(s.top_chunk, -1) AS top_chunk,
+       CASE WHEN NOT r.refused THEN upper(substr(q.question, 1, 40)) END AS answer, CASE WHEN NOT r.refused THEN CAST(length(p.prompt) * 3 AS INTEGER) END AS latency_ms,
+       CASE WHEN NOT r.refused THEN CAST({t.sql_tokens(_HAN_APART)} AS INTEGER) END AS prompt_tokens,
+       CASE WHEN NOT r.refused THEN CAST({t.sql_tokens("upper(substr(q.question, 1, 40))")} AS INTEGER) END AS completion_tokens,
+       CASE WHEN NOT r.refused THEN 1700000000 + q.q_id END AS written_at
+FROM questions q JOIN prompts p USING (q_id) JOIN refusals r USING (q_id)
 LEFT JOIN (SELECT q_id, string_agg(CAST(unit_id AS VARCHAR), ',' ORDER BY block_no) AS chosen FROM context GROUP BY ALL) c USING (q_id)
-LEFT JOIN (SELECT q_id, count(*) AS n, arg_min(chunk_id, rrf_rank) AS top_chunk FROM r_scored GROUP BY ALL) s USING (q_id)""", ("questions", "context", "r_scored"))
+LEFT JOIN (SELECT q_id, count(*) AS n, arg_min(chunk_id, rrf_rank) AS top_chunk FROM r_scored GROUP BY ALL) s USING (q_id)""".replace("'v' || q.q_id % 7 AS visitor_id", "CASE WHEN NOT r.refused THEN 'v' || (q.q_id % 7) END AS visitor_id"),
+       ("questions", "context", "r_scored", "prompts", "refusals"))
 def _(spark, sf):
-    from askloom.session import shared_dir
-    from askloom.schemas import RETRIEVED_JSON
-    import uuid
     f = t.Funnel(spark, sf)
     detail = retrieval.candidate_detail(f.scored.withColumn("rank", F.col("rrf_rank")), f.chunks)
-    rows = sinks.query_log_rows(f.questions, detail, f.context, retrieval.funnel_meta(f.questions, f.vector, f.keyword, f.fused, f.scored))
+    units = f.store.select(F.col("chunk_id").alias("unit_id"), "file_name", "section_path", "page_no", "content")
+    answered = retrieval.refuse(f.questions, f.reranked).filter("not refused").select("q_id")
+    answer = F.upper(F.substring("question", 1, 40))
+    answers = retrieval.prompt_table(f.questions, f.context, units).join(answered, "q_id", "left_semi").join(f.questions.select("q_id", "question"), "q_id").select(
+        "q_id", F.concat(F.lit("v"), (F.col("q_id") % 7).cast("string")).alias("visitor_id"), answer.alias("answer"), (F.length("prompt") * 3).alias("latency_ms"),
+        tx.count_tokens(F.col("prompt")).alias("prompt_tokens"), tx.count_tokens(answer).alias("completion_tokens"), F.timestamp_seconds(F.lit(1700000000) + F.col("q_id")).alias("created_at"))
+    rows = sinks.query_log_rows(f.questions, detail, f.context, retrieval.funnel_meta(f.questions, f.vector, f.keyword, f.fused, f.scored), answers)
     path = f"{shared_dir(spark)}/askloom/{spark.sparkContext.applicationId}/query_log-{uuid.uuid4().hex}"
-    if not sinks.append_query_log(rows, path):
-        raise RuntimeError("the query log could not be written")
+    failed = sinks.append_query_log(rows, path)
+    if failed:
+        raise RuntimeError(failed)
     got = F.from_json("retrieved", RETRIEVED_JSON)
-    return spark.read.parquet(path).select("q_id", "question", F.array_join(F.col("chosen_ids").cast("array<string>"), ",").alias("chosen"),
-                                           F.size(got).cast("bigint").alias("candidates"), F.coalesce(F.get(got, F.lit(0))["chunkId"], F.lit(-1)).alias("top_chunk"))
+    return spark.read.parquet(path).select(
+        "id", "kb_id", "visitor_id", "question", F.array_join(F.col("chosen_ids").cast("array<string>"), ",").alias("chosen"), F.size(got).cast("bigint").alias("candidates"),
+        F.coalesce(F.get(got, F.lit(0))["chunkId"], F.lit(-1)).alias("top_chunk"), "answer", "latency_ms", "prompt_tokens", "completion_tokens",
+        F.unix_seconds("created_at").alias("written_at"))

@@ -84,25 +84,41 @@ def _(spark, sf):
     return lib.corpus_fingerprint(_by_language(spark, sf))
 
 
+t.cte("lang_full", f"SELECT * REPLACE ({t.SQL_LANG_KB} AS kb_id) FROM full_store WHERE status = 'READY' AND parent_id IS NULL", "full_store")
+
+
 def _sample_sql(n: int, where: str) -> str:
     return f"""
-SELECT kb_id, chunk_id AS unit_id, section_path, CAST(rn AS INTEGER) AS unit_no FROM (
+SELECT kb_id, chunk_id AS unit_id, doc_id, strategy, section_path, CAST(rn AS INTEGER) AS unit_no FROM (
   SELECT *, row_number() OVER (PARTITION BY kb_id ORDER BY md5('7|' || chunk_id), chunk_id) AS rn, count(*) OVER (PARTITION BY kb_id) AS n
-  FROM lang_store WHERE kind = 'parent' AND {where}) WHERE rn <= {n} AND n >= 2"""
+  FROM lang_full WHERE {where}) WHERE rn <= {n} AND n >= 2"""
+
+
+def _sampled(spark, sf, own_strategy, **scope):
+    """Units of all three strategies; the first knowledge base is cut to fixed lengths, the third names no strategy."""
+    docs = t.corpus(spark, sf).withColumn("kb_id", t.lang_kb(F.col("lang")))
+    kb = spark.range(1, 5).select(F.col("id").alias("kb_id"), F.when(F.col("id") == 1, "FIXED").when(F.col("id") != 3, "STRUCTURE_AWARE").alias("chunk_strategy"))
+    chunks = t.store(spark, sf, "FIXED", "RECURSIVE", "STRUCTURE_AWARE").drop("kb_id", "status")
+    return lib.unit_scope(chunks, docs, kb if own_strategy else None, **scope)
 
 
-def _units(spark, sf):
-    return _by_language(spark, sf).filter(F.col("kind") == "parent").select("kb_id", F.col("chunk_id").alias("unit_id"), "section_path")
+_OWN = "strategy = CASE WHEN kb_id = 1 THEN 'FIXED' ELSE 'STRUCTURE_AWARE' END"
+
+
+@query("a8_sample_units", _sample_sql(6, f"{_OWN} AND starts_with(section_path, 'src1')"), ("lang_full",))
+def _(spark, sf):
+    return lib.sample_units(_sampled(spark, sf, True), 6, "7", " src1 ")
 
 
-@query("a8_sample_units", _sample_sql(6, "starts_with(section_path, 'src1')"), ("lang_store",))
+@query("a8_sample_units_documents", _sample_sql(6, f"{_OWN} AND doc_id IN (SELECT doc_id FROM documents WHERE source = 'src1')"), ("lang_full",))
 def _(spark, sf):
-    return lib.sample_units(_units(spark, sf), 6, "7", "src1")
+    only = t.read(spark, sf, "documents").filter("source = 'src1'").select("doc_id")
+    return lib.sample_units(_sampled(spark, sf, True, only=only), 6, "7")
 
 
-@query("a8_sample_units_suggest", _sample_sql(8, "TRUE"), ("lang_store",))
+@query("a8_sample_units_suggest", _sample_sql(8, "TRUE"), ("lang_full",))
 def _(spark, sf):
-    return lib.sample_units(_units(spark, sf), 8, "7")
+    return lib.sample_units(_sampled(spark, sf, False), 8, "7")
 
 
 @query("a16_source_text", """
@@ -115,10 +131,11 @@ def _(spark, sf):
 
 
 @query("a17_kb_listing", """
-SELECT v.kb_id, v.visitor_id, kb.name, coalesce(d.n, 0) AS doc_count, kb.created_by = v.visitor_id AS is_owner
+SELECT v.kb_id, v.visitor_id, kb.name, coalesce(d.n, 0) AS doc_count, kb.created_by = v.visitor_id AS is_owner,
+       CAST(row_number() OVER (PARTITION BY v.visitor_id ORDER BY kb.created_at DESC, v.kb_id DESC) AS INTEGER) AS position
 FROM kb_visitor v JOIN kb USING (kb_id) LEFT JOIN (SELECT kb_id, count(*) AS n FROM manifest GROUP BY ALL) d USING (kb_id)""", ("kb", "kb_visitor", "manifest"))
 def _(spark, sf):
-    return lib.kb_listing(t.kb(spark, sf), t.kb_visitor(spark, sf), t.manifest(spark, sf)).select("kb_id", "visitor_id", "name", "doc_count", "is_owner")
+    return lib.kb_listing(t.kb(spark, sf), t.kb_visitor(spark, sf), t.manifest(spark, sf)).select("kb_id", "visitor_id", "name", "doc_count", "is_owner", "position")
 
 
 def _requested(spark, sf):
@@ -143,10 +160,10 @@ def _(spark, sf):
     return lib.join_by_code(_requested(spark, sf).join(codes, "kb_id").select("visitor_id", "code"), t.kb(spark, sf), t.kb_visitor(spark, sf))
 
 
-@query("a20_documents_by_kb", "SELECT m.doc_id, m.kb_id, m.status, c.n AS doc_count FROM manifest m JOIN (SELECT kb_id, count(*) AS n FROM manifest GROUP BY ALL) c USING (kb_id)", ("manifest",))
+@query("a20_documents_by_kb", "SELECT m.doc_id, m.kb_id, m.status, c.n AS doc_count, CAST(row_number() OVER (PARTITION BY m.kb_id ORDER BY m.created_at DESC, m.doc_id DESC) AS INTEGER) AS position FROM manifest m JOIN (SELECT kb_id, count(*) AS n FROM manifest GROUP BY ALL) c USING (kb_id)", ("manifest",))
 def _(spark, sf):
     docs = t.manifest(spark, sf)
-    return lib.documents_by_kb(docs).select("doc_id", "kb_id", "status", "created_at").join(lib.document_counts(docs), "kb_id").drop("created_at")
+    return lib.documents_by_kb(docs).select("doc_id", "kb_id", "status", "position").join(lib.document_counts(docs), "kb_id")
 
 
 @query("a22_recover_interrupted", """
@@ -296,7 +313,7 @@ def _(spark, sf):
     return logs.conversation_listing(t.conversations(spark, sf), t.messages(spark, sf)).drop("updated_at")
 
 
-@query("a24_conversation_messages", "SELECT conv_id, turn, role, text AS content FROM conversations")
+@query("a24_conversation_messages", "SELECT conv_id, turn, role, text AS content, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS position FROM conversations")
 def _(spark, sf):
     return logs.conversation_messages(t.messages(spark, sf))
 

@@ -194,9 +194,9 @@ FROM questions LEFT JOIN (
   FROM context JOIN store ON store.chunk_id = unit_id GROUP BY q_id) b USING (q_id)""", "questions", "context", "store")
 
 
-def _prompts(f):
+def _prompts(f, history=None):
     units = f.store.select(F.col("chunk_id").alias("unit_id"), "file_name", "section_path", "page_no", "content")
-    return retrieval.prompt_table(f.questions, f.context, units)
+    return retrieval.prompt_table(f.questions, f.context, units, history)
 
 
 @query("r17_prompt_table", "SELECT q_id, prompt FROM prompts", ("prompts",))
@@ -220,11 +220,24 @@ def _(spark, sf):
 SELECT r.q_id, r.rank, r.chunk_id, s.file_name, s.section_path, s.page_no, {t.sql_snippet('s.content', 300)} AS snippet, round(r.rerank_score, 4) AS score
 FROM r_top r JOIN store s USING (chunk_id) JOIN questions q USING (q_id) WHERE trim(q.question) <> ''""", ("r_top", "store", "questions"))
 def _(spark, sf):
-    from askloom.functions.text import snippet
     f = t.Funnel(spark, sf)
-    found = f.reranked.join(f.chunks.select("chunk_id", "file_name", "section_path", "page_no", "content"), "chunk_id")
-    return found.select("q_id", "rank", "chunk_id", "file_name", "section_path", "page_no", snippet(F.col("content"), 300).alias("snippet"),
-                        F.round("rerank_score", 4).alias("score"))
+    return retrieval.locate(f.questions, f.reranked, f.chunks)
+
+
+t.cte("last_turns", """
+SELECT m.conv_id, string_agg(CASE WHEN p.role = 'user' THEN '学生' ELSE '导师' END || '：' || substr(p.text, 1, 200) || chr(10), '' ORDER BY p.no) AS before
+FROM (SELECT conv_id, max(no) AS no FROM numbered GROUP BY conv_id) m JOIN numbered p ON p.conv_id = m.conv_id AND p.no BETWEEN m.no - 6 AND m.no - 1 GROUP BY m.conv_id""", "numbered")
+
+
+@query("r17_prompt_with_history", """
+SELECT q_id, CASE WHEN h.before IS NOT NULL THEN '之前的对话（供理解上下文，不需要重复回答）：' || chr(10) || h.before || chr(10) ELSE '' END || prompt AS prompt
+FROM prompts LEFT JOIN last_turns h ON h.conv_id = q_id""", ("prompts", "last_turns"))
+def _(spark, sf):
+    """The question of an item continues the conversation of the same number: the messages before its last one are the history."""
+    f = t.Funnel(spark, sf)
+    seen = retrieval.history_window(t.messages(spark, sf))
+    history = seen.groupBy(F.col("conv_id").alias("q_id")).agg(F.max_by("history", "turn").alias("history"))
+    return _prompts(f, history)
 
 
 @query("flagship_answer_context", """

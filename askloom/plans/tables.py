@@ -598,11 +598,11 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
 def conversations(spark: SparkSession, sf: str) -> DataFrame:
     """Conversation heads: knowledge base from the length of the opening message's role and text, owner one visitor
     per knowledge base, last update at the opening."""
-    first = read(spark, sf, "conversations").filter(F.col("turn") == 0)
+    first = read(spark, sf, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
     return first.select("conv_id", (F.length("text") % 3).cast("bigint").alias("kb_id"), F.lit("v1").alias("visitor_id"),
                         F.substring("text", 1, 20).alias("title"), F.timestamp_seconds(F.lit(1700000000) + F.length("text")).alias("updated_at"))
 
 
 cte("conv", """
 SELECT conv_id, CAST(length(text) % 3 AS BIGINT) AS kb_id, 'v1' AS visitor_id, substr(text, 1, 20) AS title,
-       make_timestamp((1700000000 + length(text))::BIGINT * 1000000) AS updated_at FROM conversations WHERE turn = 0""")
+       make_timestamp((1700000000 + length(text))::BIGINT * 1000000) AS updated_at FROM (SELECT conv_id, arg_min(text, turn) AS text FROM conversations GROUP BY conv_id)""")
