@@ -324,8 +324,10 @@ CHUNKERS = {
 
 
 def chunks(spark: SparkSession, sf: str, *strategies: str) -> DataFrame:
-    """Chunk rows of the corpus, each strategy over every document."""
+    """Chunk rows of the corpus, each strategy over every document. For several strategies the documents are parsed once and their elements stored."""
     docs = elements(spark, sf)
+    if len(strategies) > 1:
+        docs = materialize(docs, "elements")
     out = None
     for s in strategies:
         part = CHUNKERS[s](docs)
