@@ -32,6 +32,7 @@ SLICE_PAGES = 500
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 _DROPPED = frozenset("head button select option optgroup datalist label fieldset legend output progress meter input textarea canvas svg math object audio video map dialog menu".split()) | _RAW
+_IN_HEAD = frozenset("head base basefont bgsound link meta noframes noscript script style template title".split())
 _BLOCK = frozenset("html body address article aside blockquote center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
            "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead"}, "tfoot": {"tr", "td", "th", "tbody"}}
@@ -45,7 +46,7 @@ _FOR = "article content contents post entry story main body text page prose copy
 _GROUP = {w: i for i, words in enumerate(_AGAINST) for w in words.split()}
 _GOOD = frozenset(_FOR.split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?][^>]*+>""", re.DOTALL)
+_TOKEN = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'<>][^\s<>]*+)?+|["'])*+)>|<[!?][^>]*+>""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|data-keep)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.IGNORECASE)
 _ATTRIBUTE_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _END_OF_RAW = {name: re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE) for name in _RAW}
@@ -62,7 +63,7 @@ class Page:
 
     def _read(self, source: str) -> None:
         stack: list[tuple[str, int]] = []  # open elements with the node each is in
-        node, dropped, linked, at, held = 0, 0, 0, 0, []
+        node, dropped, linked, heads, at, held = 0, 0, 0, 0, 0, []
 
         def close_block() -> None:
             text = " ".join(entities.unescape("".join(held)).split())
@@ -72,20 +73,28 @@ class Page:
                 self.direct[node] += len(text)
                 self.points[node] += sum(map(text.count, ".,;!?"))
 
+        def end_head() -> None:
+            """The end tag of the head may be missing: what does not belong there ends it."""
+            while heads:
+                pop()
+
         def add(text: str) -> None:
+            if heads and text and not text.isspace():
+                end_head()
             if text and not dropped:
                 held.append(text)
                 if linked:
                     self.links[node] += len(text)
 
         def pop() -> None:
-            nonlocal node, dropped, linked
+            nonlocal node, dropped, linked, heads
             name, inside = stack.pop()
             if name in _BLOCK:
                 close_block()
                 node = inside
             dropped -= name in _DROPPED
             linked -= name == "a"
+            heads -= name == "head"
 
         size = len(source)
         while at < size:
@@ -106,14 +115,15 @@ class Page:
                 elif name == "p":
                     close_block()
                 continue
+            if heads and name not in _IN_HEAD:
+                end_head()
             if name == "br":
                 add(" ")
             if name in _BLOCK:
-                if any(n == "p" for n, _ in stack[-12:]):
-                    below = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p")
-                    if all(n not in _BLOCK for n, _ in stack[below + 1:]):
-                        while len(stack) > below:
-                            pop()
+                below = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in _BLOCK), -1)
+                if below >= 0 and stack[below][0] == "p":
+                    while len(stack) > below:
+                        pop()
                 closes = _CLOSES.get(name, ())
                 if closes:
                     for i in range(len(stack) - 1, -1, -1):
@@ -137,6 +147,7 @@ class Page:
             stack.append((name, node))
             dropped += name in _DROPPED
             linked += name == "a"
+            heads += name == "head"
             if name in _BLOCK:
                 node = self._add(name, node, found[3] or "")
         close_block()
@@ -153,7 +164,7 @@ class Page:
                     words += [w.lower() for w in _ATTRIBUTE_WORD.findall(a or b or c)]
         self.tag.append(name)
         self.parent.append(parent)
-        self.attributes.append(tuple(words[:24]))
+        self.attributes.append(tuple(words))
         self.keep.append(keep)
         for column in (self.links, self.tags, self.direct, self.points):
             column.append(0)

@@ -312,3 +312,36 @@ def test_codec_slices_and_clashing_columns(spark, monkeypatch):
     rows = {r.doc_id: r for r in pieces.decode(coded).collect()}
     assert len(rows) == len(texts) and all(rows[i].decoded == t for i, t in enumerate(texts))
     assert rows[0].piece_ids == [] and rows[1].piece_ids is None and all(rows[i].piece_ids == rows[i + 9].piece_ids for i in range(9))
+
+
+# ---- pages ----
+
+def read_page(source):
+    from askloom.llm.html_text import Page
+    return [text for _, text in Page(source).blocks]
+
+
+@pytest.mark.parametrize("source, want", [
+    ("<html><head><title>t</title><body><article><p>Hello</p></article>", ["Hello"]),
+    ("<head><meta charset=utf-8><style>p{}</style><p>One<p>Two", ["One", "Two"]),
+    ("<head><title>t</title>Text right after the head", ["Text right after the head"]),
+    ("<html><head><title>t</title></head><body><p>Closed</p></body></html>", ["Closed"]),
+    ("<p>a<!-->b</p><p>c<!--->d</p><p>e<!-- x --!>f</p><p>g<!-- never closed", ["ab", "cd", "ef", "g"]),
+    ("<p title=it's>one</p><p title=\"a>b\" class='x y'>two</p><p data-a = b\"c>three</p>", ["one", "two", "three"]),
+    ("<p>" + "<b>" * 40 + "deep<div>next</div>", ["deep", "next"]),
+    ("<p title=\"open>lost</p>", ["lost"]),
+    ("", []), ("   ", []), ("<head>", []),
+])
+def test_pages_with_missing_ends_and_odd_attributes(source, want):
+    assert read_page(source) == want
+
+
+def test_every_attribute_word_counts():
+    from askloom.llm.html_text import Page
+    words = " ".join(["x" + chr(97 + i % 26) for i in range(30)])
+    assert "sidebar" in Page(f'<div class="{words} sidebar">t</div>').attributes[1]
+
+
+def test_very_long_page_is_read_whole():
+    many = "".join(f"<p>paragraph {i}</p>" for i in range(20_000))
+    assert len(read_page("<html><head><body>" + many)) == 20_000
