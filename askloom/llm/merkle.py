@@ -71,25 +71,25 @@ def grow(nodes: DataFrame) -> list[DataFrame]:
     return levels
 
 
-def tops(levels: list[DataFrame]) -> DataFrame:
-    """(grp, top): the root of every group's tree."""
-    found = levels[0].filter("total = 1").select("grp", F.col("node").alias("top"))
-    for level in levels[1:]:
-        found = found.unionByName(level.filter("total = 1").select("grp", F.col("node").alias("top")))
+def tops(nodes: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """(grp, top, depth): the root of every group's tree and the level it stands on."""
+    found = nodes.filter("total = 1").select("grp", F.col("node").alias("top"), F.lit(0).alias("depth"))
+    for depth, level in enumerate(levels[1:], 1):
+        found = found.unionByName(level.filter("total = 1").select("grp", F.col("node").alias("top"), F.lit(depth).alias("depth")))
     return found
 
 
 def paths(levels: list[DataFrame], above: DataFrame) -> DataFrame:
-    """The leaves with ``top``, ``path`` (siblings from the leaf's run up) and whatever else ``above`` (grp, top, path) says of their group."""
-    more = [c for c in above.columns if c not in ("grp", "path")]
-    up = above.select("grp", F.lit(0).cast("long").alias("run"), "path", *more).filter("false")
-    for i, level in reversed(list(enumerate(levels))):
-        ended = level.filter("total = 1").select("grp")
-        up = up.unionByName(above.join(ended, "grp", "left_semi").select("grp", F.lit(0).cast("long").alias("run"), "path", *more))
+    """The leaves with ``path``, the siblings from the leaf's run up to the top of its group and on as ``above`` (grp, top, depth, path) says, and ``top``."""
+    def ended(depth: int) -> DataFrame:
+        return above.filter(F.col("depth") == depth).select("grp", F.lit(0).cast("long").alias("run"), "path", "top")
+
+    up = None
+    for depth, level in reversed(list(enumerate(levels))):
+        up = ended(depth) if up is None else up.unionByName(ended(depth))
         own = F.when(F.col("total") > 1, F.array(F.struct("left", "right"))).otherwise(F.array().cast(PATH))
-        met = level.withColumn("run", (F.col("pos") / FAN).cast("long")).join(up, ["grp", "run"])
-        met = met.withColumn("path", F.concat(own, "path"))
-        up = met.select("grp", F.col("pos").alias("run"), "path", *more) if i else met.drop("run")
+        met = level.withColumn("run", (F.col("pos") / FAN).cast("long")).join(up, ["grp", "run"]).withColumn("path", F.concat(own, "path"))
+        up = met.select("grp", F.col("pos").alias("run"), "path", "top") if depth else met.drop("run")
     return up
 
 
@@ -113,13 +113,15 @@ def manifest(documents: DataFrame) -> DataFrame:
     leaves = store(documents.select(
         F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("")).alias("grp"), "doc_id", leaf(F.col("text")).alias("node"),
         F.when(changed != F.col("text"), leaf(changed)).alias("other"), F.monotonically_increasing_id().alias("tie")), "merkle-leaves")
-    levels = grow(place(leaves.withColumn("ord", F.struct("doc_id", "node"))))
-    subroots = store(tops(levels), "merkle-subroots")
-    upper = grow(place(subroots.select(F.lit("").alias("grp"), F.col("grp").alias("ord"), F.col("top").alias("node"), F.col("grp").alias("tie"), F.col("grp").alias("lang"))))
-    root = tops(upper).first()
-    whole = subroots.limit(0).select("grp", "top", F.array().cast(PATH).alias("path")) if root is None else \
-        tops(upper).select("grp", "top", F.array().cast(PATH).alias("path"))
-    above = paths(upper, whole).select(F.col("lang").alias("grp"), F.col("node").alias("top"), "path")
+    nodes = place(leaves.withColumn("ord", F.struct("doc_id", "node")))
+    levels = grow(nodes)
+    subroots = store(tops(nodes, levels), "merkle-subroots")
+    roots = place(subroots.select(F.lit("").alias("grp"), F.col("grp").alias("ord"), F.col("top").alias("node"), F.col("grp").alias("tie"), F.col("grp").alias("lang"), F.col("depth").alias("below")))
+    upper = grow(roots)
+    whole = store(tops(roots, upper), "merkle-root")
+    root = whole.first()
+    above = store(paths(upper, whole.withColumn("path", F.array().cast(PATH))).select(
+        F.col("lang").alias("grp"), F.col("node").alias("top"), F.col("below").alias("depth"), "path"), "merkle-above")
     proofs = paths(levels, above)
     siblings = F.array_join(F.transform("path", lambda s: F.concat(s["left"], s["right"])), "")
     return proofs.select(
