@@ -28,10 +28,10 @@ from askloom.llm.common import SLICE_BYTES
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-WORD_BYTES = 64 << 20
+WORD_BYTES = 256 << 20
 """Memory of a task for words it has met, about; it is emptied when it is full, which only costs time."""
 LONGEST_REMEMBERED = 64
-PAIRS_REMEMBERED = 250_000
+PAIRS_REMEMBERED = 500_000
 
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6  # fixed values: piece types of the model format
 _UNIT = re.compile(r" *[^ ]+| +")
