@@ -198,14 +198,15 @@ def _(spark, sf):
     return _metrics(spark, sf).select("config", *[F.col(c).cast("decimal(5,4)").cast("string").alias(c) for c in ("hit_rate_at5", "mrr")], "questions", "refusal_rate")
 
 
-_RUN_AT = F.timestamp_seconds(F.lit(1700000000))
+def _run_at():
+    return F.timestamp_seconds(F.lit(1700000000))
 
 
 def _stored_runs(spark, sf):
     """The grid's runs, written as the product keeps them."""
     path = f"{shared_dir(spark)}/askloom/{spark.sparkContext.applicationId}/eval_run-{uuid.uuid4().hex}"
     g = grid(spark, sf)
-    runs = sinks.eval_run_rows(_metrics(spark, sf), ev.ablation_configs(spark), ev.hit_rate_by_type(g.ranks), g.ranks, 1, _RUN_AT)
+    runs = sinks.eval_run_rows(_metrics(spark, sf), ev.ablation_configs(spark), ev.hit_rate_by_type(g.ranks), g.ranks, 1, _run_at())
     sinks.append_eval_runs(runs, path)
     return spark.read.parquet(path)
 
@@ -317,7 +318,7 @@ def _(spark, sf):
     verdicts = _verdicts(spark, sf)
     calibration = ev.calibrate_threshold(asked.withColumn("top_score", F.lit(0.5)))
     path = f"{shared_dir(spark)}/askloom/{spark.sparkContext.applicationId}/eval_run-{uuid.uuid4().hex}"
-    sinks.append_eval_runs(sinks.generation_run_rows(ev.faithfulness(asked, verdicts), ev.citation_accuracy(verdicts), calibration, "generation", _RUN_AT), path)
+    sinks.append_eval_runs(sinks.generation_run_rows(ev.faithfulness(asked, verdicts), ev.citation_accuracy(verdicts), calibration, "generation", _run_at()), path)
     detail = F.from_json("detail", "citationTotal bigint, answerable bigint")
     return ev.latest_runs(spark.read.parquet(path).drop("name")).withColumn("d", detail).select(
         "kb_id", "name", F.col("faithfulness").cast("string").alias("faithfulness"), F.col("citation_accuracy").cast("string").alias("citation_accuracy"),
