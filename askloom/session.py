@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 def build_session(app_name: str = "askloom", master: str | None = None, shuffle_partitions: int | None = None,
                   **conf: str) -> SparkSession:
@@ -59,13 +60,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: later jobs read only the columns they
-    need and never recompute it, also after losing executors."""
+    need and never recompute it, also after losing executors. The write's shuffle files go when it ends, since nothing reads them again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/askloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table that :func:`materialize` returned and that nothing reads any more."""
+    spark = table.sparkSession
+    own = f"/askloom/{spark.sparkContext.applicationId}/"
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        if own in folder:
+            delete_folder(spark, folder)
+
+
 def delete_folder(spark: SparkSession, folder: str) -> None:
     """Delete a folder of any storage that Spark reaches."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
