@@ -28,6 +28,12 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return session.materialize(df, f"llm-{name}")
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of :func:`store` whose last reader is stored itself."""
+    for table in tables:
+        session.discard(table)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -79,6 +85,16 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         return mix(sums + lengths.astype(np.uint64) * _STEP), first
 
 
+def shingle_hashes(words: np.ndarray, at: np.ndarray, width: np.ndarray, size: int = SHINGLE_WORDS) -> np.ndarray:
+    """Hash of the ``width`` (at most ``size``) words from each of the places ``at``."""
+    padded = np.concatenate((words, np.zeros(size, np.uint64)))
+    with np.errstate(over="ignore"):
+        total = width.astype(np.uint64) * _STEP
+        for j in range(size):
+            total = total * _BASE + np.where(width > j, padded[at + j], np.uint64(0))
+    return mix(total)
+
+
 def shingle_sets(texts: list[bytes], size: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashed shingles of each text, ascending per text, and their offsets.
 
@@ -89,13 +105,7 @@ def shingle_sets(texts: list[bytes], size: int = SHINGLE_WORDS) -> tuple[np.ndar
     number = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
     offsets = np.concatenate(([0], np.cumsum(number)))
     at = np.arange(offsets[-1]) + np.repeat(first[:-1] - offsets[:-1], number)
-    padded = np.concatenate((words, np.zeros(size, np.uint64)))
-    width = np.repeat(np.minimum(counts, size), number)
-    with np.errstate(over="ignore"):
-        total = width.astype(np.uint64) * _STEP
-        for j in range(size):
-            total = total * _BASE + np.where(width > j, padded[at + j], np.uint64(0))
-    tokens = mix(total)
+    tokens = shingle_hashes(words, at, np.repeat(np.minimum(counts, size), number), size)
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         tokens[a:b].sort()
     keep = np.ones(len(tokens), bool)

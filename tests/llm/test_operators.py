@@ -104,22 +104,70 @@ def test_tiles_meet_every_pair_once(spark, monkeypatch):
         assert len(got) == len(set(got)) and want <= set(got) <= set(pairs)
 
 
+def _passages(docs):
+    """Passages of :func:`paragraph_dedup.duplicate_paragraphs` by comparing every two paragraphs."""
+    parts = {}
+    for row, (i, text) in enumerate(docs):
+        raw = (text or "").encode()
+        owner, begin, end, _, _, _ = paragraph_dedup.cut_paragraphs([raw])
+        for a, b in zip(begin.tolist(), end.tolist(), strict=True):
+            start = len(raw[:a].decode())
+            parts[i, row, start] = start + len(raw[a:b].decode()), raw[a:b].decode()
+    sets = {k: (_shingles(t), t.lower().split()[:5]) for k, (_, t) in parts.items()}
+    want = _classes(sets, lambda x, y: x[0] == y[0] or (x[1] == y[1] and 100 * len(x[0] & y[0]) >= 80 * len(x[0] | y[0])))
+    sizes = Counter(want.values())
+    runs = []
+    for remove in (False, True):
+        last = None
+        for k in sorted((k for k, c in want.items() if sizes[c] > 1 and (k != c) == remove), key=lambda k: k[1:]):
+            if last is None or last[0] != k[1] or k[2] > last[3]:
+                last = [k[1], k[0], k[2], parts[k][0], want[k][0], remove]
+                runs.append(last)
+            else:
+                last[3], last[4] = max(last[3], parts[k][0]), min(last[4], want[k][0])
+    return sorted(tuple(r[1:]) for r in runs)
+
+
 def test_paragraphs(spark):
     rng = random.Random(8)
-    lines = _near_copies(rng, 5, 6, 60, 2)
-    docs = [(i, "\n".join(["short line", lines[i], f"é only here {i} " + " ".join(f"u{i}v{j}" for j in range(12)), lines[(i + 6) % 30]])) for i in range(30)]
-    df = spark.createDataFrame([*docs, (90, None), (91, ""), (None, lines[0])], "doc_id long, text string")
-    got = {(r.doc_id, r.para): r for r in paragraph_dedup.duplicate_paragraphs(df).collect()}
-    paragraphs = {(i, p): line for i, t in docs for p, line in enumerate(t.split("\n")) if len(line.split()) >= 5}
-    sets = {k: _shingles(v) for k, v in paragraphs.items()}
-    want = _classes(sets, lambda a, b: 100 * len(a & b) >= 80 * len(a | b))
-    groups = {}
-    for k, c in want.items():
-        groups.setdefault(c, []).append(k)
-    assert set(got) == {k for k, c in want.items() if len(groups[c]) > 1}
-    for k, r in got.items():
-        assert (r.class_doc, r.class_para) == want[k] and r.remove == (k != want[k])
-        assert dict(docs)[k[0]][r.start:r.end] == paragraphs[k]
+    fresh = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    passage, other = fresh(51), fresh(70)
+    passage[20] = "é" + passage[20]
+    docs = [(i, " ".join([*fresh(rng.randint(0, 120)), *passage, *fresh(60)])) for i in range(1, 8)]
+    docs += [(i, " ".join(fresh(40)) + "\nshort line of common words\n" + "\n".join(other) + "\n" + " ".join(fresh(9))) for i in range(8, 12)]
+    docs += [(i, t) for i, t in zip(range(20, 32), _near_copies(rng, 3, 4, 300, 4), strict=True)]
+    docs += [(i, " ".join(fresh(80)) + " and a clean line of a few common words\n" + " ".join(fresh(50))) for i in range(40, 46)]
+    docs += [(50, docs[0][1]), (60, "a " * 300), (61, "A\t" * 300), (62, " ".join(fresh(35))), (63, None), (64, ""), (65, " \n"), (66, " ".join(fresh(20_000) + other))]
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in [*docs, (None, docs[0][1])]], "doc_id long, text string, row int, component string").repartition(5)
+    rows = paragraph_dedup.duplicate_paragraphs(df).collect()
+    got = sorted((r.doc_id, r.start, r.end, r.class_doc, r.remove) for r in rows)
+    assert got == _passages(docs)
+    found = {r.doc_id for r in rows}
+    assert {*range(1, 12), 50, 61, 66} <= found and not found & {*range(40, 46), 62, 63, 64, 65}
+    assert not paragraph_dedup.duplicate_paragraphs(df.filter("doc_id < 0")).collect()
+
+
+def test_repeated_rows_keep_one_paragraph(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(5, text)] * 4, "doc_id long, text string").repartition(3)
+    rows = paragraph_dedup.duplicate_paragraphs(df).collect()
+    assert sorted(r.remove for r in rows) == [False, True, True, True] and {(r.doc_id, r.class_doc) for r in rows} == {(5, 5)}
+
+
+@pytest.mark.parametrize("length", [51, 60, 90])
+def test_every_passage_holds_a_paragraph(length):
+    rng = random.Random(length)
+    for _ in range(50):
+        passage = " ".join(f"p{rng.randint(0, 10**9)}" for _ in range(length)).encode()
+        cuts = []
+        for _ in range(2):
+            around = [" ".join(f"x{rng.randint(0, 10**9)}" for _ in range(rng.randint(0, 80))).encode() for _ in range(2)]
+            text = around[0] + b"\n" + passage + b" " + around[1]
+            at = len(around[0]) + 1
+            _, begin, end, _, _, _ = paragraph_dedup.cut_paragraphs([text])
+            assert all(len(text[a:b].split()) == paragraph_dedup.PIECE_WORDS for a, b in zip(begin, end, strict=True))
+            cuts.append({(int(a) - at, int(b) - at) for a, b in zip(begin, end, strict=True) if a >= at and b <= at + len(passage)})
+        assert cuts[0] & cuts[1]
 
 
 def test_leaks(spark):
