@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from askloom.llm.common import store
+from askloom.llm.common import drop, store
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -31,7 +31,8 @@ def components(edges: DataFrame, a: str, b: str, name: str = "components") -> Da
     now = store(edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a <> b").distinct(), name)
     seen = None
     while True:
-        now = store(_small_star(_large_star(now)), name)
+        before, now = now, store(_small_star(_large_star(now)), name)
+        drop(before)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(state) == seen:
             break

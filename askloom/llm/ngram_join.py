@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from askloom.llm import setindex
-from askloom.llm.common import jaccard_counts, mix, set_ids, shingle_sets, slices, store
+from askloom.llm.common import drop, jaccard_counts, mix, set_ids, shingle_sets, slices, store
 
 PERCENT = 80
 RATIO = 1.25
@@ -145,13 +145,19 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _of_the_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text, set_id) whose text has that very set; an id may occur with several texts."""
+    """Rows (doc_id, text, set_id) in order of the id, whose text has that very set. An id may occur with several texts and rows may repeat:
+    of those that follow each other one is kept."""
+    last = None
     for batch in batches:
         for start, texts in slices(batch.column(1)):
-            own = pa.array(set_ids(*shingle_sets(texts)))
+            own = set_ids(*shingle_sets(texts))
             rows = batch.slice(start, len(texts))
-            same = pa.array(own.to_numpy() == rows.column(2).to_numpy())
-            yield pa.RecordBatch.from_arrays([rows.column(2), rows.column(1)], ["set_id", "content"]).filter(same)
+            want = rows.column(2).to_numpy()
+            at = np.flatnonzero(own == want)
+            if len(at):
+                fresh = np.concatenate(([want[at[0]] != last], want[at[1:]] != want[at[:-1]]))
+                last = want[at[-1]]
+                yield pa.RecordBatch.from_arrays([rows.column(2), rows.column(1)], ["set_id", "content"]).take(pa.array(at[fresh]))
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,13 +177,14 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def contents(ids: DataFrame) -> DataFrame:
         wanted = store(sets.join(ids, "set_id").select(F.col("rep").alias("doc_id"), "set_id"), "ngram-wanted")
-        texts = base.join(wanted, "doc_id").mapInArrow(_of_the_set, "set_id long, content string")
-        return texts.groupBy("set_id").agg(F.min("content").alias("content"))
+        # the merge join leaves rows of one id side by side
+        return base.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "set_id").mapInArrow(_of_the_set, "set_id long, content string")
 
     linked = setindex.resolve(lists, contents, _lanes, _compare, PERCENT, "ngram")
     labelled = sets.join(linked, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     least = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
     per_set = labelled.join(least, "component").select("set_id", "component_id")
+    drop(lists)
     per_row = described.join(per_set, "set_id", "left").withColumn(
         "component_id", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))))
     return per_row.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id")

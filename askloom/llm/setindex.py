@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from askloom.llm.common import mix, partitions, store
+from askloom.llm.common import drop, mix, partitions, store
 from askloom.llm.components import components
 
 BUCKETS_PER_PARTITION = 4
@@ -223,7 +223,8 @@ def resolve(lists: DataFrame, contents: Callable[[DataFrame], DataFrame], lanes:
     ``contents(ids)`` gives (set_id, content) for the ids of the lists. ``lanes`` turns batches of (set_id, content) into :data:`LANES`, a row
     for each class a set posts in: own tells its own class. ``compare`` turns batches of (a, b, content_a, content_b) into (a, b, similarity, linked).
 
-    First every set is compared with the few leaders it meets in most lists; its answers are then those of their component. A list whose
+    First every set is compared with the leader it meets in most lists, then with the next few that are still in another component; its answers are then those of
+    their component. A list whose
     members are all in one component is finished: its other pairs can't change any answer. In the others, pairs of different components whose
     bitmaps allow a link are compared, each once. Nothing is left out but pairs that can't be linked.
     """
@@ -232,21 +233,34 @@ def resolve(lists: DataFrame, contents: Callable[[DataFrame], DataFrame], lanes:
     met = lists.join(elected, "key").select(F.col("set_id").alias("a"), F.explode("heads").alias("b")).filter("a <> b").groupBy("a", "b").agg(
         F.count("*").alias("common"))
     rank = F.row_number().over(W.partitionBy("a").orderBy(F.desc("common"), "b"))
-    led = store(met.withColumn("rank", rank).filter(F.col("rank") <= LEADERS).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-led")
+    led = store(met.withColumn("rank", rank).filter(F.col("rank") <= LEADERS).select("a", "b", "rank"), f"{name}-led")
 
     def judged(pairs: DataFrame, items: DataFrame, step: str) -> DataFrame:
         rows = _paired(pairs, items).select("a", "b", "content_a", "content_b")
         return store(rows.mapInArrow(compare, "a long, b long, similarity double, linked boolean").filter("linked"), f"{name}-{step}")
 
     items = store(contents(lists.select("set_id").distinct()), f"{name}-items")
-    linked = judged(led, items, "linked")
+    first = judged(led.filter("rank = 1").select("a", "b"), items, "first")
+    comps = store(components(first.select("a", "b"), "a", "b", name).withColumnRenamed("node", "set_id"), f"{name}-comps")
+    # the other leaders are asked only by sets that the first answer did not join to them
+    of_a, of_b = (comps.select(F.col("set_id").alias(c), F.col("component").alias(f"comp_{c}")) for c in "ab")
+    rest = led.filter("rank > 1").join(of_a, "a", "left").join(of_b, "b", "left").filter(
+        F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    second = judged(rest, items, "second")
+    drop(led)
+    linked = store(first.select("a", "b").union(second.select("a", "b")), f"{name}-linked")
+    drop(comps, first, second)
     comps = store(components(linked, "a", "b", name).withColumnRenamed("node", "set_id"), f"{name}-comps")
     labelled = lists.join(comps, "set_id", "left").withColumn("comp", F.coalesce("component", "set_id")).drop("component")
     state = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members"))
-    open_lists = labelled.join(state.filter("lo <> hi").select("key", "members"), "key")
-    sides = store(items.mapInArrow(lanes, LANES), f"{name}-lanes")
+    open_lists = store(labelled.join(state.filter("lo <> hi").select("key", "members"), "key"), f"{name}-open")
+    drop(comps)
+    # only sets of open lists need lanes
+    waiting = items.join(open_lists.select("set_id").distinct(), "set_id", "left_semi")
+    sides = store(waiting.mapInArrow(lanes, LANES), f"{name}-lanes")
     pairs = store(_candidates(open_lists, sides, percent), f"{name}-pairs")
+    drop(sides, open_lists)
     more = judged(pairs, items, "more")
-    edges = linked.select("a", "b").union(more.select("a", "b"))
+    edges = store(linked.union(more.select("a", "b")), f"{name}-edges")
+    drop(items, pairs, more, linked)
     return components(edges, "a", "b", name).withColumnRenamed("node", "set_id")
