@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from askloom.llm import filter_audit, line_dedup, merkle
+from askloom.llm import filter_audit, line_dedup, merkle, paragraph_dedup
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 LABELS = "doc_id bigint, quality int, toxic int"
@@ -345,3 +345,20 @@ def test_every_attribute_word_counts():
 def test_very_long_page_is_read_whole():
     many = "".join(f"<p>paragraph {i}</p>" for i in range(20_000))
     assert len(read_page("<html><head><body>" + many)) == 20_000
+
+
+def test_every_link_of_paragraphs_is_found(spark):
+    """Copies that change the last three words of a paragraph share 29 of 35 shingles: all of them are links."""
+    rng = random.Random(31)
+    docs = []
+    for i in range(300):
+        words = [f"w{rng.randint(0, 10**9)}" for _ in range(51)]
+        text = " ".join(words)
+        _, begin, end, _, _, _ = paragraph_dedup.cut_paragraphs([text.encode()])
+        whole = text[begin[0]:end[0]].split()
+        docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:words.index(whole[-3])] + [f"x{rng.randint(0, 10**9)}" for _ in range(60)]))]
+    rows = paragraph_dedup.duplicate_paragraphs(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
+    parts = {i: paragraph_dedup.cut_paragraphs([t.encode()]) for i, t in docs}
+    heads = {i: {p[3][j]: set(p[4][p[5][j]:p[5][j + 1]].tolist()) for j in range(len(p[3]))} for i, p in parts.items()}
+    linked = {i for i in range(300) if any(100 * len(s & heads[2 * i + 1].get(h, set())) >= 80 * len(s | heads[2 * i + 1].get(h, set())) for h, s in heads[2 * i].items())}
+    assert len(linked) > 200 and {r.doc_id // 2 for r in rows} >= linked
