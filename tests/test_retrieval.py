@@ -245,3 +245,26 @@ def test_reading_card(spark):
     docs = spark.createDataFrame([(1, 9, "f.md")], "doc_id bigint, kb_id bigint, file_name string")
     got = {r.chunk_id: (r.parent_content, r.prev_content, r.next_content) for r in reading.chunk_context(chunks, docs).collect()}
     assert got == {1: (None, None, "a"), 2: ("parent one two", None, "b"), 3: ("parent one two", "a", None), 4: ("parent one two", None, None)}
+
+
+def test_tiles_keep_their_best_until_they_are_done(spark, monkeypatch):
+    """More tiles than the memory holds: a task sends k rows per question and share of the blocks, not k per block, and the result is that of brute force."""
+    rng = np.random.default_rng(4)
+    vectors = np.round(rng.normal(size=(300, 4)), 1)
+    vectors[vectors.any(axis=1) == False] = 1.0  # noqa: E712
+    table = spark.createDataFrame([(1, i, v.tolist()) for i, v in enumerate(vectors)], "kb_id long, chunk_id long, vector array<double>").repartition(3)
+    monkeypatch.setattr(recall, "MANY_QUESTIONS", 16)
+    monkeypatch.setattr(recall, "BLOCK_BYTES", 8 * 4 * 10)
+    monkeypatch.setattr(recall, "STATE_BYTES", 16 * 16 * 5)
+    sent = []
+    monkeypatch.setattr(recall, "best_rows", lambda hits, k, cut=recall.best_rows: (sent.append(hits.count()), cut(hits, k))[1])
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {(r.q_id, r["rank"]): (r.chunk_id, r.score) for r in recall.vector_topk(table.withColumnRenamed("chunk_id", "q_id"), table, 5).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    scores = np.round(unit @ unit.T, 6) + 0.0
+    want = {(q, n + 1): (int(c), scores[q, c]) for q in range(300) for n, c in enumerate(np.lexsort((np.arange(300), -scores[q]))[:5])}
+    assert got == want and sent[0] <= 300 * 5 * recall.BLOCK_SHARES
