@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from askloom.functions import text as tx
 from askloom.operators import chunking as ch
+from askloom.sources import corpus
 
 
 def tokens(s):
@@ -144,3 +145,21 @@ def test_shingles(spark):
     df = spark.createDataFrame([("abc def ghi jkl",), ("short",), ("a" * 12,)], "t string")
     got = [sorted(r[0]) for r in df.select(tx.shingles(F.col("t"))).collect()]
     assert got == [["abcdefghij", "bcdefghijk", "cdefghijkl"], [], ["a" * 10]]
+
+
+def test_word_class_is_letters_and_digits_but_han(spark):
+    """Every code point: the class of the word pattern against the plain one."""
+    points = spark.range(0x110000).filter("id NOT BETWEEN 55296 AND 57343").selectExpr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32') AS ch")
+    plain = F.col("ch").rlike(rf"\A[\p{{L}}\p{{N}}&&[^{tx.HAN}]]+\z")
+    trimmed = F.regexp_replace(F.concat(F.lit("\x00 "), "ch", F.lit(" b"), "ch"), r"^[\x00-\x20]+|[\x00-\x20]+\z", "")
+    wrong = points.filter((plain != F.col("ch").rlike(rf"\A{tx.WORD}\z")) | (trimmed != tx.trim_controls(F.concat(F.lit("\x00 "), "ch", F.lit(" b"), "ch"))))
+    assert wrong.count() == 0
+
+
+def test_texts_are_dealt_out_by_their_size(spark, tmp_path, monkeypatch):
+    """A task of heavy text work gets a bounded share of the files, in one split or many, and every row arrives once."""
+    spark.range(2000).selectExpr("id AS doc_id", "sha2(string(id), 512) AS text").coalesce(1).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    monkeypatch.setattr(corpus, "TASK_BYTES", 5000)
+    for dealt in (corpus.spread(docs), corpus.spread(docs, "doc_id")):
+        assert dealt.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism and dealt.distinct().count() == dealt.count() == 2000
