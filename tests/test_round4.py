@@ -1,10 +1,10 @@
-"""Golds in tiles against brute force, the grid's hits worked out once."""
+"""Golds in tiles against brute force, terms counted in batches, the grid's hits worked out once."""
 
 import random
 import re
 
 from askloom.functions.text import SHINGLE
-from askloom.operators import evaluation as ev
+from askloom.operators import evaluation as ev, indexing
 from conftest import SMALL
 
 
@@ -49,3 +49,28 @@ def test_grid_works_out_its_hits_once(spark):
 
     g = q.grid(spark, SMALL)
     assert g.hits is g.hits and all("/askloom/" in f for f in g.hits.inputFiles())
+
+
+def test_postings_of_several_batches(spark, monkeypatch):
+    monkeypatch.setattr(indexing, "TERM_ROWS", 2)
+    texts = ["b a b", "", None, "漢字 a", "!!", "a a a c"]
+    df = spark.createDataFrame([(1, f"k{i}", t) for i, t in enumerate(texts)], "kb_id int, id string, content string").coalesce(1)
+    got = {(r.kb_id, r.id, r.term): (r.tf, r.positions) for r in indexing.build_postings(df, "kb_id", "id").collect()}
+    assert got == {(1, "k0", "a"): (1, [2]), (1, "k0", "b"): (2, [1, 3]), (1, "k3", "漢"): (1, [1]), (1, "k3", "字"): (1, [2]), (1, "k3", "漢字"): (1, [3]),
+                   (1, "k3", "a"): (1, [4]), (1, "k5", "a"): (3, [1, 2, 3]), (1, "k5", "c"): (1, [4])}
+    counts = indexing.term_counts(df, "kb_id", "id")
+    assert {(r.kb_id, r.id, r.term): r.tf for r in counts.collect()} == {k: v[0] for k, v in got.items()}
+
+
+def test_blocks_are_packed_without_writing_the_postings(spark, tmp_path, monkeypatch):
+    import askloom.plans.catalog  # noqa: F401
+    from askloom.plans import tables as t
+
+    names = []
+    monkeypatch.setattr(t, "_WRITTEN", {})
+    monkeypatch.setattr(t, "materialize", lambda df, name, write=t.materialize: (names.append(name), write(df, name))[1])
+    blocks = t.term_blocks(spark, SMALL)
+    assert not any(n.startswith("postings") for n in names)
+    listed = blocks.selectExpr("term", "explode(arrays_zip(ids, values)) AS e").selectExpr("term", "e.ids AS chunk_id", "CAST(e.values AS BIGINT) AS tf")
+    counted = t.postings(spark, SMALL).select("term", "chunk_id", "tf")
+    assert listed.count() == counted.count() and not listed.exceptAll(counted).count()
