@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from askloom.functions.arrays import rows_of
@@ -35,15 +35,21 @@ def chunk_context(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     cards = rows.groupBy(*keys, "chunk_index").agg(
         F.max("c").alias("c"), F.max("prev_content").alias("prev_content"), F.max("next_content").alias("next_content"))
     cards = cards.filter("c is not null").select("doc_id", "chunk_index", "c.*", "prev_content", "next_content")
-    parents = chunks.select(F.col("chunk_id").alias("parent_id"), F.col("content").alias("parent_content"))
+    parents = chunks.select(F.col("chunk_id").alias("parent_id"), F.lit(0).cast("bigint").alias("_share"), F.col("content").alias("parent_content"))
+    # chunks without a parent meet nothing; a share of their own keeps them out of one task
+    share = F.when(F.col("parent_id").isNull(), F.xxhash64("chunk_id")).otherwise(F.lit(0).cast("bigint"))
     return (cards.join(documents.select("doc_id", "kb_id", "file_name"), "doc_id")
-            .join(parents, "parent_id", "left"))
+            .withColumn("_share", share).join(parents, ["parent_id", "_share"], "left").drop("_share"))
 
 
 def highlight_paragraphs(cards: DataFrame) -> DataFrame:
     """Paragraphs of the parent with ``hit`` where the child begins: its first characters occur near the start."""
-    key = F.substring(F.regexp_replace("content", r"\s+", ""), 1, HIGHLIGHT_KEY_CHARS)
+    def begin(c: str, n: int) -> Column:
+        """The first ``n`` characters without white space; the rest of the text is not looked at."""
+        return F.regexp_replace(F.regexp_extract(c, rf"\A(?:\s*+\S){{0,{n}}}", 0), r"\s+", "")
+
+    key = begin("content", HIGHLIGHT_KEY_CHARS)
     paragraphs = F.filter(F.split("parent_content", r"\n+", -1), lambda p: ~is_blank(p))
     rows = rows_of(cards.filter("parent_content is not null").withColumn("key", key), paragraphs, "chunk_id", "key", item="text")
-    at = F.instr(F.regexp_replace("text", r"\s+", ""), F.col("key"))
+    at = F.instr(begin("text", HIGHLIGHT_KEY_CHARS + HIGHLIGHT_MAX_OFFSET - 1), F.col("key"))
     return rows.select("chunk_id", "pos", "text", ((F.length("key") > 0) & at.between(1, HIGHLIGHT_MAX_OFFSET)).alias("hit"))
