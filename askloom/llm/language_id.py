@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from askloom.llm.common import mix
+from askloom.llm.common import mix, release_memory
 
 SAMPLE_DOCUMENTS = 150
 """Most different labelled texts per language that the field is fitted on, chosen by a hash of the text."""
@@ -286,6 +286,8 @@ def identify(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame
             if held:
                 flush()
             yield pd.DataFrame({"lang": langs, "score": scores})
+        del labeller
+        release_memory()
 
     run_col = run(F.col(text_col).cast("string"))
     return docs.withColumn("_found", run_col).withColumn("lang_pred", F.col("_found.lang")).withColumn("score", F.col("_found.score")).drop("_found")
